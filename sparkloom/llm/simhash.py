@@ -119,18 +119,21 @@ def _within(group: list[int], p: np.ndarray, most: int) -> list[float]:
 
 #: Cost of a probe row against a candidate comparison.
 PROBE_COST = 4.0
+#: Smaller corpora are searched as one of so many documents would be, so that tables of any such size get one plan.
+PLAN_DOCUMENTS = 1 << 20
 
 
 def allocate(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is searched, of least estimated cost."""
     p, best = np.diag(both) / max(n, 1), None
+    planned = max(n, PLAN_DOCUMENTS)
     for m in range(2, distance + 2):
         groups = group_bits(n, both, m)
         cost = []
         for g in groups:
             chance = _within(g, p, distance)
             probes = np.cumsum([comb(len(g), t) for t in range(distance + 1)])
-            cost.append([0.0] + [PROBE_COST * probes[t] + n * chance[t] for t in range(distance + 1)])
+            cost.append([0.0] + [PROBE_COST * probes[t] + planned * chance[t] for t in range(distance + 1)])
         total = distance - m + 1
         # least[s]: (cost, thresholds) of the first groups with thresholds of sum s
         least = {0: (0.0, ())}
