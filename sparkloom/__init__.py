@@ -1,0 +1 @@
+"""An analytics engine for tabular datasets, declared on Spark DataFrames."""
