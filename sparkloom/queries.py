@@ -41,12 +41,14 @@ def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return t(name)
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of a sum doesn't show."""
+def rounded(df: DataFrame, digits: int | None = 6) -> DataFrame:
+    """Doubles rounded, so that the order of a sum doesn't show; None leaves exact ones alone."""
+    if digits is None:
+        return df
     return df.select(*[F.round(compat.col(c), digits).alias(c) if t in ("double", "float") else compat.col(c) for c, t in df.dtypes])
 
 
-def add(name: str, source: str, steps: list | Callable, sql: str | None, digits: int = 6) -> None:
+def add(name: str, source: str, steps: list | Callable, sql: str | None, digits: int | None = 6) -> None:
     """Register a pipeline (or a function of the source frame) and its SQL."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,9 +277,10 @@ for _name, _bound in (("", None), ("_at_scale", 0)):
     add(f"lag_column{_name}", "events", [("lag_column", {"column": "value", "offset": 2, "default": 0.0, **_far}), cols("event_id", "value_lag2")], "SELECT event_id, round(lag(value, 2, 0.0) OVER (ORDER BY ts), 6) AS value_lag2 FROM events")
     add(f"lead_column{_name}", "events", [("lead_column", {"column": "value", **_far}), cols("event_id", "value_lead1")], "SELECT event_id, round(lead(value, 1) OVER (ORDER BY ts), 6) AS value_lead1 FROM events")
     add(f"running_total{_name}", "events", [("running_total", {"column": "value", **_far}), cols("event_id", "value_running_total")], f"SELECT event_id, round(sum(value) {_r}, 4) AS value_running_total FROM events", 4)
-    for _f, _label in (("min", "min"), ("max", "max"), ("avg", "average")):
+    for _f, _label in (("min", "min"), ("max", "max")):
         _out = f"value_running_{_f}"
         add(f"running_{_label}{_name}", "events", [(f"running_{_label}", {"column": "value", **_far}), cols("event_id", _out)], f"SELECT event_id, round({_f}(value) {_r}, 7) AS {_out} FROM events", 7)
+    add(f"running_average{_name}", "events", [("running_average", {"column": "user_id", **_far}), cols("event_id", "user_id_running_avg")], f"SELECT event_id, avg(user_id) {_r} AS user_id_running_avg FROM events", None)
     for _f in ("min", "max", "sum"):
         _out = f"value_rolling_{_f}"
         add(f"rolling_{_f}{_name}", "events", [(f"rolling_{_f}", {"column": "value", "window": 7, **_far}), cols("event_id", _out)], f"SELECT event_id, round({_f}(value) {_w}, 4) AS {_out} FROM events", 4)
