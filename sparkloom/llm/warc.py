@@ -178,6 +178,8 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict, bytes, int]:
     stop = head.find(_END)
     if stop < 0:
         raise _Bad("headers have no end")
+    if _VERSION_LINE.search(head, m.end(), stop):
+        raise _Bad("another record begins in the headers")
     headers = {}
     for line in head[m.end() : stop].split(b"\r\n"):
         name, colon, value = line.partition(b":")
