@@ -1,0 +1,228 @@
+"""Archives, scores, rules and secrets: round trips, brute force and held-out accuracy."""
+
+import base64
+import gzip
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.llm import common, lm, quality, secrets, warc
+from tests.conftest import SF
+from tests.llm.data import TEXTS, documents, empty
+
+# ------------------------------------------------------------------ WARC
+
+
+def pages(spark):
+    rows = [(i, f"http://x/{i}", t) for i, t in enumerate(TEXTS[:12])] + [(5, "http://x/5", TEXTS[5]), (None, None, TEXTS[5]), (20, "http://x/20", "")]
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+
+
+def brute_records(rows, min_bytes=0):
+    data = [(i, (h or "").encode()) for i, _, h, *_ in rows]
+    first = {}
+    for i, h in data:
+        if i is not None:
+            first[h] = min(i, first.get(h, i))
+    out = []
+    for i, h in data:
+        again = h in first and first[h] != i and len(h) >= min_bytes
+        out.append((i, len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), "revisit" if again else "response", first[h] if again else None))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("compressed,least", [(True, 0), (False, 0), (True, 5)])
+def test_warc_round_trip(spark, compressed, least):
+    path, rows = common.shared_dir(spark, "warc"), pages(spark)
+    warc.write_warc(rows, path, gzip=compressed, min_revisit_bytes=least, file_bytes=500)
+    found = warc.read_warc(spark, path).collect()
+    number = lambda s: int(m[1]) if s and (m := re.fullmatch(r"<urn:page:(-?\d+)>", s)) else None
+    got = Counter((number(r.record_id), r.payload_bytes, r.payload_digest, r.record_type, number(r.refers_to)) for r in found)
+    assert got == brute_records(rows.collect(), least)
+    assert all(r.gap is None for r in found)
+    payloads = {number(r.record_id): bytes(r.payload) for r in found if r.record_type == "response"}
+    assert payloads[8] == TEXTS[8].encode()
+
+
+def test_warc_empty(spark):
+    path = common.shared_dir(spark, "warc")
+    warc.write_warc(pages(spark).limit(0), path)
+    assert warc.read_warc(spark, path).count() == 0
+
+
+def record(i, body=b"some payload \x1f\x8b\x08 and more"):
+    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+@pytest.mark.parametrize("damage", ["flip", "cut", "garbage", "start"])
+def test_salvage_recovers_later_records_and_logs_gaps(compressed, damage):
+    parts = [gzip.compress(record(i)) if compressed else record(i) for i in range(5)]
+    whole = list(parts)
+    if damage == "flip":
+        bad = bytearray(whole[2])
+        bad[len(bad) // 2 + 8 * (not compressed)] ^= 0xFF
+        whole[2] = bytes(bad)
+    elif damage == "cut":
+        whole[2] = whole[2][: len(whole[2]) // 2]
+    elif damage == "garbage":
+        whole[2] = b"\x00garbage\x1f\x8b\x08" * 20
+    else:
+        whole[0] = whole[0][5:]
+    data = b"".join(whole)
+    found = list(warc.salvage(data))
+    ids = [r["record_id"] for r in found if r["gap"] is None]
+    lost = 0 if damage == "start" else 2
+    assert ids == [f"<urn:page:{i}>" for i in range(5) if i != lost]
+    gap = [r for r in found if r["gap"]]
+    start = sum(map(len, whole[:lost]))
+    assert [(g["offset"], g["end"]) for g in gap] == [(start, start + len(whole[lost]))]
+
+
+def test_salvage_at_the_end_and_of_nothing():
+    assert list(warc.salvage(b"")) == []
+    found = list(warc.salvage(record(1) + record(2)[:-3]))
+    assert found[0]["record_id"] == "<urn:page:1>" and found[1]["gap"] and len(found) == 2
+
+
+# ------------------------------------------------------------------ language model
+
+
+def brute_base(rows):
+    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
+    c = Counter(w for d, t in rows if not held(d) for w in words(t))
+    n, v = sum(c.values()), len(c)
+    out = []
+    for d, t in rows:
+        w = words(t)
+        base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        out.append((d, held(d), len(w), sum(c[x] > 0 for x in w), n, base))
+    return out
+
+
+def by_row(rows):
+    return sorted(rows, key=lambda r: (str(r[0]), r[2], r[5]))
+
+
+@pytest.mark.parametrize("p_entry", [2e-7, 1e-3])
+def test_base_scores(spark, p_entry):
+    docs = documents(spark)
+    got = by_row(tuple(r) for r in lm.score(docs, p_entry=p_entry).collect())
+    want = by_row(brute_base([(r.doc_id, r.text) for r in docs.collect()]))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-9)
+    assert lm.score(empty(spark)).count() == 0
+
+
+def test_tree_is_a_distribution_and_beats_the_base(spark):
+    rng = np.random.default_rng(2)
+    follow = {w: rng.permutation(20)[:3] for w in range(20)}
+
+    def text():
+        x, out = int(rng.integers(20)), []
+        for _ in range(200):
+            out.append(f"w{x}")
+            x = int(rng.choice(follow[x])) if rng.random() < 0.9 else int(rng.integers(20))
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(60)], "doc_id long, text string")
+    tree, _ = lm.train(docs, p_context=1e-4)
+    assert tree.levels[0].retained.sum() >= 18
+    # for some contexts, the probabilities of all words and of an unseen one sum to 1
+    alphabet = len(tree.root)
+    names = {int(n): w for w in [f"w{i}".encode() for i in range(20)] + [lm.END] for n in tree.alphabet.numbers([w])}
+    unseen = 0.5 / (tree.train_tokens + 0.5 * (tree.vocabulary + 1))
+    for context in ([3], [7, 12], [1, 2]):
+        state = [int(tree.alphabet.numbers([f"w{c}".encode()])[0]) for c in context]
+        total = 0.0
+        for w in [*names, -1]:
+            ratio = np.exp(tree.log_ratio(np.array([*state, w]), np.array([0])))[-1]
+            total += ratio * (tree.root[w] if w >= 0 else unseen)
+        assert alphabet == 21 and abs(total - 1) < 1e-9
+    rows = lm.score(docs, p_context=1e-4).collect()
+    held = [r for r in rows if r.held_out]
+    assert held and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+
+
+# ------------------------------------------------------------------ quality rules
+
+
+def brute_counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(zip(words, words[1:], words[2:]))
+    repeated = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated))
+
+
+def test_quality_counts_and_base(spark):
+    docs = documents(spark)
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge(docs).collect())
+    want = Counter()
+    for r in docs.collect():
+        c = brute_counts(r.text)
+        want[(r.doc_id, *c, c[0] < 50 or 100 * c[4] > 50 * c[0])] += 1
+    assert got == want
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == quality.judge(docs).filter("kept").count() > 0
+    assert quality.judge(empty(spark)).count() == 0 and quality.keep_good(empty(spark)).count() == 0
+
+
+def test_label_model_finds_the_rates():
+    rng = np.random.default_rng(4)
+    n, rules = 20_000, 6
+    good = rng.random(n) < 0.8
+    rates = {True: [0.01, 0.39, 0.6], False: [0.5, 0.35, 0.15]}
+    votes = np.where(good[:, None], rng.choice([-1, 0, 1], (n, rules), p=rates[True]), rng.choice([-1, 0, 1], (n, rules), p=rates[False]))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality.LabelModel(patterns, counts)
+    assert abs(model.good - 0.8) < 0.02
+    assert ((model.posterior(votes) > 0.5) == good).mean() > 0.97
+
+
+def test_judgement_agrees_with_labels(spark):
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    rows = quality.judge(docs).join(labels, "doc_id").filter("not base_failed").select("kept", labels.quality.alias("label")).collect()
+    assert sum(r.kept == (r.label == 1) for r in rows) >= 0.98 * len(rows)
+
+
+# ------------------------------------------------------------------ secrets
+
+
+def brute_candidates(text):
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text or ""):
+        if re.search("[0-9]", m[0]) or re.match(secrets.ASSIGNED + ".", m[0]):
+            value = re.sub(secrets.ASSIGNED, "", m[0], count=1)
+            at = m.start() + len(m[0]) - len(value) + 1
+            out.append((at, re.sub("[.,;:!?)]+$", "", value)))
+    return out
+
+
+def test_candidates(spark):
+    docs = documents(spark)
+    got = Counter((r.doc_id, r.position, r.candidate) for r in secrets.candidates(docs).collect())
+    want = Counter((r.doc_id, *c) for r in docs.collect() for c in brute_candidates(r.text))
+    assert got == want and len(want) >= 3
+    assert secrets.scan(empty(spark)).count() == 0
+
+
+def test_forest_on_held_out_findings_and_documents(spark):
+    found = secrets.labelled_findings(spark, 3000)
+    train, test = found.filter("doc_id % 3 <> 0"), found.filter("doc_id % 3 = 0")
+    model = secrets.train(train)
+    judged = model.transform(secrets.with_features(test))
+    assert judged.filter("prediction = label").count() >= 0.95 * judged.count()
+    rows = secrets.scan(documents(spark), path="component_id", model=model).filter("doc_id = 14").collect()
+    assert len(rows) == 3 and all(r.is_secret for r in rows)
