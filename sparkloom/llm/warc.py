@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of payload for each archive file.
+#: Bytes of payload for each archive file, on average.
 FILE_BYTES = 16 << 20
 VERSION = b"WARC/1.1\r\n"
 _VERSION_LINE = re.compile(rb"WARC/\d\.\d\r\n")
@@ -37,22 +37,23 @@ def payload_digest(payload: Column) -> Column:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Mark pages (page_id, payload, digest) as response or revisit of the smallest page with that payload.
+    """Mark pages (page_id, uri, payload, digest) as response or revisit of the smallest page with that payload.
 
-    The groups' smallest ids come from a map-side aggregate; only repeated
-    payloads are joined back, and Spark may split a hot one among tasks.
+    Digests alone are grouped, with a map-side part.  The groups of two or more
+    are written first, so that Spark knows their size: while that is within its
+    broadcast bound the payloads stay where they are, beyond it they are joined by
+    digest and Spark splits a hot one among tasks.
     """
     eligible = F.octet_length("payload") >= min_bytes
-    key = F.when(eligible, F.concat_ws(":", "digest", F.octet_length("payload")))
-    pages = pages.withColumn("key", key)
+    keyed = pages.withColumn("key", F.when(eligible, F.concat_ws(":", "digest", F.octet_length("payload"))))
     first = (
-        pages.filter("key is not null")
+        keyed.filter("key is not null")
         .groupBy("key")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
         .filter("n > 1 and first_id is not null")
         .drop("n")
     )
-    found = pages.join(first, "key", "left")
+    found = keyed.join(common.stage(first, "repeated"), "key", "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return found.select(
         "page_id",
@@ -119,6 +120,8 @@ def write_warc(
     A null payload is an empty one.  A null page id gives a record without a
     number, which is never referred to.  Rows that repeat a page id and its
     payload are each written; all that carry the smallest id are responses.
+    Tasks write where the rows lie and begin a new file after as many records as
+    make ``file_bytes`` on average.
     Spark's own writer writes the files, so a task that runs again replaces its
     file and any file system of Spark's will do.
     """
@@ -126,9 +129,10 @@ def write_warc(
     own = common.only(pages, page_id=page_id, uri=uri, payload=payload).withColumn(
         "payload", F.coalesce(F.col("payload").cast("binary"), F.lit(b""))
     )
-    files = common.pieces(common.text_size(own, "payload"), file_bytes)
+    mean = own.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
+    per_file = max(1, int(file_bytes / max(mean, 512)))
     marked = with_revisits(own.withColumn("digest", payload_digest(F.col("payload"))), min_revisit_bytes)
-    records = marked.repartition(files, F.xxhash64("page_id", "uri")).select(_record(marked).alias("record"))
+    records = marked.select(_record(marked).alias("record"))
     if gzip:
 
         def members(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -145,6 +149,7 @@ def write_warc(
         records.select(F.col("record").cast("string"))
         .write.option("encoding", "ISO-8859-1")
         .option("lineSep", between.decode("latin-1"))
+        .option("maxRecordsPerFile", per_file)
         .text(path)
     )
 
