@@ -166,3 +166,29 @@ def tiled(df: DataFrame, order: Sequence[Column], tiles: int, name: str, *, one_
     i = F.col(INDEX)
     tile = F.when(i < edge, F.floor(i / (size + 1))).otherwise(more + F.floor((i - edge) / F.greatest(size, F.lit(1))))
     return own.withColumn(name, (tile + 1).cast("bigint")).drop(INDEX, "__total")
+
+
+def quantiles(df: DataFrame, value: Column, shares: Sequence[float], name: str, *, one_task_bytes: int | None = None) -> DataFrame:
+    """One row with the interpolated quantiles of ``value`` as an array.
+
+    Spark's exact percentile holds all distinct values of the table in one
+    task.  For a large table the distinct values are counted, and the running
+    counts tell which values stand at the wanted places.
+    """
+    shares = [float(p) for p in shares]
+    if is_small(df, one_task_bytes):
+        return df.agg(F.percentile(value.cast("double"), F.array(*map(F.lit, shares))).alias(name))
+    counts = df.select(value.cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    upto = running(
+        counts, [F.col("v").asc()], {"s": (F.sum, F.col("n"), lambda a, b: a + b)}, lambda p: p["s"], "upto",
+        one_task_bytes=one_task_bytes,
+    )
+    # one row
+    total = F.broadcast(counts.agg((F.sum("n") - 1).alias("last")))
+    places = [(F.col("last") * F.lit(p)) for p in shares]
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    cells = [F.struct(at(F.floor(k)).alias("lo"), at(F.ceil(k)).alias("hi"), F.first(k - F.floor(k)).alias("part")) for k in places]
+    row = upto.crossJoin(total).agg(F.array(*cells).alias("q"))
+    return row.select(
+        F.when(F.col("q")[0]["lo"].isNotNull(), F.transform("q", lambda c: c["lo"] + c["part"] * (c["hi"] - c["lo"]))).alias(name)
+    )

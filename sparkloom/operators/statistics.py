@@ -35,23 +35,30 @@ def _scalar(df: DataFrame, total: Column, name: str) -> DataFrame:
     return with_totals(df, {"v": total}, {name: lambda t: t["v"]})
 
 
+def with_quantiles(df: DataFrame, column: str, shares: list, values: dict, one_task_bytes=None) -> DataFrame:
+    """Columns computed from each row and the table's quantiles."""
+    row = ordered.quantiles(df, compat.col(column), shares, "__q", one_task_bytes=one_task_bytes)  # one row
+    both = df.crossJoin(F.broadcast(row))
+    return both.withColumns({name: fn(F.col("__q")) for name, fn in values.items()}).drop("__q")
+
+
 @step()
-def percentile(df: DataFrame, column=None, percentile=0.5, name=None) -> DataFrame:
+def percentile(df: DataFrame, column=None, percentile=0.5, name=None, one_task_bytes=None) -> DataFrame:
     """The interpolated percentile of the table."""
     if not column:
         return df
     p = float(percentile)
-    return _scalar(df, aggregates.quantile(p)(compat.col(column)), name or f"{column}_p{int(p * 100)}")
+    return with_quantiles(df, column, [p], {name or f"{column}_p{int(p * 100)}": lambda q: q[0]}, one_task_bytes)
 
 
 @step()
-def quartiles(df: DataFrame, column=None, prefix=None) -> DataFrame:
+def quartiles(df: DataFrame, column=None, prefix=None, one_task_bytes=None) -> DataFrame:
     """Three quartiles, each a column."""
     if not column:
         return df
-    q = F.percentile(_number(column), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    at = lambda i: lambda t: t["q"][i]
-    return with_totals(df, {"q": q}, {f"{prefix or column}_q{i + 1}": at(i) for i in range(3)})
+    at = lambda i: lambda q: q[i]
+    values = {f"{prefix or column}_q{i + 1}": at(i) for i in range(3)}
+    return with_quantiles(df, column, [0.25, 0.5, 0.75], values, one_task_bytes)
 
 
 @step()
@@ -120,19 +127,18 @@ def binning(df: DataFrame, column=None, bins=5, method="equal_width", name=None,
 
 
 @step()
-def outlier_detection(df: DataFrame, column=None, multiplier=1.5, name=None) -> DataFrame:
+def outlier_detection(df: DataFrame, column=None, multiplier=1.5, name=None, one_task_bytes=None) -> DataFrame:
     """Whether a value lies beyond the quartiles by a multiple of their distance; keeps ``q1`` and ``q3``."""
     if not column:
         return df
     c, m = _number(column), float(multiplier)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
 
-    def flag(t: dict) -> Column:
-        lo, hi = t["q"][0], t["q"][1]
+    def flag(q: Column) -> Column:
+        lo, hi = q[0], q[1]
         return F.coalesce((c < lo - m * (hi - lo)) | (c > hi + m * (hi - lo)), F.lit(False))
 
-    values = {"q1": lambda t: t["q"][0], "q3": lambda t: t["q"][1], name or f"{column}_is_outlier": flag}
-    return with_totals(df, {"q": q}, values)
+    values = {"q1": lambda q: q[0], "q3": lambda q: q[1], name or f"{column}_is_outlier": flag}
+    return with_quantiles(df, column, [0.25, 0.75], values, one_task_bytes)
 
 
 def _rolling(df, column, window, order_by, name, fn, one_task_bytes=None) -> DataFrame:

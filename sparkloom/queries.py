@@ -237,9 +237,10 @@ add("week_of_year", "orders", [("week_of_year", {"column": _DATE}), cols("o_orde
 # ------------------------------------------------------------------ statistics
 
 _PRICE = "o_totalprice"
-add("percentile", "orders", [("percentile", {"column": _PRICE, "percentile": 0.9}), cols("o_orderkey", f"{_PRICE}_p90")], "SELECT o_orderkey, round(quantile_cont(o_totalprice, 0.9) OVER (), 4) AS o_totalprice_p90 FROM orders", 4)
-add("quartiles", "orders", [("quartiles", {"column": _PRICE, "prefix": "p"}), cols("o_orderkey", "p_q1", "p_q2", "p_q3")],
-    "SELECT o_orderkey, round(quantile_cont(o_totalprice, 0.25) OVER (), 4) AS p_q1, round(quantile_cont(o_totalprice, 0.5) OVER (), 4) AS p_q2, round(quantile_cont(o_totalprice, 0.75) OVER (), 4) AS p_q3 FROM orders", 4)
+for _name, _bound in (("", None), ("_at_scale", 0)):
+    add(f"percentile{_name}", "orders", [("percentile", {"column": _PRICE, "percentile": 0.9, "one_task_bytes": _bound}), cols("o_orderkey", f"{_PRICE}_p90")], "SELECT o_orderkey, round(quantile_cont(o_totalprice, 0.9) OVER (), 4) AS o_totalprice_p90 FROM orders", 4)
+    add(f"quartiles{_name}", "orders", [("quartiles", {"column": _PRICE, "prefix": "p", "one_task_bytes": _bound}), cols("o_orderkey", "p_q1", "p_q2", "p_q3")],
+        "SELECT o_orderkey, round(quantile_cont(o_totalprice, 0.25) OVER (), 4) AS p_q1, round(quantile_cont(o_totalprice, 0.5) OVER (), 4) AS p_q2, round(quantile_cont(o_totalprice, 0.75) OVER (), 4) AS p_q3 FROM orders", 4)
 add("z_score", "orders", [("z_score", {"column": _PRICE}), cols("o_orderkey", f"{_PRICE}_zscore")], "SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER (), 6) AS o_totalprice_zscore FROM orders")
 add("normalize", "orders", [("normalize", {"column": _PRICE}), cols("o_orderkey", f"{_PRICE}_normalized")],
     "SELECT o_orderkey, round((o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()), 6) AS o_totalprice_normalized FROM orders")

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import compat
-from ..functions.aggregates import quantile
 from ..operators import ordered
 from ..session import share_package
 from . import distributions as D
@@ -55,12 +54,17 @@ def _row(df: DataFrame, **cells: Column) -> dict:
     return df.agg(*[c.alias(k) for k, c in cells.items()]).first().asDict()
 
 
+def _quantiles(df: DataFrame, column: Column, *shares: float) -> list:
+    """Interpolated quantiles; nulls where there are no values."""
+    return ordered.quantiles(df, column, shares, "q").first()["q"] or [None] * len(shares)
+
+
 # ---------------------------------------------------------------- descriptions
 
 
 @analysis("descriptives", "descriptive-statistics", "summary-statistics", "standard-deviation", "mean")
 def descriptives(df: DataFrame, columns=None, column=None) -> dict:
-    """Twelve numbers for each column; one pass."""
+    """Twelve numbers for each column: one pass for the moments, one a column for the quantiles."""
     columns = compat.names(columns or column) or compat.numeric_columns(df)
     if not columns:
         return {}
@@ -69,11 +73,10 @@ def descriptives(df: DataFrame, columns=None, column=None) -> dict:
     for i, c in enumerate(columns):
         x = _x(c)
         cells |= {f"{i}_used": F.count(x), f"{i}_mean": F.avg(x), f"{i}_std": F.stddev_samp(x), f"{i}_min": F.min(x), f"{i}_max": F.max(x)}
-        cells[f"{i}_q"] = F.percentile(x, F.array(*map(F.lit, shares)))
     r = _row(df, **cells)
     out = {}
     for i, c in enumerate(columns):
-        p10, q1, median, q3, p90 = r[f"{i}_q"] or [None] * 5
+        p10, q1, median, q3, p90 = _quantiles(df, _x(c), *shares)
         out[c] = {
             "rows_total": r["total"], "rows_used": r[f"{i}_used"], "rows_missing": r["total"] - r[f"{i}_used"],
             "mean": r[f"{i}_mean"], "std": r[f"{i}_std"], "min": r[f"{i}_min"], "q1": q1, "median": median, "q3": q3,
@@ -86,8 +89,8 @@ def descriptives(df: DataFrame, columns=None, column=None) -> dict:
 def detailed_descriptives(df: DataFrame, column: str) -> dict:
     """Moments and quartiles; skewness and excess kurtosis of the population."""
     x = _x(column)
-    r = _row(df, count=F.count(x), mean=F.avg(x), std=F.stddev_samp(x), min=F.min(x), max=F.max(x), skewness=F.skewness(x), kurtosis=F.kurtosis(x), q=F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    q = r.pop("q") or [None] * 3
+    r = _row(df, count=F.count(x), mean=F.avg(x), std=F.stddev_samp(x), min=F.min(x), max=F.max(x), skewness=F.skewness(x), kurtosis=F.kurtosis(x))
+    q = _quantiles(df, x, 0.25, 0.5, 0.75)
     return r | {"q1": q[0], "median": q[1], "q3": q[2]}
 
 
@@ -279,8 +282,8 @@ def mann_whitney(df: DataFrame, column1: str, column2: str) -> dict:
         s = math.sqrt(n1 * n2 / 12 * (n + 1 - r["ties"] / (n * (n - 1))))
         z = (max(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / s if s else math.nan
         p = min(1.0, 2 * D.normal_sf(z)) if s else 1.0
-    medians = _row(rows, a=quantile(0.5)(_x(column1)), b=quantile(0.5)(_x(column2)))
-    return {"u_statistic": u1, "p_value": p, "median1": medians["a"], "median2": medians["b"], "n1": n1, "n2": n2}
+    m1, m2 = _quantiles(rows, _x(column1), 0.5)[0], _quantiles(rows, _x(column2), 0.5)[0]
+    return {"u_statistic": u1, "p_value": p, "median1": m1, "median2": m2, "n1": n1, "n2": n2}
 
 
 @analysis("wilcoxon_signed_rank")
@@ -303,8 +306,8 @@ def wilcoxon(df: DataFrame, before: str, after: str) -> dict:
     else:
         s = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - r["ties"] / 48)
         p = 2 * D.normal_sf(abs(w - n * (n + 1) / 4) / s)
-    m = _row(rows, a=quantile(0.5)(_x(before)), b=quantile(0.5)(_x(after)))
-    return {"w_statistic": w, "p_value": p, "median_before": m["a"], "median_after": m["b"], "n": n}
+    m1, m2 = _quantiles(rows, _x(before), 0.5)[0], _quantiles(rows, _x(after), 0.5)[0]
+    return {"w_statistic": w, "p_value": p, "median_before": m1, "median_after": m2, "n": n}
 
 
 @analysis("kruskal_wallis")
@@ -532,12 +535,12 @@ def outlier_detection(df: DataFrame, column: str, method: str = "zscore", thresh
         score = (x - F.lit(r["m"])) / F.nullif(F.lit(r["s"]), F.lit(0.0))
         out = F.abs(score) > threshold
     elif method == "iqr":
-        q1, q3 = _row(df, q=F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))["q"] or (None, None)
+        q1, q3 = _quantiles(df, x, 0.25, 0.75)
         lo, hi = F.lit(q1) - threshold * (F.lit(q3) - F.lit(q1)), F.lit(q3) + threshold * (F.lit(q3) - F.lit(q1))
         score, out = F.greatest(lo - x, x - hi), (x < lo) | (x > hi)
     elif method == "modified_z":
-        median = _row(df, m=quantile(0.5)(x))["m"]
-        mad = _row(df, m=quantile(0.5)(F.abs(x - F.lit(median))))["m"]
+        median = _quantiles(df, x, 0.5)[0]
+        mad = _quantiles(df, F.abs(x - F.lit(median)), 0.5)[0]
         score = 0.6745 * (x - F.lit(median)) / F.nullif(F.lit(mad), F.lit(0.0))
         out = F.abs(score) > threshold
     else:

@@ -149,7 +149,10 @@ def test_ordered_steps_agree_with_and_without_blocks(frame, spark, bound, monkey
     assert column(apply(frame, "percent_rank", order_by="v", direction="asc", one_task_bytes=bound), "v_pct_rank") == [0.4, 0.6, 1.0, 0.0, 0.6, 0.2]
     assert column(apply(frame, "binning", column="id", bins=4, method="equal_frequency", name="b", one_task_bytes=bound), "b") == [1, 1, 2, 2, 3, 4]
     assert column(apply(frame, "cumulative_product", column="v", **far), "v_cumprod")[4:] == pytest.approx([math.nan, math.nan], nan_ok=True)
+    assert column(apply(frame, "quartiles", column="v", prefix="p", one_task_bytes=bound), "p_q1")[0] == 0.0
+    assert column(apply(frame, "percentile", column="v", percentile=0.9, one_task_bytes=bound), "v_p90")[0] == pytest.approx(2.5)
     none = frame.limit(0)
+    assert apply(none, "quartiles", column="v", one_task_bytes=bound).count() == 0
     assert apply(none, "running_total", column="v", **far).count() == 0
     assert apply(none, "rank_column", order_by="v", one_task_bytes=bound).count() == 0
 
