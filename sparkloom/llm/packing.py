@@ -14,8 +14,8 @@ from . import common
 from .tokens import encoder
 
 #: Pieces that one packer takes, and the bins that it holds open.
-PACKER_PIECES = 1 << 16
-OPEN_BINS = 1024
+PACKER_PIECES = 1 << 15
+OPEN_BINS = 1 << 14
 
 
 class BestFit:
@@ -111,8 +111,9 @@ def pack(
 
     Tokenizing happens where the documents lie; only the pieces' numbers are
     shuffled, to packers of about ``packer_pieces`` pieces each, at random by a
-    hash so that each sees the same mix of lengths.  Within a packer the pieces
-    come in the order of that hash, so a task that runs again packs alike.
+    hash so that each sees the same mix of lengths.  Within a packer long pieces
+    come first, equal ones by that hash, so a task that runs again packs alike
+    and short pieces fill what the long ones leave.
     A null or empty text is a document of its end token; no documents give no
     pieces; repeated rows and documents with the same or no id are each packed.
     """
@@ -127,7 +128,7 @@ def pack(
         rows.withColumn("mixed", mixed)
         .withColumn("packer", F.pmod("mixed", F.lit(packers)).cast("int"))
         .repartition(packers, "packer")
-        .sortWithinPartitions("packer", "mixed", "doc_id", "piece", "ids_crc32")
+        .sortWithinPartitions("packer", F.desc("length"), "mixed", "doc_id", "piece", "ids_crc32")
         .drop("mixed")
     )
 
