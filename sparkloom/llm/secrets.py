@@ -127,7 +127,8 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFr
         F.sha2(F.col("id").cast("string"), 512).alias("hex"),
         F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), "id"), 512))), "=\n", "").alias("b64"),
         common.base32(F.sha1(F.concat(F.lit("k"), "id").cast("binary"))).alias("b32"),
-        F.pmod("id", F.lit(16)).alias("kind"),
+        F.translate(F.substring(F.sha2(F.concat(F.lit("n"), "id"), 256), 1, 24), "abcdef", "135790").alias("number"),
+        F.pmod("id", F.lit(18)).alias("kind"),
         F.pmod(F.xxhash64("id"), F.lit(9)).cast("int").alias("pick"),
     )
     plain = F.element_at(
@@ -158,6 +159,8 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFr
         (F.concat(word, word, F.col("id").cast("string")), no, bare, after, 0),
         (F.element_at(F.array(*map(F.lit, ("changeme", "your_password_here", "example123", "placeholder", "xxxxxxxx", "password1", "<password>", "dummy-token-1", "test_token_1"))), F.col("pick") + 1), yes, F.concat(plain, F.lit(" password=")), after, 0),
         (F.concat(F.lit("AKIA"), F.element_at(F.array(F.lit("IOSFODNN7EXAMPLE"), F.lit("EXAMPLE123456789"), F.lit("XXXXXXXXXXXXXXX1")), F.pmod("pick", F.lit(3)).cast("int") + 1)), no, say("example"), after, 0),
+        (F.substring("number", 1, 16), no, bare, after, 0),
+        (F.concat(F.substring("number", 3, 4), F.lit("-"), F.substring("number", 7, 4), F.lit("-"), F.substring("number", 11, 8)), no, bare, after, 0),
     ]
     pick = lambda i: F.element_at(F.array(*[F.lit(p[i]) if isinstance(p[i], int) else p[i] for p in plan]), F.col("kind").cast("int") + 1)
     return own.select(
