@@ -102,6 +102,8 @@ def dedup_spans(
         F.col("s.ends").alias("end"),
     )
     first = each.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # written first: both sides of the join are then shuffled for it alone, and Spark may split a hot hash
+    first = common.stage(first, "repeated")
     again = each.join(first, "h").filter("place <> first").select("place.row", "place.start", "end")
     gone = again.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     whole = spans.drop("spans").join(gone, "row", "left").select("doc_id", "text", "gone")
