@@ -18,16 +18,22 @@ from pyspark.sql import functions as F
 
 #: Estimated bytes up to which one task takes the whole order.
 ONE_TASK_BYTES = 64 << 20
+#: Estimated bytes of one range partition of a larger one.
+PART_BYTES = 256 << 20
 #: Rows of one block.
 BLOCK_ROWS = 1 << 20
 
 INDEX, BLOCK = "__index", "__block"
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size; runs nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def is_small(df: DataFrame, bound: int | None = None) -> bool:
-    """Whether Spark's estimate of the input's size is within the bound; runs nothing."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= (ONE_TASK_BYTES if bound is None else bound)
+    """Whether the estimated size is within the bound."""
+    return estimated_bytes(df) <= (ONE_TASK_BYTES if bound is None else bound)
 
 
 def _staged(df: DataFrame) -> DataFrame:
@@ -46,12 +52,18 @@ def _staged(df: DataFrame) -> DataFrame:
 
 
 def with_index(df: DataFrame, order: Sequence[Column], name: str = INDEX) -> DataFrame:
-    """A dense row number from 0 in ``order``; ties fall as they come.
+    """A dense row number from 0 in ``order``; ties keep the scan's order.
 
     One range shuffle, one write, one aggregate over the partitions' counts.
+    The scan's order is part of the range key, so a value with very many rows
+    is dealt to several partitions; their number grows with the input.
     """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    ranged = _staged(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # an estimate of a join or of nested columns can be far too high
+    parts = max(1, fewest, min(estimated_bytes(df) // PART_BYTES, 100_000))
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    order = [*order, F.col("__tie").asc()]
+    ranged = _staged(tied.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
     # a row for each range partition
     ahead = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
@@ -60,7 +72,7 @@ def with_index(df: DataFrame, order: Sequence[Column], name: str = INDEX) -> Dat
     return (
         ranged.join(starts, "__part")
         .withColumn(name, F.col("__start") + within.cast("bigint") - 1)
-        .drop("__part", "__start")
+        .drop("__part", "__start", "__tie")
     )
 
 

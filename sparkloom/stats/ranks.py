@@ -11,8 +11,9 @@ from ..functions import compat
 from ..operators import ordered
 from ..session import share_package
 
-#: Rows of one block of the inversion count.
+#: Rows of one block of the inversion count, and the most blocks; larger tables get larger blocks.
 BLOCK_ROWS = 1 << 20
+MOST_BLOCKS = 2048
 
 
 def value_ranks(values: DataFrame, extra: dict | None = None, *, one_task_bytes: int | None = None) -> DataFrame:
@@ -54,8 +55,11 @@ def discordant_pairs(pairs: DataFrame, block_rows: int = BLOCK_ROWS) -> int:
 
     Rows in order of (x, y) are cut into blocks, and in order of y into bands.
     Inversions inside a block or inside a band are counted by one task each;
-    those between different blocks and bands follow from the cells' counts.
+    those between different blocks and bands follow from the cells' counts, a
+    square of at most ``MOST_BLOCKS`` blocks and bands that is added up on the
+    driver.
     """
+    block_rows = max(block_rows, -(-pairs.count() // MOST_BLOCKS))
     share_package(pairs.sparkSession)
     by_x = ordered.with_index(pairs, [F.col("x").asc(), F.col("y").asc()], "i")
     by_x = by_x.withColumn("block", F.expr(f"i div {block_rows}"))
@@ -75,9 +79,9 @@ def discordant_pairs(pairs: DataFrame, block_rows: int = BLOCK_ROWS) -> int:
         return rows.groupBy(group).applyInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
 
     total = within("block", False) + within("band", True)
-    cells = rows.groupBy("block", "band").agg(F.count("*").alias("n"))
-    before, after = cells.alias("a"), cells.alias("b")
-    # some thousand blocks and bands for each billion rows
-    crossing = before.join(after, F.expr("a.block < b.block and a.band > b.band"))
-    total += crossing.agg(F.sum(F.col("a.n") * F.col("b.n"))).first()[0] or 0
-    return int(total)
+    cells = rows.groupBy("block", "band").agg(F.count("*").alias("n")).toPandas()
+    counts = np.zeros((int(cells["block"].max()) + 1, int(cells["band"].max()) + 1)) if len(cells) else np.zeros((1, 1))
+    counts[cells["block"], cells["band"]] = cells["n"]
+    earlier = np.cumsum(counts, axis=0) - counts  # the blocks before
+    higher = np.cumsum(earlier[:, ::-1], axis=1)[:, ::-1] - earlier  # of these, in the bands above
+    return int(total + (counts * higher).sum())
