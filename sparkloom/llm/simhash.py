@@ -172,15 +172,17 @@ def links_within(fps: DataFrame, distance: int = 4) -> DataFrame:
     index = fps.select("fp", F.explode(filed).alias("p")).select(
         F.col("p.part").alias("part"), F.expr("fp & p.mask").alias("key"), "fp"
     )
-    rows = [
-        (i, _signed_mask(g), _signed_mask(flip))
-        for i, (g, t) in enumerate(plan)
-        for size in range(t + 1)
-        for flip in combinations(g, size)
-    ]
-    # a few hundred rows that depend on the plan alone
-    flips = F.broadcast(fps.sparkSession.createDataFrame(rows, "part int, mask long, flip long").coalesce(1))
-    probes = fps.join(flips).select("part", F.expr("(fp & mask) ^ flip").alias("key"), "fp")
+    flips = F.array(
+        *[
+            F.struct(lit(i).alias("part"), lit(_signed_mask(g)).alias("mask"), lit(_signed_mask(flip)).alias("flip"))
+            for i, (g, t) in enumerate(plan)
+            for size in range(t + 1)
+            for flip in combinations(g, size)
+        ]
+    )
+    probes = fps.select("fp", F.explode(flips).alias("p")).select(
+        F.col("p.part").alias("part"), F.expr("(fp & p.mask) ^ p.flip").alias("key"), "fp"
+    )
 
     sizes = index.groupBy("part", "key").agg(F.count("*").alias("size"))
     hot = common.stage(sizes.filter(F.col("size") > HOT), "hot")
