@@ -38,13 +38,13 @@ def median(c: Column) -> Column:
 
 
 def mad(c: Column) -> Column:
-    """Median absolute deviation from the median, within the group."""
+    """Median absolute deviation from the median, over the group's values in one list."""
     values = F.array_sort(F.collect_list(c.cast("double")))
-    mid = lambda a: (
-        F.element_at(a, F.expr("1") * ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2).cast("int") + 1)
-    ) / 2
-    m = mid(values)
-    return F.when(F.count(c) > 0, mid(F.array_sort(F.transform(values, lambda v: F.abs(v - m)))))
+    place = lambda a, k: F.element_at(a, F.floor((F.size(a) + k) / 2).cast("int"))
+    mid = lambda a: (place(a, 1) + place(a, 2)) / 2
+    # the median stands beside each value, so that it is found once and not for each of them
+    pairs = F.arrays_zip(values.alias("v"), F.array_repeat(mid(values), F.size(values)).alias("m"))
+    return F.when(F.count(c) > 0, mid(F.array_sort(F.transform(pairs, lambda p: F.abs(p["v"] - p["m"])))))
 
 
 def quantile(p: float) -> Callable[[Column], Column]:

@@ -312,6 +312,9 @@ add("group_aggregate", "lineitem", [("group_aggregate", {"group_by": ["l_returnf
     """SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS s, round(avg(l_extendedprice), 4) AS a, min(l_discount) AS lo, max(l_tax) AS hi,
     round(stddev(l_quantity), 4) AS sd, median(l_quantity) AS med, round(var_pop(l_quantity), 4) AS vp, count(DISTINCT l_suppkey) AS nu,
     quantile_cont(l_quantity, 0.9) AS p90, round(skewness(l_extendedprice), 4) AS sk, round(kurtosis(l_extendedprice), 4) AS ku FROM lineitem GROUP BY 1, 2""", 4)
+_MORE = [("mad", "l_quantity"), ("stddev_pop", "l_tax"), ("variance", "l_tax"), ("bit_and", "l_linenumber"), ("bit_or", "l_linenumber"), ("bit_xor", "l_partkey")]
+add("group_aggregate_more", "lineitem", [("group_aggregate", {"group_by": ["l_returnflag"], "aggs": [{"fn": f, "column": c, "as": f} for f, c in _MORE]})],
+    "SELECT l_returnflag, " + ", ".join(f"round({f}({c}), 6) AS {f}" if "bit" not in f else f"{f}({c}) AS {f}" for f, c in _MORE) + " FROM lineitem GROUP BY 1")
 add("weighted_average", "lineitem", [("weighted_average", {"value_column": "l_extendedprice", "weight_column": "l_quantity", "group_by": ["l_returnflag"]})],
     "SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS weighted_avg FROM lineitem GROUP BY 1", 4)
 add("count_distinct", "lineitem", [("count_distinct", {"column": "l_suppkey", "group_by": ["l_returnflag"]})], "SELECT l_returnflag, count(DISTINCT l_suppkey) AS l_suppkey_distinct_count FROM lineitem GROUP BY 1")
