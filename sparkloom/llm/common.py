@@ -67,7 +67,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     An executor lost later costs a file read, not a new run of what is above.
     """
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
