@@ -120,6 +120,7 @@ class LabelModel:
         seen = (votes * counts[:, None, None]).sum(0) / total
         # (class, rule, vote): bad first
         prior = np.stack([np.tile([0.45, 0.4, 0.15], (n_rules, 1)), np.tile([0.01, 0.4, 0.59], (n_rules, 1))])
+        # a rule that never votes to keep, or never to reject, has a prior of its two votes
         one_sided = seen[:, 2] == 0
         prior[0, one_sided], prior[1, one_sided] = [0.3, 0.7, 1e-6], [0.005, 0.995, 1e-6]
         one_sided = seen[:, 0] == 0
