@@ -188,8 +188,9 @@ def links_within(fps: DataFrame, distance: int = 4) -> DataFrame:
     hot = common.stage(sizes.filter(F.col("size") > HOT), "hot")
     cold_index = index.join(hot, ["part", "key"], "left_anti")
     other = cold_index.withColumnRenamed("fp", "other")
+    # Spark's size estimates don't count what explode adds, so it must not pick a broadcast by them
     joined = (
-        probes.join(other, ["part", "key"])
+        probes.hint("merge").join(other, ["part", "key"])
         .filter("fp < other and bit_count(fp ^ other) <= %d" % distance)
         .select(F.col("fp").alias("a"), F.col("other").alias("b"))
     )
@@ -198,7 +199,7 @@ def links_within(fps: DataFrame, distance: int = 4) -> DataFrame:
 
 def _hot_links(index: DataFrame, probes: DataFrame, hot: DataFrame, distance: int) -> DataFrame:
     """Spanning links of each pair of blocks in the buckets of ``hot`` (part, key, size)."""
-    own_probes = probes.join(hot, ["part", "key"])
+    own_probes = probes.hint("merge").join(hot, ["part", "key"])
     counts = own_probes.groupBy("part", "key").agg(F.count("*").alias("n_probes"))
     blocks = hot.join(counts, ["part", "key"]).select(
         "part",
@@ -208,8 +209,8 @@ def _hot_links(index: DataFrame, probes: DataFrame, hot: DataFrame, distance: in
     )
     spot = lambda c: F.expr(f"cast(pmod(xxhash64(fp), {c}) as int)")
     span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    x = index.join(blocks, ["part", "key"]).select("part", "key", spot("xs").alias("x"), span("qs").alias("q"), "fp")
-    q = probes.join(blocks, ["part", "key"]).select("part", "key", span("xs").alias("x"), spot("qs").alias("q"), "fp")
+    x = index.hint("merge").join(blocks, ["part", "key"]).select("part", "key", spot("xs").alias("x"), span("qs").alias("q"), "fp")
+    q = probes.hint("merge").join(blocks, ["part", "key"]).select("part", "key", span("xs").alias("x"), spot("qs").alias("q"), "fp")
     sides = x.withColumn("side", F.lit(0)).unionByName(q.withColumn("side", F.lit(1)))
 
     def run(table: pa.Table) -> pa.Table:
