@@ -3,8 +3,9 @@
 Archives hold one gzip member for each record, or plain records.  The reader
 checks every member (its own checksum) and every record (version line, headers,
 length, end mark, payload digest).  After a failed check it searches for the
-next member or version line from which a record can be read, goes on there, and
-logs the bytes in between as a quarantined gap.
+next member or version line from which a record can be read, in the archive and
+in what a member's content gives, goes on there, and logs the bytes in between
+as a quarantined gap.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -158,35 +160,46 @@ class _Bad(ValueError):
     pass
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at ``at``; its checksum must hold."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """(content, end, what is wrong) of the gzip member at ``at``.
+
+    A member that breaks off or whose checksum fails gives all that could be
+    decompressed before, and the place where that ended.
+    """
     d = zlib.decompressobj(wbits=31)
     out, step, pos = [], 1 << 16, at
-    try:
-        while not d.eof and pos < len(data):
+    while not d.eof and pos < len(data):
+        before = d.copy()
+        try:
             out.append(d.decompress(data[pos : pos + step]))
             pos += step
-    except zlib.error as e:
-        raise _Bad(str(e)) from None
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), pos, str(e)
+            d, step = before, max(1, step >> 8)  # again in smaller steps, for what comes before the failure
     if not d.eof:
-        raise _Bad("member cut off")
-    return b"".join(out), min(pos, len(data)) - len(d.unused_data)
+        return b"".join(out), len(data), "member cut off"
+    return b"".join(out), min(pos, len(data)) - len(d.unused_data), None
 
 
-def _parse(data: bytes | memoryview, at: int) -> tuple[dict, bytes, int]:
+def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """(headers, block, end) of the record at ``at``."""
-    view = memoryview(data)
-    head = bytes(view[at : at + (1 << 16)])
-    m = _VERSION_LINE.match(head)
+    m = _VERSION_LINE.match(data, at)
     if not m:
         raise _Bad("no version line")
-    stop = head.find(_END)
-    if stop < 0:
-        raise _Bad("headers have no end")
-    if _VERSION_LINE.search(head, m.end(), stop):
-        raise _Bad("another record begins in the headers")
+    # headers may have any length; the window grows so that a record without their end costs its own bytes only
+    window, seen = 1 << 16, m.end()
+    while True:
+        stop = data.find(_END, max(m.end() - 2, seen - 3), at + window)
+        if _VERSION_LINE.search(data, max(m.end(), seen - 9), stop if stop >= 0 else at + window):
+            raise _Bad("another record begins in the headers")
+        if stop >= 0:
+            break
+        if at + window >= len(data):
+            raise _Bad("headers have no end")
+        seen, window = at + window, window * 2
     headers = {}
-    for line in head[m.end() : stop].split(b"\r\n"):
+    for line in data[m.end() : stop].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             raise _Bad("malformed header")
@@ -194,11 +207,11 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict, bytes, int]:
     length = headers.get("content-length", "")
     if not length.isdigit():
         raise _Bad("no length")
-    start = at + stop + 4
+    start = stop + 4
     end = start + int(length)
-    if bytes(view[end : end + 4]) != _END:
+    if data[end : end + 4] != _END:
         raise _Bad("record doesn't end where its length says")
-    return headers, bytes(view[start:end]), end + 4
+    return headers, data[start:end], end + 4
 
 
 def _checked(headers: dict, block: bytes) -> dict:
@@ -225,29 +238,68 @@ def _checked(headers: dict, block: bytes) -> dict:
     }
 
 
+def _inside(content: bytes) -> list[dict]:
+    """Records of a member's content and its gaps, by ``inner_offset`` and ``inner_end``."""
+    rows, at, bad_from, reason = [], 0, None, ""
+    while at < len(content):
+        try:
+            headers, block, end = _parse(content, at)
+            found = _checked(headers, block)
+        except _Bad as e:
+            if bad_from is None:
+                bad_from, reason = at, str(e)
+            line = _VERSION_LINE.search(content, at + 1)
+            at = line.start() if line else len(content)
+            continue
+        if bad_from is not None:
+            rows.append({"inner_offset": bad_from, "inner_end": at, "gap": reason})
+            bad_from = None
+        rows.append(found | {"inner_offset": at, "inner_end": end, "gap": None})
+        at = end
+    if bad_from is not None:
+        rows.append({"inner_offset": bad_from, "inner_end": len(content), "gap": reason})
+    return rows
+
+
 def salvage(data: bytes | memoryview) -> Iterator[dict]:
     """Records of an archive, and the gaps that can't be read.
 
     A record has ``gap`` None.  A gap has ``offset``, ``end`` and the reason in
     ``gap``.  Search starts one byte after the place where a check failed, so a
-    record whose start is intact is never stepped over.
+    record whose start is intact is never stepped over.  The content of a member
+    is searched in the same way, as far as it can be decompressed; what is found
+    there has the member's range and its own place in the content
+    (``inner_offset``, ``inner_end``).  A broken member is a gap also where
+    records have been recovered from it; ``unverified`` then says what is wrong
+    with the member, since no checksum vouches for these records' headers.
     """
-    view = memoryview(data)
-    at, n = 0, len(view)
+    whole = data if isinstance(data, bytes) else bytes(data)
+    at, n = 0, len(whole)
     bad_from, reason = None, ""
-    whole = bytes(view) if not isinstance(data, bytes) else data
+    # a broken member may hold its records uncompressed, where the search meets them a second time
+    again: Counter[bytes] = Counter()
+    again_to = 0
     while at < n:
         try:
-            found: list[dict] = []
             if whole.startswith(_MAGIC, at):
-                content, end = _member(view, at)
-                inner = 0
-                while inner < len(content):
-                    headers, block, inner = _parse(content, inner)
-                    found.append(_checked(headers, block))
+                content, end, wrong = _member(whole, at)
+                found = _inside(content)
+                some = any(r["gap"] is None for r in found)
+                if wrong or found and not some:
+                    # a checksum that contradicts a lone record is that record's own
+                    if some and not (len(found) == 1 and "incorrect" in (wrong or "")):
+                        yield from (r | {"offset": at, "end": end, "unverified": wrong} for r in found)
+                        own = (content[r["inner_offset"] : r["inner_end"]] for r in found if r["gap"] is None)
+                        again, again_to = Counter(hashlib.sha1(r).digest() for r in own), end
+                    raise _Bad(wrong or found[0]["gap"])
             else:
-                headers, block, end = _parse(view, at)
-                found.append(_checked(headers, block))
+                headers, block, end = _parse(whole, at)
+                found = [_checked(headers, block) | {"gap": None}]
+                key = hashlib.sha1(whole[at:end]).digest() if at < again_to else None
+                if again[key]:
+                    again[key] -= 1
+                    at = end
+                    continue
         except _Bad as e:
             if bad_from is None:
                 bad_from, reason = at, str(e)
@@ -259,8 +311,7 @@ def salvage(data: bytes | memoryview) -> Iterator[dict]:
         if bad_from is not None:
             yield {"offset": bad_from, "end": at, "gap": reason}
             bad_from = None
-        for r in found:
-            yield r | {"offset": at, "end": end, "gap": None}
+        yield from (r | {"offset": at, "end": end} for r in found)
         at = end
     if bad_from is not None:
         yield {"offset": bad_from, "end": n, "gap": reason}
@@ -270,7 +321,10 @@ _FIELDS = {
     "file": pa.string(),
     "offset": pa.int64(),
     "end": pa.int64(),
+    "inner_offset": pa.int64(),
+    "inner_end": pa.int64(),
     "gap": pa.string(),
+    "unverified": pa.string(),
     "record_id": pa.string(),
     "record_type": pa.string(),
     "uri": pa.string(),
@@ -280,7 +334,8 @@ _FIELDS = {
     "payload": pa.binary(),
 }
 _SCHEMA = (
-    "file string, offset long, end long, gap string, record_id string, record_type string, uri string, "
+    "file string, offset long, end long, inner_offset long, inner_end long, gap string, unverified string, "
+    "record_id string, record_type string, uri string, "
     "payload_bytes long, payload_digest string, refers_to string, payload binary"
 )
 
@@ -317,5 +372,5 @@ def read_warc(spark: SparkSession, path: str, *, glob: str = "part-*", payloads:
 
 
 def gaps(records: DataFrame) -> DataFrame:
-    """The log of quarantined byte ranges: file, offset, end, gap."""
-    return records.filter("gap is not null").select("file", "offset", "end", "gap")
+    """The log of quarantined byte ranges: file, offset, end, inner_offset, inner_end, gap."""
+    return records.filter("gap is not null").select("file", "offset", "end", "inner_offset", "inner_end", "gap")

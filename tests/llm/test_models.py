@@ -93,6 +93,38 @@ def test_salvage_at_the_end_and_of_nothing():
     assert found[0]["record_id"] == "<urn:page:1>" and found[1]["gap"] and len(found) == 2
 
 
+def test_salvage_inside_members():
+    rng = np.random.default_rng(3)
+    parts = [record(i, rng.bytes(3000)) for i in range(40)]
+    ids = lambda data: [int(r["record_id"][10:-1]) for r in warc.salvage(data) if r["gap"] is None]
+    bad = bytearray(parts[2])
+    bad[len(bad) // 2] ^= 0xFF
+    damaged = gzip.compress(b"".join([*parts[:2], bytes(bad), *parts[3:]]))
+    found = list(warc.salvage(damaged + gzip.compress(record(99))))
+    assert [r["record_id"] for r in found if r["gap"] is None] == [f"<urn:page:{i}>" for i in [*range(2), *range(3, 40), 99]]
+    at = sum(map(len, parts[:2]))
+    gap = [(r["offset"], r["end"], r["inner_offset"], r["inner_end"]) for r in found if r["gap"]]
+    assert gap == [(0, len(damaged), at, at + len(parts[2]))]
+    for level in (0, 6):  # without compression the records stand in the archive a second time
+        whole = gzip.compress(b"".join(parts), level)
+        cut = whole[: int(len(whole) * 0.59)]
+        for end in (b"", gzip.compress(record(99))):
+            assert ids(cut + end) == [*range(23), *([99] if end else [])]
+        wrong = bytearray(whole)
+        wrong[-6] ^= 0xFF
+        assert ids(bytes(wrong) + gzip.compress(record(99))) == [*range(40), 99]
+        found = list(warc.salvage(bytes(wrong)))
+        assert all(r["unverified"] for r in found if not r["gap"]) and any(r["gap"] and r["offset"] == 0 for r in found)
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_warc_long_url(spark, compressed):
+    path, url = common.shared_dir(spark, "warc"), "http://x/" + "a" * 100_000
+    warc.write_warc(spark.createDataFrame([(1, url, "text"), (2, "http://y", "more")], "page_id long, url string, html string"), path, gzip=compressed)
+    rows = warc.read_warc(spark, path).collect()
+    assert sorted(r.uri for r in rows) == [url, "http://y"] and all(r.gap is None for r in rows)
+
+
 # ------------------------------------------------------------------ language model
 
 
