@@ -18,12 +18,14 @@ from . import common
 TRAINING_FINDINGS = 4000
 CONTEXT_CHARS = 48
 
-#: A long run of key characters, or the value of an assignment to a telling name; fixed values.
+#: The value of an assignment to a name with a telling part, or a long run of key characters; fixed values.
 CANDIDATE = (
-    r"""(?<![A-Za-z0-9])(?:(?:[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_KEY)"""
+    r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9_.\-]{0,64}?(?:(?i:password|passwd|pwd|secret|token|api[_\-]?key))[A-Za-z0-9_.\-]{0,64}["']?"""
     r"""[ \t]{0,2}[:=][ \t]{0,2}["']?[^\s"']{6,}|[A-Za-z0-9+/_\-]{16,})"""
 )
-ASSIGNED = r"""^[A-Za-z_]+[ \t]{0,2}[:=][ \t]{0,2}["']?"""
+ASSIGNED = r"""^[A-Za-z0-9_.\-]+["']?[ \t]{0,2}[:=][ \t]{0,2}["']?"""
+#: Paths of files whose values are stand-ins; whole parts of names.
+PATH_LIKE = r"(^|[^a-z])(tests?|testing|examples?|docs?|samples?|fixtures?)([^a-z]|$)"
 
 #: Words that say what stands beside them; fixed values.
 TELLING = "password passwd pwd secret token key credential auth aws login"
@@ -48,7 +50,8 @@ def _count(text: Column, pattern: str) -> Column:
 def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, path, position, candidate, assigned, before, after) of every candidate in every text.
 
-    A candidate holds a digit, or is assigned to a telling name.  Positions
+    A candidate holds a digit, or is assigned to a telling name; a quoted value is
+    taken whole, others without the punctuation behind them.  Positions
     count from 1 and come from the matches' order, each searched for after
     the end of the one before.
     """
@@ -70,13 +73,14 @@ def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
     )
     match, start = F.col("m.match"), F.col("m.at")
     value = F.regexp_replace(match, ASSIGNED, "")
+    quoted = match.rlike(ASSIGNED.removesuffix("?") + ".")
     at = start + F.length(match) - F.length(value)
     first = F.greatest(F.lit(1), start - CONTEXT_CHARS)
     return each.select(
         "doc_id",
         "path",
         at.alias("position"),
-        F.regexp_replace(value, "[.,;:!?)]+$", "").alias("candidate"),
+        F.when(quoted, value).otherwise(F.regexp_replace(value, "[.,;:!?)]+$", "")).alias("candidate"),
         match.rlike(ASSIGNED + ".").alias("assigned"),
         F.substring(F.col("text"), first, at - first).alias("before"),
         F.substring(F.col("text"), start + F.length(match), F.lit(CONTEXT_CHARS)).alias("after"),
@@ -108,7 +112,7 @@ def with_features(findings: DataFrame) -> DataFrame:
         "telling": _count(near, word_of(TELLING)).cast("double"),
         "harmless": _count(near, word_of(HARMLESS)).cast("double"),
         "assigned": F.coalesce(F.col("assigned"), F.lit(False)).cast("double"),
-        "path_like": F.coalesce(F.lower("path").rlike("test|example|doc|sample|fixture"), F.lit(False)).cast("double"),
+        "path_like": F.coalesce(F.lower("path").rlike(PATH_LIKE), F.lit(False)).cast("double"),
     }
     measured = findings.select(
         "*", *[F.coalesce(values[k].cast("double"), F.lit(0.0)).alias(f"__{k}") for k in FEATURES]
@@ -120,6 +124,11 @@ def with_features(findings: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFrame:
     """``n`` findings with labels: real key formats against hashes, versions, paths, names and stand-ins.
 
+    A third lie in tests, examples, samples or documentation, a third in other
+    files, the rest have no path.  A value assigned to a telling name is a
+    stand-in in the first and a secret elsewhere; key formats that only a
+    provider issues are secrets everywhere.
+
     Made from numbers by hash functions, so that every run has the same rows.
     """
     own = spark.range(n).select(
@@ -128,14 +137,21 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFr
         F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), "id"), 512))), "=\n", "").alias("b64"),
         common.base32(F.sha1(F.concat(F.lit("k"), "id").cast("binary"))).alias("b32"),
         F.translate(F.substring(F.sha2(F.concat(F.lit("n"), "id"), 256), 1, 24), "abcdef", "135790").alias("number"),
-        F.pmod("id", F.lit(18)).alias("kind"),
+        F.pmod("id", F.lit(20)).alias("kind"),
         F.pmod(F.xxhash64("id"), F.lit(9)).cast("int").alias("pick"),
+        F.pmod(F.xxhash64("id", F.lit("path")), F.lit(12)).cast("int").alias("place"),
     )
     plain = F.element_at(
         F.array(*map(F.lit, ("over the", "we saw in", "und der", "von einer", "de la", "et les", "see", "that was", "in one"))),
         F.col("pick") + 1,
     )
-    # kind: (candidate, assigned, before, after, path, label)
+    path = F.element_at(
+        F.array(*map(F.lit, ("tests/login.py", "examples/setup.cfg", "docs/guide.md", "src/fixtures/users.json", "src/login.py", "config/prod.env", "deploy/latest.yml", "app/settings.json"))),
+        F.when(F.col("place") < 8, F.col("place") + 1).otherwise(1),
+    )
+    stand_in = F.when(F.col("place") < 4, 0).otherwise(1)
+    punctuated = F.translate(F.substring("b64", 5, 12), "aeiouAEI", "$!&@#%?*")
+    # kind: (candidate, assigned, before, after, label)
     say = lambda word: F.concat(plain, F.lit(f" {word} "))
     bare = F.concat(plain, F.lit(" "))
     after = F.lit(" the rest")
@@ -145,12 +161,14 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFr
     plan = [
         (F.concat(F.lit("AKIA"), F.substring("b32", 1, 16)), no, bare, after, 1),
         (F.concat(F.lit("AKIA"), F.substring("b32", 9, 16)), no, say("key"), after, 1),
-        (F.substring("hex", 1, 40), yes, F.concat(plain, F.lit(' token = "')), quoted, 1),
-        (F.substring("hex", 7, 18), yes, F.concat(plain, F.lit(" password=")), after, 1),
-        (F.substring("b64", 1, 40), yes, F.concat(plain, F.lit(" secret: ")), after, 1),
+        (F.substring("hex", 1, 40), yes, F.concat(plain, F.lit(' token = "')), quoted, stand_in),
+        (F.substring("hex", 7, 18), yes, F.concat(plain, F.lit(" password=")), after, stand_in),
+        (F.substring("b64", 1, 40), yes, F.concat(plain, F.lit(" secret: ")), after, stand_in),
         (F.concat(F.lit("ghp_"), F.translate(F.substring("b64", 1, 36), "+/", "xy")), no, bare, after, 1),
         (F.concat(F.lit("sk_live_"), F.translate(F.substring("b64", 9, 24), "+/", "xy")), yes, F.concat(plain, F.lit(" api_key=")), after, 1),
-        (F.substring("b64", 3, 20), yes, F.concat(plain, F.lit(" Password: ")), after, 1),
+        (F.substring("b64", 3, 20), yes, F.concat(plain, F.lit(" Password: ")), after, stand_in),
+        (punctuated, yes, F.concat(plain, F.lit(' {"password": "')), F.lit('"} the rest'), stand_in),
+        (F.concat(F.substring("hex", 3, 6), F.lit("!"), F.substring("b32", 2, 4)), yes, F.concat(plain, F.lit(' secret_key = "')), quoted, stand_in),
         (F.substring("hex", 1, 40), no, say("commit"), after, 0),
         (F.substring("hex", 1, 64), no, say("sha256"), after, 0),
         (F.regexp_replace(F.substring("hex", 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), no, say("uuid"), after, 0),
@@ -165,7 +183,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFr
     pick = lambda i: F.element_at(F.array(*[F.lit(p[i]) if isinstance(p[i], int) else p[i] for p in plan]), F.col("kind").cast("int") + 1)
     return own.select(
         F.col("id").alias("doc_id"),
-        F.lit(None).cast("string").alias("path"),
+        F.when(F.col("place") < 8, path).alias("path"),
         pick(0).alias("candidate"),
         pick(1).alias("assigned"),
         pick(2).alias("before"),
