@@ -264,6 +264,18 @@ add("cumulative_product", "first_events", [("add_computed_column", {"name": "v",
 add("exponential_moving_average", "first_events", [("exponential_moving_average", {"column": "value", "order_by": "ts"}), cols("event_id", "rn", "value_ema")],
     """SELECT event_id, rn, round(sum(value * pow(0.7, rn - 1)) OVER w / sum(pow(0.7, rn - 1)) OVER w, 4) AS value_ema
     FROM (SELECT *, row_number() OVER (ORDER BY ts) AS rn FROM events WHERE event_id < 500) WINDOW w AS (ORDER BY rn ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)""", 4)
+_LAGS = range(1, 11)
+_EMA = "(coalesce(value, 0) + %s) / (1 + %s)" % (
+    " + ".join(f"coalesce(lag(value, {k}) OVER w, 0) * pow(0.7, -{k})" for k in _LAGS),
+    " + ".join(f"CASE WHEN rn > {k} THEN pow(0.7, -{k}) ELSE 0 END" for k in _LAGS),
+)
+# over all events; the weights stand inside the frame and the factors are near 1, so that SQL stays stable at any length
+for _name, _bound in (("_whole", None), ("_at_scale", 0)):
+    _far = {"order_by": "ts", "one_task_bytes": _bound}
+    add(f"cumulative_product{_name}", "events", [("add_computed_column", {"name": "v", "expr": "1 + value / 100000000"}), ("cumulative_product", {"column": "v", **_far}), cols("event_id", "v_cumprod")],
+        "SELECT event_id, round(exp(sum(ln(1 + value / 100000000)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)), 6) AS v_cumprod FROM events")
+    add(f"exponential_moving_average{_name}", "events", [("exponential_moving_average", {"column": "value", **_far}), cols("event_id", "rn", "value_ema")],
+        f"SELECT event_id, rn, round({_EMA}, 4) AS value_ema FROM (SELECT *, row_number() OVER (ORDER BY ts) AS rn FROM events) WINDOW w AS (ORDER BY rn)", 4)
 for _name, _bound in (("", None), ("_at_scale", 0)):
     _far = {"order_by": "ts", "one_task_bytes": _bound}
     _w = "OVER (ORDER BY ts ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
@@ -337,6 +349,11 @@ _two("join_right", "nation", lambda c, n: aggregation.join(c.filter("c_custkey <
      "SELECT c_custkey, n_nationkey AS right_n_nationkey FROM (SELECT * FROM customer WHERE c_custkey < 20) RIGHT JOIN nation ON c_nationkey = n_nationkey")
 _two("join_full", "nation", lambda c, n: aggregation.join(c.filter("c_custkey < 20"), n.filter("n_nationkey < 10"), _ON, "full", ["c_custkey"], ["n_nationkey"]), "customer",
      "SELECT c_custkey, n_nationkey AS right_n_nationkey FROM (SELECT * FROM customer WHERE c_custkey < 20) FULL JOIN (SELECT * FROM nation WHERE n_nationkey < 10) ON c_nationkey = n_nationkey")
+_CUST = [{"left": "c_custkey", "right": "o_custkey"}]
+_two("join_right_whole", "orders", lambda c, o: aggregation.join(c.filter("c_mktsegment = 'BUILDING'"), o, _CUST, "right", ["c_custkey"], ["o_orderkey"]), "customer",
+     "SELECT c_custkey, o_orderkey AS right_o_orderkey FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') RIGHT JOIN orders ON c_custkey = o_custkey")
+_two("join_full_whole", "orders", lambda c, o: aggregation.join(c.filter("c_acctbal > 0"), o.filter("o_orderpriority = '1-URGENT'"), _CUST, "full", ["c_custkey"], ["o_orderkey"]), "customer",
+     "SELECT c_custkey, o_orderkey AS right_o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey")
 _two("join_semi", "orders", lambda c, o: aggregation.join(c, o.filter("o_totalprice > 100000"), [{"left": "c_custkey", "right": "o_custkey"}], "semi", ["c_custkey"]), "customer",
      "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
 _two("join_anti", "orders", lambda c, o: aggregation.join(c, o, [{"left": "c_custkey", "right": "o_custkey"}], "anti", ["c_custkey"]), "customer",

@@ -35,6 +35,21 @@ def test_queries_match_their_sql(spark, name):
     assert len(got) == len(want) and all(g == tuple(map(near, w)) for g, w in zip(got, want))
 
 
+WHOLE = ["cumulative_product_whole", "cumulative_product_at_scale", "exponential_moving_average_whole", "exponential_moving_average_at_scale", "join_right_whole", "join_full_whole"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_table_queries_match_their_sql(spark, name):
+    import __spark_entry__ as e
+
+    test_queries_match_their_sql(spark, name)
+    rows = e.queries()[name](spark, SF).collect()
+    if name.startswith("join"):
+        assert any(r[0] is None for r in rows) and (name == "join_right_whole" or any(r[1] is None for r in rows))
+    else:
+        assert len(rows) == spark.read.parquet(f"{SF}/events.parquet").count() > 500
+
+
 def test_the_rest_imports_without_the_corpus_folders(tmp_path):
     """Copies what remains when the corpus package and pipeline are deleted."""
     import shutil
