@@ -240,17 +240,30 @@ def p_value(statistic: float, distribution: str = "normal", *dof: float) -> floa
 
 
 @concept("hypothesis", "post-hoc-tests")
-def post_hoc(df: DataFrame, value: str, group: str) -> list[dict]:
-    """Welch tests of all pairs of groups with Bonferroni's correction; of at most a thousand groups."""
-    g = df.groupBy(compat.col(group).alias("g")).agg(F.count(_x(value)).alias("n"), F.avg(_x(value)).alias("m"), F.var_samp(_x(value)).alias("v")).filter("n > 1").orderBy("g").limit(1000).collect()
-    pairs = [(a, b) for i, a in enumerate(g) for b in g[i + 1 :]]
-    out = []
-    for a, b in pairs:
-        e1, e2 = a.v / a.n, b.v / b.n
-        t = (a.m - b.m) / math.sqrt(e1 + e2) if e1 + e2 else math.nan
-        dof = (e1 + e2) ** 2 / (e1**2 / (a.n - 1) + e2**2 / (b.n - 1)) if e1 + e2 else math.nan
-        out.append({"a": a.g, "b": b.g, "t_statistic": t, "p_value": min(1.0, len(pairs) * D.t_two_sided(t, dof))})
-    return out
+def post_hoc(df: DataFrame, value: str, group: str, groups: list | None = None, pairs: list[tuple] | None = None) -> DataFrame:
+    """(a, b, t_statistic, p_value): Welch tests of all pairs of groups, of the pairs of some, or of given pairs.
+
+    Bonferroni's correction is for the number of pairs really tested; groups of
+    fewer than two values can't be.
+    """
+    g = df.filter(compat.col(group).isNotNull()).groupBy(compat.col(group).alias("g")).agg(F.count(_x(value)).alias("n"), F.avg(_x(value)).alias("m"), F.var_samp(_x(value)).alias("v")).filter("n > 1")
+    if groups is not None:
+        g = g.filter(F.col("g").isin(list(groups)))
+    side = lambda s: g.select(*[F.col(c).alias(f"{c}{s}") for c in g.columns])
+    if pairs is not None:
+        kind = g.schema["g"].dataType.simpleString()
+        both = df.sparkSession.createDataFrame(list(pairs), f"ga {kind}, gb {kind}").distinct().join(side("a"), "ga").join(side("b"), "gb")
+    else:
+        both = side("a").join(side("b"), F.col("ga") < F.col("gb"))
+    m = both.count()
+    e1, e2 = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
+    tests = both.select(
+        F.col("ga").alias("a"), F.col("gb").alias("b"),
+        F.when(e1 + e2 > 0, (F.col("ma") - F.col("mb")) / F.sqrt(e1 + e2)).otherwise(F.lit(math.nan)).alias("t_statistic"),
+        F.when(e1 + e2 > 0, (e1 + e2) ** 2 / (e1**2 / (F.col("na") - 1) + e2**2 / (F.col("nb") - 1))).otherwise(F.lit(math.nan)).alias("dof"),
+    )
+    tail = F.udf(lambda t, dof: math.nan if math.isnan(t) else min(1.0, m * D.t_two_sided(t, dof)), "double")
+    return tests.select("a", "b", "t_statistic", tail("t_statistic", "dof").alias("p_value"))
 
 
 @concept("hypothesis", "power")

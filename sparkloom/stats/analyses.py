@@ -197,7 +197,10 @@ def paired_ttest(df: DataFrame, before: str, after: str) -> dict:
 
 @analysis("anova_oneway", "one-way-anova", "anova-one-way", "anova")
 def anova_oneway(df: DataFrame, value: str, group: str) -> dict:
-    """One-way analysis of variance from the groups' counts, means and deviations."""
+    """One-way analysis of variance from the groups' counts, means and deviations.
+
+    ``groups`` is a DataFrame (group, mean, std, n) with a row for every group.
+    """
     x = _x(value)
     moments = _complete(df, [value, group]).groupBy(compat.col(group).alias("g")).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), (F.var_pop(x) * F.count(x)).alias("ss"))
     total = _row(moments, k=F.count(F.lit(1)), n=F.sum("n"), sum=F.sum(F.col("n") * F.col("m")), within=F.sum("ss"))
@@ -205,7 +208,7 @@ def anova_oneway(df: DataFrame, value: str, group: str) -> dict:
     grand, n, k = total["sum"] / total["n"], total["n"], total["k"]
     between = _row(moments, b=F.sum(F.col("n") * (F.col("m") - grand) ** 2))["b"]
     f = (between / (k - 1)) / (total["within"] / (n - k)) if n > k and total["within"] else math.inf
-    groups = {str(r.g): {"mean": r.m, "std": r.s, "n": r.n} for r in moments.orderBy("g").limit(1000).collect()}
+    groups = moments.select(F.col("g").alias("group"), F.col("m").alias("mean"), F.col("s").alias("std"), "n")
     return {"f_statistic": f, "p_value": D.f_sf(f, k - 1, n - k), "df_between": k - 1, "df_within": n - k, "groups": groups}
 
 
@@ -581,5 +584,12 @@ def analyse(df: DataFrame, name: str, params: dict | None = None, fingerprint: s
     found = result(df, name, params, fingerprint)
     if isinstance(found, DataFrame):
         return found
-    rows = [(k, float(v) if isinstance(v, (int, float)) else None, v if isinstance(v, str) else None) for k, v in _flat(found).items()]
-    return df.sparkSession.createDataFrame(rows, "measure string, value double, label string")
+    flat = _flat(found)
+    rows = [(k, float(v) if isinstance(v, (int, float)) else None, v if isinstance(v, str) else None) for k, v in flat.items() if not isinstance(v, DataFrame)]
+    out = df.sparkSession.createDataFrame(rows, "measure string, value double, label string")
+    for k, v in flat.items():
+        if isinstance(v, DataFrame):  # a row for each group: its name and numbers
+            name, *numbers = v.columns
+            cells = F.array(*[F.struct(F.concat_ws(".", F.lit(k), F.col(name).cast("string"), F.lit(c)).alias("measure"), F.col(c).cast("double").alias("value")) for c in numbers])
+            out = out.union(v.select(F.explode(cells).alias("c")).select("c.measure", "c.value", F.lit(None).cast("string")))
+    return out

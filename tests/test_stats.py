@@ -153,6 +153,23 @@ def test_dispatch(spark):
     assert len(set(ANALYSES.values())) >= 19
 
 
+def test_every_group_of_many_is_kept(spark):
+    df = spark.range(3600).selectExpr("id % 1200 as g", "cast(id % 1200 + id div 1200 as double) as v")
+    a = result(df, "anova", {"value": "v", "group": "g"})
+    groups = {r.group: (r["mean"], r.std, r.n) for r in a["groups"].collect()}
+    assert groups == {i: (i + 1.0, 1.0, 3) for i in range(1200)}
+    assert analyse(df, "anova", {"value": "v", "group": "g"}).filter("measure = 'groups.1150.mean'").first().value == 1151.0
+    run = concepts.CONCEPTS["post-hoc-tests"].run
+    # Welch's t of samples of three with variance 1: the difference over the square root of 2/3, with 4 degrees of freedom
+    one = run(df, "v", "g", pairs=[(3, 1150)]).collect()
+    assert [(r.a, r.b) for r in one] == [(3, 1150)] and one[0].t_statistic == pytest.approx(-1147 / math.sqrt(2 / 3))
+    some = {(r.a, r.b): r.p_value for r in run(df, "v", "g", groups=[1100, 1101, 1199]).collect()}
+    assert set(some) == {(1100, 1101), (1100, 1199), (1101, 1199)}
+    alone = run(df, "v", "g", pairs=[(1100, 1101)]).first().p_value
+    assert some[1100, 1101] == pytest.approx(min(1.0, 3 * alone)) and 0 < alone < 1
+    assert run(df, "v", "g").count() == 1200 * 1199 // 2
+
+
 def test_concepts(spark):
     assert len(concepts.CONCEPTS) == 108 and concepts.search("kendall")
     df = frame(spark, [(1, 1, 0.9), (1, 0, 0.4), (0, 0, 0.2), (0, 1, 0.6), (1, 1, 0.8)], "y int, p int, q double")
