@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch; with whole texts in them, batches stay small.
+#: Rows that a function of batches gets at once; with whole texts in them, batches stay small.
 BATCH_ROWS = 256
 
 #: The white space that separates words: space and \x09 to \x0D.
@@ -25,24 +25,25 @@ _written: dict[str, list[str]] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and keep Arrow batches small."""
+    """Let Python workers import this package."""
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(":")
     if root not in known:
         environment["PYTHONPATH"] = ":".join([root, *filter(None, known)])
     environment.setdefault("TOKENIZERS_PARALLELISM", "false")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
+    """A new folder under ``spark.checkpoint.dir``, which all executors share; it goes when the application ends.
 
-    Only a session without that setting (a test) gets a folder of its own.
+    Only a local session without that setting (a test) gets a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -50,15 +51,20 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         base = _own[app]
     path = f"{base.rstrip('/')}/sparkloom/{label}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables written so far; call it once their readers are done."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in _written.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        delete(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -85,10 +91,19 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with small batches, whatever the session's are."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(small, schema)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: T.StructType | str
 ) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+    """:func:`map_arrow` with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +113,7 @@ def map_batches(
             else:
                 yield from out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def record_batch(**columns: pa.Array) -> pa.RecordBatch:

@@ -197,7 +197,7 @@ def decontaminate(
         following = next(blocks, None)
         shared = spark.sparkContext.broadcast(Searcher(block, window))
         last = following is None
-        docs = docs.mapInArrow(scanner(shared, last, first), done if last else held)
+        docs = common.map_arrow(docs, scanner(shared, last, first), done if last else held)
         if not last:
             docs = common.stage(docs, "decontaminate")
         block, first = following, False

@@ -117,7 +117,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
                 doc_id=batch.column(0).take(pa.array(ids, pa.int32())),
             )
 
-    return docs.mapInArrow(run, "place long, print long, doc_id long")
+    return common.map_arrow(docs, run, "place long, print long, doc_id long")
 
 
 def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, shard_lines: int = SHARD_LINES) -> tuple[DataFrame, int, int]:
@@ -268,7 +268,7 @@ def dedup_lines(
         first, last = b == 0, b == len(blocks) - 1
         rows = index.filter(F.col("shard").between(block[0], block[-1])).collect()
         shared = spark.sparkContext.broadcast(_load(rows))
-        docs = docs.mapInArrow(prober(shared, first, last), done if last else held)
+        docs = common.map_arrow(docs, prober(shared, first, last), done if last else held)
         if not last:
             docs = common.stage(docs, "probed")
     return docs

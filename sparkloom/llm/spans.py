@@ -91,7 +91,7 @@ def dedup_spans(
                 names=["doc_id", "text", "hashes", "starts", "ends"],
             )
 
-    spans = own.mapInArrow(run, f"doc_id {id_sql}, text string, hashes array<long>, starts array<int>, ends array<int>")
+    spans = common.map_arrow(own, run, f"doc_id {id_sql}, text string, hashes array<long>, starts array<int>, ends array<int>")
     spans = spans.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), "text", F.arrays_zip("hashes", "starts", "ends").alias("spans")
     )

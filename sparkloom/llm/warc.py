@@ -368,7 +368,7 @@ def read_warc(spark: SparkSession, path: str, *, glob: str = "part-*", payloads:
                     yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select("path", "content").mapInArrow(run, schema)
+    return common.map_arrow(files.select("path", "content"), run, schema)
 
 
 def gaps(records: DataFrame) -> DataFrame:
