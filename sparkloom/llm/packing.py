@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +13,8 @@ from . import common
 from .tokens import encoder
 
 #: Pieces that one packer takes, and the bins that it holds open.
-PACKER_PIECES = 1 << 15
-OPEN_BINS = 1 << 14
+PACKER_PIECES = 1 << 16
+OPEN_BINS = 512
 
 
 class BestFit:
@@ -30,7 +29,7 @@ class BestFit:
         self.capacity, self.most = capacity, open_bins
         self.levels = 0
         self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.open = self.made = 0
+        self.open = self.made = self.closings = 0
 
     def _take(self, free: int) -> int:
         own = self.bins[free]
@@ -49,6 +48,7 @@ class BestFit:
         else:
             if self.open >= self.most:
                 self._take((self.levels & -self.levels).bit_length() - 1)
+                self.closings += 1
             free, bin_id = self.capacity, self.made
             self.made += 1
         left = free - length
@@ -74,15 +74,13 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: in
 
     def run(batches):
         enc = encoder(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids = batch.column(0)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids, edges = enc.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
             rows: list[tuple[int, int, int, int, int]] = []
-            for i, ids in enumerate(enc.encode_batch(texts)):
-                ids += end
-                for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((i, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+            for i, (at, end) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                for k, (start, length) in enumerate(cut(end - at, capacity)):
+                    rows.append((i, k, start, length, zlib.crc32(ids[at + start : at + start + length])))
             columns = list(zip(*rows)) or [()] * 5
             yield common.record_batch(
                 doc_id=doc_ids.take(pa.array(columns[0], pa.int32())),
@@ -93,7 +91,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: in
             )
 
     schema = f"doc_id {id_sql}, piece int, start long, length long, ids_crc32 long"
-    return docs.mapInArrow(run, schema)
+    return common.map_arrow(docs, run, schema)
 
 
 def pack(
@@ -111,9 +109,9 @@ def pack(
 
     Tokenizing happens where the documents lie; only the pieces' numbers are
     shuffled, to packers of about ``packer_pieces`` pieces each, at random by a
-    hash so that each sees the same mix of lengths.  Within a packer long pieces
-    come first, equal ones by that hash, so a task that runs again packs alike
-    and short pieces fill what the long ones leave.
+    hash so that each sees the same mix of lengths.  A packer takes its pieces in
+    the order of that hash, so a task that runs again packs alike, and never
+    holds more than ``open_bins`` bins open, whatever their number.
     A null or empty text is a document of its end token; no documents give no
     pieces; repeated rows and documents with the same or no id are each packed.
     """
@@ -128,7 +126,7 @@ def pack(
         rows.withColumn("mixed", mixed)
         .withColumn("packer", F.pmod("mixed", F.lit(packers)).cast("int"))
         .repartition(packers, "packer")
-        .sortWithinPartitions("packer", F.desc("length"), "mixed", "doc_id", "piece", "ids_crc32")
+        .sortWithinPartitions("packer", "mixed", "doc_id", "piece", "ids_crc32")
         .drop("mixed")
     )
 
@@ -147,7 +145,8 @@ def pack(
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return dealt.mapInArrow(
+    return common.map_arrow(
+        dealt,
         run,
         f"doc_id {id_sql}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
     )

@@ -105,7 +105,8 @@ def write_records(
     A range partitioning gives shard after shard; a shard's task encodes and
     writes its documents as it reads them.  Null ids come first; equal ids are
     ordered by their text, so that the same rows give the same files.  A null
-    or empty text has the end id alone.
+    or empty text has the end id alone.  Ids are long integers, as the format
+    has them: other numbers are cast, and an id that can't be is an error.
     """
     common.prepare(docs.sparkSession)
     own = common.only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -114,14 +115,13 @@ def write_records(
     def run(batches):
         enc = encoder(vocabulary)
         shard, before = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         block, size = [], 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for d, ids in zip(batch.column(0).to_pylist(), enc.encode_batch(texts)):
-                a = np.frombuffer(ids + end, "<u4")
-                block.append(frame(encode_record(shard, before, d, a)))
-                before += len(a)
+            ids, edges = enc.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
+            edges = edges.tolist()
+            for d, at, end in zip(batch.column(0).to_pylist(), edges, edges[1:]):
+                block.append(frame(encode_record(shard, before, d, ids[at:end])))
+                before += end - at
                 size += len(block[-1])
                 if size >= BLOCK_BYTES:
                     yield common.record_batch(block=pa.array([b"".join(block)], pa.binary()))
@@ -130,7 +130,7 @@ def write_records(
             yield common.record_batch(block=pa.array([b"".join(block)], pa.binary()))
 
     ranged = own.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    blocks = ranged.mapInArrow(run, "block binary")
+    blocks = common.map_arrow(ranged, run, "block binary")
     (
         blocks.select(F.col("block").cast("string"))
         .write.option("encoding", "ISO-8859-1")
@@ -165,7 +165,7 @@ def read_records(spark: SparkSession, path: str, *, with_ids: bool = True) -> Da
                 if rows:
                     yield _rows(rows, with_ids)
 
-    return _files(spark, path).select("path", "content").mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    return common.map_arrow(_files(spark, path).select("path", "content"), run, schema + ", ids array<int>" * with_ids)
 
 
 def _rows(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
@@ -231,4 +231,5 @@ def read_by_index(spark: SparkSession, path: str, wanted: DataFrame) -> DataFram
                 doc_id=pa.array(docs, pa.int64()), ids=pa.array(ids, pa.list_(pa.int32()))
             )
 
-    return files.join(offsets, "file").select("content", "offsets").mapInArrow(run, "doc_id long, ids array<int>")
+    found = files.join(offsets, "file").select("content", "offsets")
+    return common.map_arrow(found, run, "doc_id long, ids array<int>")
