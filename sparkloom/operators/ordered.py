@@ -12,7 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,17 +36,30 @@ def is_small(df: DataFrame, bound: int | None = None) -> bool:
     return estimated_bytes(df) <= (ONE_TASK_BYTES if bound is None else bound)
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back; its partitions' ids then stay as they are."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which all executors share; it goes when the application ends.
+
+    Only a local session without that setting (a test) gets a folder of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        sc = df.sparkSession.sparkContext
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not sc.getCheckpointDir():
             import tempfile
 
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = sc.getCheckpointDir()
-    path = f"{base.rstrip('/')}/sparkloom/ordered-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/sparkloom/{label}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def _staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back; its partitions' ids then stay as they are."""
+    path = scratch(df.sparkSession, "ordered")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
