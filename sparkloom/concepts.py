@@ -1,7 +1,8 @@
 """A registry of statistical concepts and what computes them here.
 
 A concept with a function takes a DataFrame (or numbers) and parameters; others
-name the step, analysis or Spark class to use, or why there is none.
+name the step, analysis or Spark class to use, or why there is none; those of
+the last two kinds are in :func:`left_to_others`.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import compat
-from .functions.aggregates import quantile
 from .operators import ordered
+from .session import share_package
 from .stats import analyses as A
 from .stats import distributions as D
 
@@ -55,6 +57,11 @@ def search(text: str) -> list[Concept]:
     return [c for c in CONCEPTS.values() if low in f"{c.slug} {c.topic} {c.use}".lower()]
 
 
+def left_to_others() -> list[str]:
+    """Concepts that nothing here computes: the name of a Spark class, or of nothing."""
+    return sorted(c.slug for c in CONCEPTS.values() if c.run is None and ("pyspark" in c.use or "no Spark plan" in c.use or "fits on" in c.use))
+
+
 def _x(c: str):
     return compat.col(c).cast("double")
 
@@ -105,8 +112,8 @@ def coefficient_of_variation(df: DataFrame, column: str) -> float | None:
 
 @concept("descriptive", "mad")
 def median_absolute_deviation(df: DataFrame, column: str) -> float | None:
-    median = _row(df, m=quantile(0.5)(_x(column)))["m"]
-    return _row(df, m=quantile(0.5)(F.abs(_x(column) - F.lit(median))))["m"]
+    median = A._quantiles(df, _x(column), 0.5)[0]
+    return A._quantiles(df, F.abs(_x(column) - F.lit(median)), 0.5)[0]
 
 
 @concept("descriptive", "range")
@@ -500,15 +507,55 @@ def decomposition(df: DataFrame, column: str, order_by: str, period: int) -> Dat
 
 
 @concept("time series", "exponential-smoothing")
-def exponential_smoothing(df: DataFrame, column: str, order_by: str, by: list[str], alpha: float = 0.3, name: str = "smoothed") -> DataFrame:
-    """Simple smoothing of each series; a series is as long as one row of a list may be."""
-    rows = F.array_sort(F.collect_list(F.struct(compat.col(order_by).alias("o"), _x(column).alias("v"))))
-    start = lambda r: r[0]["v"]
-    series = df.groupBy(*compat.cols(by)).agg(rows.alias("r"))
-    step = lambda s, x: F.array_append(s, F.lit(alpha) * x["v"] + F.lit(1 - alpha) * F.element_at(s, -1))
-    smooth = F.aggregate(F.slice("r", F.lit(2), F.size("r")), F.array(start(F.col("r"))), step)
-    both = series.select(*compat.cols(by), F.inline(F.arrays_zip(F.transform("r", lambda x: x["o"]).alias("o"), F.transform("r", lambda x: x["v"]).alias("v"), smooth.alias("s"))).alias("o", "v", "s"))
-    return both.withColumnsRenamed({"o": order_by, "v": column, "s": name})
+def exponential_smoothing(df: DataFrame, column: str, order_by: str, by: list[str], alpha: float = 0.3, name: str = "smoothed", block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
+    """Simple smoothing of each series: (by, order_by, column, name).
+
+    A row's value is a straight line of the one before it, and so is a block's last
+    value of the value carried into the block: blocks of rows give their lines,
+    these are chained (a row for each block), and each block is smoothed from
+    what is carried in.  A null makes the rest of its series null.
+    """
+    share_package(df.sparkSession)
+    own = df.select(*compat.cols(by), compat.col(order_by).alias(order_by), _x(column).alias(column))
+    keys = compat.cols(by)
+    rows = ordered.with_index(own, [*[k.asc() for k in keys], compat.col(order_by).asc()], "__i")
+    rows = rows.withColumns({"__block": F.expr(f"__i div {block_rows}"), "__series": F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})})
+
+    def starts(pdf: pd.DataFrame) -> np.ndarray:
+        s = pdf["__series"].to_numpy()
+        return np.concatenate([[False], s[1:] != s[:-1]])
+
+    def line(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The block's last value as slope * carried + base, the first row going on with the series before."""
+        pdf = pdf.sort_values("__i")
+        x, new = pdf[column].to_numpy(float), starts(pdf)
+        last = np.flatnonzero(new)
+        slope, base = (1.0, 0.0) if not len(last) else (0.0, float(x[last[-1]]))
+        for v in x[last[-1] + 1 :] if len(last) else x:
+            slope, base = slope * (1 - alpha), base * (1 - alpha) + alpha * v
+        return pd.DataFrame({"block": [int(pdf["__block"].iloc[0])], "slope": [slope], "base": [base], "first": [pdf["__series"].iloc[0]], "last": [pdf["__series"].iloc[-1]], "x": [x[0]]})
+
+    lines = rows.groupBy("__block").applyInPandas(line, "block long, slope double, base double, first string, last string, x double").orderBy("block").collect()
+    carried, before, value = {}, None, math.nan
+    for r in lines:
+        nan = lambda v: math.nan if v is None else v
+        inside = value if r.first == before else nan(r.x)  # a first value is its own predecessor
+        carried[r.block] = inside
+        value, before = (nan(r.slope) * inside if r.slope else 0.0) + nan(r.base), r.last
+    shared = df.sparkSession.createDataFrame(list(carried.items()) or [(0, 0.0)], "__block long, __carried double")
+
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__i")
+        x, new, out = pdf[column].to_numpy(float), starts(pdf), np.empty(len(pdf))
+        value = float(pdf["__carried"].iloc[0])
+        for i, (v, first) in enumerate(zip(x.tolist(), new.tolist())):
+            value = v if first else alpha * v + (1 - alpha) * value
+            out[i] = value
+        return pd.DataFrame({"__i": pdf["__i"], "__smoothed": out})
+
+    done = rows.join(shared, "__block").select("__i", "__block", "__series", "__carried", column).groupBy("__block").applyInPandas(smooth, "__i long, __smoothed double")
+    smoothed = F.when(~F.isnan("__smoothed"), F.col("__smoothed")).alias(name)
+    return rows.join(done, "__i").select(*keys, compat.col(order_by), compat.col(column), smoothed)
 
 
 # ---------------------------------------------------------------- data for charts
@@ -529,7 +576,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 @concept("eda", "box-plot")
 def box_plot(df: DataFrame, column: str) -> dict:
-    q = _row(df, q=F.percentile(_x(column), F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))))["q"]
+    q = A._quantiles(df, _x(column), 0.0, 0.25, 0.5, 0.75, 1.0)
     return dict(zip(("min", "q1", "median", "q3", "max"), q))
 
 

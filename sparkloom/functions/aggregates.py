@@ -1,4 +1,4 @@
-"""Aggregate functions by name."""
+"""Aggregate functions by name; those that need all values of a group at once are in ``operators.counted``."""
 
 from __future__ import annotations
 
@@ -37,16 +37,6 @@ def median(c: Column) -> Column:
     return F.median(c.cast("double"))
 
 
-def mad(c: Column) -> Column:
-    """Median absolute deviation from the median, over the group's values in one list."""
-    values = F.array_sort(F.collect_list(c.cast("double")))
-    place = lambda a, k: F.element_at(a, F.floor((F.size(a) + k) / 2).cast("int"))
-    mid = lambda a: (place(a, 1) + place(a, 2)) / 2
-    # the median stands beside each value, so that it is found once and not for each of them
-    pairs = F.arrays_zip(values.alias("v"), F.array_repeat(mid(values), F.size(values)).alias("m"))
-    return F.when(F.count(c) > 0, mid(F.array_sort(F.transform(pairs, lambda p: F.abs(p["v"] - p["m"])))))
-
-
 def quantile(p: float) -> Callable[[Column], Column]:
     return lambda c: F.percentile(c.cast("double"), F.lit(float(p)))
 
@@ -91,7 +81,6 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "kurtosis": kurtosis,
     "skewness_pop": F.skewness,
     "kurtosis_pop": F.kurtosis,
-    "mad": mad,
 }
 
 

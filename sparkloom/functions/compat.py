@@ -178,7 +178,14 @@ def date_diff(to: str, start: Column, end: Column) -> Column:
         return F.datediff(b, a).cast("bigint")
     if u == "week":  # whole weeks, whatever the weekday
         return (F.datediff(b, a) / 7).cast("bigint")
-    size = {"hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "millisecond": 1000, "microsecond": 1}[u]
+    if u in ("hour", "minute", "second"):  # whole numbers all the way
+        count = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("bigint") * 24 + F.hour(c)
+        for finer, part in (("minute", F.minute), ("second", F.second)):
+            if u == "hour" or (u, finer) == ("minute", "second"):
+                break
+            count = lambda c, larger=count, part=part: larger(c) * 60 + part(c)
+        return count(b) - count(a)
+    size = {"millisecond": 1000, "microsecond": 1}[u]
     return (F.floor(micros(b) / size) - F.floor(micros(a) / size)).cast("bigint")
 
 

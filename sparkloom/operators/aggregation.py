@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compat
 from ..functions.aggregates import aggregate
+from . import counted
 from .registry import step
 
 
@@ -24,7 +25,7 @@ def group_aggregate(df: DataFrame, group_by=(), aggs=()) -> DataFrame:
     full = [a for a in aggs if a.get("fn") and a.get("as")]
     if not full:
         return df.select(*compat.cols(group_by)).distinct() if group_by else df
-    return _grouped(df, group_by, *[aggregate(a["fn"], a.get("column", "*")).alias(a["as"]) for a in full])
+    return counted.grouped(df, compat.names(group_by), [(a["fn"], a.get("column", "*"), a["as"]) for a in full])
 
 
 @step()

@@ -27,8 +27,15 @@ INDEX, BLOCK = "__index", "__block"
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Spark's estimate of the size; runs nothing."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's estimate of the size; runs nothing.
+
+    Spark multiplies the sizes of a join's sides, so that an estimate beyond eight
+    times all that is scanned is taken for that.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    return min(int(str(plan.stats().sizeInBytes())), 8 * scanned)
 
 
 def is_small(df: DataFrame, bound: int | None = None) -> bool:
@@ -89,15 +96,27 @@ def with_index(df: DataFrame, order: Sequence[Column], name: str = INDEX) -> Dat
     )
 
 
+def _asc(within: Sequence[Column]) -> list[Column]:
+    return [c.asc() for c in within]
+
+
+def _window(within: Sequence[Column], order: Sequence[Column]) -> W:
+    return W.partitionBy(*within).orderBy(*order) if within else W.orderBy(*order)
+
+
 def trailing(
     df: DataFrame, order: Sequence[Column], before: int, after: int, value: Callable[[W], Column], name: str,
-    *, one_task_bytes: int | None = None, block_rows: int = BLOCK_ROWS,
+    *, within: Sequence[Column] = (), one_task_bytes: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``value`` over a window that reaches ``before`` rows back and ``after`` rows on."""
+    """``value`` over a window that reaches ``before`` rows back and ``after`` rows on, in each partition of ``within``.
+
+    Partitions of a large table lie one after the other in the one order, so that
+    a partition with very many rows is cut into blocks like any table.
+    """
     if is_small(df, one_task_bytes):
-        return df.withColumn(name, value(W.orderBy(*order)))
+        return df.withColumn(name, value(_window(within, order)))
     block_rows = max(block_rows, before, after, 1)
-    own = with_index(df, order).withColumn(BLOCK, F.expr(f"{INDEX} div {block_rows}"))
+    own = with_index(df, [*_asc(within), *order]).withColumn(BLOCK, F.expr(f"{INDEX} div {block_rows}"))
     spot = F.col(INDEX) % block_rows
     blocks = F.array_compact(
         F.array(
@@ -107,7 +126,7 @@ def trailing(
         )
     )
     spread = own.withColumn("__home", F.col(BLOCK)).withColumn(BLOCK, F.explode(blocks))
-    done = spread.withColumn(name, value(W.partitionBy(BLOCK).orderBy(INDEX)))
+    done = spread.withColumn(name, value(W.partitionBy(BLOCK, *within).orderBy(INDEX)))
     return done.filter(F.col(BLOCK) == F.col("__home")).drop(BLOCK, "__home", INDEX)
 
 
@@ -118,59 +137,74 @@ def running(
     value: Callable[[dict[str, Column]], Column],
     name: str,
     *,
+    within: Sequence[Column] = (),
     one_task_bytes: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``value`` of running aggregates.
+    """``value`` of running aggregates, in each partition of ``within``.
 
     ``partials``: name -> (aggregate, its input, how the blocks before and the
     block's own part are combined).  Aggregates of none must be null.
     """
     if is_small(df, one_task_bytes):
-        w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        w = _window(within, order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(name, value({k: agg(c).over(w) for k, (agg, c, _) in partials.items()}))
-    own = with_index(df, order).withColumn(BLOCK, F.expr(f"{INDEX} div {block_rows}"))
-    sums = own.groupBy(BLOCK).agg(*[agg(c).alias(f"__sum_{k}") for k, (agg, c, _) in partials.items()])
-    # a row for each block
-    ahead = W.orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    carried = sums.select(BLOCK, *[agg(F.col(f"__sum_{k}")).over(ahead).alias(f"__in_{k}") for k, (agg, _, _) in partials.items()])
-    w = W.partitionBy(BLOCK).orderBy(INDEX).rowsBetween(W.unboundedPreceding, 0)
-    both = own.join(carried, BLOCK)
+    own = with_index(df, [*_asc(within), *order]).withColumn(BLOCK, F.expr(f"{INDEX} div {block_rows}"))
+    own = own.withColumns({f"__by{i}": c for i, c in enumerate(within)})
+    by = [f"__by{i}" for i in range(len(within))]
+    sums = own.groupBy(BLOCK, *by).agg(*[agg(c).alias(f"__sum_{k}") for k, (agg, c, _) in partials.items()])
+    # a row for each block of a partition
+    ahead = _window([F.col(c) for c in by], [F.col(BLOCK)]).rowsBetween(W.unboundedPreceding, -1)
+    carried = sums.select(
+        F.col(BLOCK).alias("__block_in"), *[F.col(c).alias(f"{c}_in") for c in by],
+        *[agg(F.col(f"__sum_{k}")).over(ahead).alias(f"__in_{k}") for k, (agg, _, _) in partials.items()],
+    )
+    w = W.partitionBy(BLOCK, *by).orderBy(INDEX).rowsBetween(W.unboundedPreceding, 0)
+    same = F.col(BLOCK) == F.col("__block_in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_in"))
+    both = own.join(carried, same).drop("__block_in", *[f"{c}_in" for c in by])
     parts = {}
     for k, (agg, c, combine) in partials.items():
         inside, before = agg(c).over(w), F.col(f"__in_{k}")
         parts[k] = F.when(before.isNull(), inside).when(inside.isNull(), before).otherwise(combine(before, inside))
     done = both.withColumn(name, value(parts))
-    return done.drop(BLOCK, INDEX, *[f"__in_{k}" for k in partials])
+    return done.drop(BLOCK, INDEX, *by, *[f"__in_{k}" for k in partials])
 
 
 def ranked(
     df: DataFrame, order: Sequence[Column], keys: Sequence[str], name: str, kind: str,
-    *, one_task_bytes: int | None = None,
+    *, within: Sequence[str] = (), one_task_bytes: int | None = None,
 ) -> DataFrame:
-    """``rank``, ``dense_rank``, ``percent_rank`` or ``row_number`` over the whole table.
+    """``rank``, ``dense_rank``, ``percent_rank`` or ``row_number`` over the table, or over each partition of ``within``.
 
     Ranks of a large table come from its distinct keys and their counts, which
     are joined back; a key with very many rows is split by Spark.
     """
+    from ..functions import compat
+
+    parts = [compat.col(c) for c in within]
     if is_small(df, one_task_bytes):
         fn = {"rank": F.rank, "dense_rank": F.dense_rank, "percent_rank": F.percent_rank, "row_number": F.row_number}[kind]
-        found = fn().over(W.orderBy(*order))
+        found = fn().over(_window(parts, order))
         return df.withColumn(name, found if kind == "percent_rank" else found.cast("bigint"))
-    if kind == "row_number":
+    if kind == "row_number" and not within:
         return with_index(df, order, name).withColumn(name, F.col(name) + 1)
-    mine = [f"__key{i}" for i in range(len(keys))]
-    from ..functions import compat
-
-    distinct = df.groupBy(*[compat.col(k) for k in keys]).agg(F.count("*").alias("__n"))
+    if kind == "row_number":
+        return running(df, order, {"n": (F.sum, F.lit(1), lambda a, b: a + b)}, lambda p: p["n"].cast("bigint"), name, within=parts, one_task_bytes=one_task_bytes)
+    if kind == "percent_rank" and within:
+        raise ValueError("percent_rank takes no partition")
+    names = list(dict.fromkeys([*within, *keys]))
+    mine = [f"__key{i}" for i in range(len(names))]
+    distinct = df.groupBy(*[compat.col(k) for k in names]).agg(F.count("*").alias("__n"))
     table = running(
         distinct, order,
-        {"n": (F.sum, F.col("__n"), lambda a, b: a + b), "d": (F.count, F.lit(1), lambda a, b: a + b)},
+        {"n": (F.sum, F.col("__n"), lambda a, b: a + b), "d": (F.sum, F.lit(1), lambda a, b: a + b)},
         lambda p: F.struct((p["n"] - F.col("__n") + 1).alias("rank"), p["d"].alias("dense_rank")),
-        "__rank", one_task_bytes=one_task_bytes,
+        "__rank", within=parts, one_task_bytes=one_task_bytes,
     )
-    table = table.select(*[compat.col(k).alias(m) for k, m in zip(keys, mine)], "__rank")
-    same = [compat.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, mine)]
+    table = table.select(*[compat.col(k).alias(m) for k, m in zip(names, mine)], "__rank")
+    same = [compat.col(k).eqNullSafe(F.col(m)) for k, m in zip(names, mine)]
     both = df.join(table, same)
     if kind == "percent_rank":
         total = df.agg(F.count("*").alias("__total"))

@@ -190,11 +190,9 @@ def running_sum(df, column, order_by, partition_by, name, one_task_bytes=None) -
     if not column or not order_by:
         return df
     c = compat.col(column)
-    if partition_by:
-        w = W.partitionBy(*compat.cols(compat.names(partition_by))).orderBy(*compat.keys(order_by))
-        return df.withColumn(name, F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    parts = compat.cols(compat.names(partition_by))
     return ordered.running(
-        df, compat.keys(order_by), {"s": (F.sum, c, _plus)}, lambda p: p["s"], name, one_task_bytes=one_task_bytes
+        df, compat.keys(order_by), {"s": (F.sum, c, _plus)}, lambda p: p["s"], name, within=parts, one_task_bytes=one_task_bytes
     )
 
 
@@ -226,11 +224,8 @@ def rank_column(
         return df
     kind = method if method in ("rank", "dense_rank", "row_number") else "rank"
     keys = compat.keys(order_by, direction)
-    if partition_by:
-        fn = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number}[kind]
-        w = W.partitionBy(*compat.cols(compat.names(partition_by))).orderBy(*keys)
-        return df.withColumn(name, fn().over(w).cast("bigint"))
-    return ordered.ranked(df, keys, _key_names(order_by), name, kind, one_task_bytes=one_task_bytes)
+    parts = compat.names(partition_by)
+    return ordered.ranked(df, keys, _key_names(order_by), name, kind, within=parts, one_task_bytes=one_task_bytes)
 
 
 def _key_names(order_by) -> list[str]:

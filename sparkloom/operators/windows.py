@@ -21,10 +21,10 @@ def _moved(df, fn, column, offset, order_by, default, partition_by, name, one_ta
         return df
     n, keys = int(offset), compat.keys(order_by)
     value = lambda w: fn(compat.col(column), n, default).over(w)
-    if partition_by:
-        return df.withColumn(name, value(W.partitionBy(*_parts(partition_by)).orderBy(*keys)))
     back = n if fn is F.lag else -n
-    return ordered.trailing(df, keys, max(back, 0), max(-back, 0), value, name, one_task_bytes=one_task_bytes)
+    return ordered.trailing(
+        df, keys, max(back, 0), max(-back, 0), value, name, within=_parts(partition_by), one_task_bytes=one_task_bytes
+    )
 
 
 @step()
@@ -39,20 +39,51 @@ def lead_column(df: DataFrame, column=None, offset=1, order_by=None, default=Non
     return _moved(df, F.lead, column, offset, order_by, default, partition_by, name or f"{column}_lead{offset}", one_task_bytes)
 
 
-def _picked(df: DataFrame, column, order_by, partition_by, name, which: str, n: int = 1) -> DataFrame:
+def _items(order_by) -> list:
+    return [order_by] if isinstance(order_by, (str, dict)) else list(order_by)
+
+
+def _names(order_by) -> list[str]:
+    return [i if isinstance(i, str) else i["column"] for i in _items(order_by)]
+
+
+def _renamed(order_by) -> list[Column]:
+    """The same order over columns named ``__o0`` and so on."""
+    return compat.keys([f"__o{k}" if isinstance(i, str) else {**i, "column": f"__o{k}"} for k, i in enumerate(_items(order_by))])
+
+
+def _picked(df: DataFrame, column, order_by, partition_by, name, which: str, n: int = 1, one_task_bytes=None) -> DataFrame:
     """One row's value for all rows of its partition.
 
     Without a partition the row is found by a top-n of the whole table and
-    joined to every row; with one, by a window.
+    joined to every row.  With one, a small table takes a window; in a large
+    one the row is found by its number (counted from the other end for the last)
+    and joined to its partition, whose rows Spark may split.
     """
     if not column or not order_by:
         return df
     c, keys = compat.col(column), compat.keys(order_by)
-    if partition_by:
+    if partition_by and ordered.is_small(df, one_task_bytes):
         w = W.partitionBy(*_parts(partition_by)).orderBy(*keys)
         w = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         value = {"first": F.first(c), "last": F.last(c), "nth": F.nth_value(c, n)}[which]
         return df.withColumn(name, value.over(w))
+    if partition_by:
+        parts = _parts(partition_by)
+        one = {"s": (F.sum, F.lit(1), _plus)}
+        own = df.select(*[p.alias(f"__p{i}") for i, p in enumerate(parts)], c.alias("__picked"), *[k.alias(f"__o{i}") for i, k in enumerate(compat.cols(_names(order_by)))])
+        by = [F.col(f"__p{i}") for i in range(len(parts))]
+        numbered = ordered.running(own, _renamed(order_by), one, lambda p: p["s"], "__i", within=by, one_task_bytes=one_task_bytes)
+        if which == "last":
+            sizes = own.groupBy(*by).agg(F.count("*").alias("__i"))
+            same = [F.col("__i") == F.col("__n"), *[b.eqNullSafe(F.col(f"__to{i}")) for i, b in enumerate(by)]]
+            ends = sizes.select(F.col("__i").alias("__n"), *[b.alias(f"__to{i}") for i, b in enumerate(by)])
+            row = numbered.join(ends, same)
+        else:
+            row = numbered.filter(F.col("__i") == n)
+        row = row.select(*[b.alias(f"__to{i}") for i, b in enumerate(by)], F.col("__picked").alias(name))
+        same = [p.eqNullSafe(F.col(f"__to{i}")) for i, p in enumerate(parts)]
+        return df.drop(name).join(row, same, "left").drop(*[f"__to{i}" for i in range(len(parts))])
     if which == "last":
         items = [order_by] if isinstance(order_by, (str, dict)) else list(order_by)
         flipped = [
@@ -73,21 +104,21 @@ def _picked(df: DataFrame, column, order_by, partition_by, name, which: str, n:
 
 
 @step()
-def first_value(df: DataFrame, column=None, order_by=None, partition_by=None, name=None) -> DataFrame:
+def first_value(df: DataFrame, column=None, order_by=None, partition_by=None, name=None, one_task_bytes=None) -> DataFrame:
     """The value of the first row."""
-    return _picked(df, column, order_by, partition_by, name or f"{column}_first", "first")
+    return _picked(df, column, order_by, partition_by, name or f"{column}_first", "first", one_task_bytes=one_task_bytes)
 
 
 @step()
-def last_value(df: DataFrame, column=None, order_by=None, partition_by=None, name=None) -> DataFrame:
+def last_value(df: DataFrame, column=None, order_by=None, partition_by=None, name=None, one_task_bytes=None) -> DataFrame:
     """The value of the last row."""
-    return _picked(df, column, order_by, partition_by, name or f"{column}_last", "last")
+    return _picked(df, column, order_by, partition_by, name or f"{column}_last", "last", one_task_bytes=one_task_bytes)
 
 
 @step()
-def nth_value(df: DataFrame, column=None, n=1, order_by=None, partition_by=None, name=None) -> DataFrame:
+def nth_value(df: DataFrame, column=None, n=1, order_by=None, partition_by=None, name=None, one_task_bytes=None) -> DataFrame:
     """The value of the n-th row; null if there are fewer."""
-    return _picked(df, column, order_by, partition_by, name or f"{column}_nth{n}", "nth", int(n))
+    return _picked(df, column, order_by, partition_by, name or f"{column}_nth{n}", "nth", int(n), one_task_bytes)
 
 
 @step()
@@ -100,16 +131,10 @@ def _running(df, column, order_by, partition_by, name, partials, value, one_task
     if not column or not order_by:
         return df
     keys, c = compat.keys(order_by), compat.col(column)
-    if partition_by:
-        w = W.partitionBy(*_parts(partition_by)).orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(name, value({k: agg(c).over(w) for k, (agg, _) in partials.items()}))
     full = {k: (agg, c, combine) for k, (agg, combine) in partials.items()}
     if "n" in full:  # counts of blocks are summed, not counted
-        return ordered.running(
-            df, keys, {"s": (F.sum, c, _plus), "n": (F.sum, c.isNotNull().cast("bigint"), _plus)}, value, name,
-            one_task_bytes=one_task_bytes,
-        )
-    return ordered.running(df, keys, full, value, name, one_task_bytes=one_task_bytes)
+        full = {"s": (F.sum, c, _plus), "n": (F.sum, c.isNotNull().cast("bigint"), _plus)}
+    return ordered.running(df, keys, full, value, name, within=_parts(partition_by), one_task_bytes=one_task_bytes)
 
 
 @step()

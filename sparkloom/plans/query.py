@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import compat
-from ..functions.aggregates import aggregate
 from ..functions.expr import BINARY
+from ..operators import counted, ordered
 
 MAX_ROWS = 10_000
 
@@ -136,14 +136,13 @@ def run_query(df: DataFrame, spec: QuerySpec | dict, *, to_client: bool = False)
 # ---------------------------------------------------------------- operation payloads
 
 
-def _metrics(metrics) -> list[Column]:
+def _metrics(metrics) -> list[tuple[str, str, str]]:
+    """(function, column, name) of each metric."""
     out = []
     for m in metrics or []:
         fn, column = m.get("func") or m.get("fn"), m.get("col") or m.get("column") or "*"
-        if fn == "count" and column == "*":
-            out.append(aggregate("count").alias(m.get("as") or m.get("alias") or "count_rows"))
-        else:
-            out.append(aggregate(fn, column).alias(m.get("as") or m.get("alias") or f"{fn}_{column}"))
+        name = "count_rows" if fn == "count" and column == "*" else f"{fn}_{column}"
+        out.append((fn, column, m.get("as") or m.get("alias") or name))
     return out
 
 
@@ -156,7 +155,7 @@ def _aggregate(df: DataFrame, p: dict) -> DataFrame:
     rows = reduce(lambda d, f: d.filter(predicate(f)), _all(Filter, p.get("filters")), df)
     by, metrics = compat.names(p.get("group_by")), _metrics(p.get("metrics"))
     if metrics:
-        rows = rows.groupBy(*compat.cols(by)).agg(*metrics)
+        rows = counted.grouped(rows, by, metrics)
     elif by:
         rows = rows.select(*compat.cols(by)).distinct()
     elif p.get("columns"):
@@ -205,7 +204,11 @@ def _percentile(df: DataFrame, p: dict) -> DataFrame:
     share = float(p.get("p", 0.5))
     if not 0 < share < 1:
         raise ValueError("p lies between 0 and 1")
-    return _long(df, _columns(df, p), {"percentile": lambda c: F.percentile(c, F.lit(share))})
+    found = [
+        ordered.quantiles(df, compat.col(c), [share], "q").select(F.lit(c).alias("column"), F.col("q")[0].alias("percentile"))
+        for c in _columns(df, p)
+    ]
+    return reduce(DataFrame.union, found)
 
 
 OPERATIONS = {

@@ -36,8 +36,6 @@ def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "shipped":
         both = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
         return both.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "o_orderdate", "l_shipdate")
-    if name == "first_events":
-        return t("events").filter("event_id < 500")
     return t(name)
 
 
@@ -259,18 +257,13 @@ for _name, _bound in (("binning_equal_frequency", None), ("binning_equal_frequen
 add("outlier_detection", "orders", [("outlier_detection", {"column": _PRICE, "multiplier": 0.4}), cols("o_orderkey", "q1", "q3", f"{_PRICE}_is_outlier")],
     """SELECT o_orderkey, round(q1, 4) AS q1, round(q3, 4) AS q3, o_totalprice < q1 - 0.4 * (q3 - q1) OR o_totalprice > q3 + 0.4 * (q3 - q1) AS o_totalprice_is_outlier
     FROM orders, (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)""", 4)
-add("cumulative_product", "first_events", [("add_computed_column", {"name": "v", "expr": "1 + value / 10000"}), ("cumulative_product", {"column": "v", "order_by": "ts"}), cols("event_id", "v_cumprod")],
-    "SELECT event_id, round(exp(sum(ln(1 + value / 10000)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)), 4) AS v_cumprod FROM events WHERE event_id < 500", 4)
-add("exponential_moving_average", "first_events", [("exponential_moving_average", {"column": "value", "order_by": "ts"}), cols("event_id", "rn", "value_ema")],
-    """SELECT event_id, rn, round(sum(value * pow(0.7, rn - 1)) OVER w / sum(pow(0.7, rn - 1)) OVER w, 4) AS value_ema
-    FROM (SELECT *, row_number() OVER (ORDER BY ts) AS rn FROM events WHERE event_id < 500) WINDOW w AS (ORDER BY rn ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)""", 4)
 _LAGS = range(1, 11)
 _EMA = "(coalesce(value, 0) + %s) / (1 + %s)" % (
     " + ".join(f"coalesce(lag(value, {k}) OVER w, 0) * pow(0.7, -{k})" for k in _LAGS),
     " + ".join(f"CASE WHEN rn > {k} THEN pow(0.7, -{k}) ELSE 0 END" for k in _LAGS),
 )
 # over all events; the weights stand inside the frame and the factors are near 1, so that SQL stays stable at any length
-for _name, _bound in (("_whole", None), ("_at_scale", 0)):
+for _name, _bound in (("", None), ("_whole", None), ("_at_scale", 0)):
     _far = {"order_by": "ts", "one_task_bytes": _bound}
     add(f"cumulative_product{_name}", "events", [("add_computed_column", {"name": "v", "expr": "1 + value / 100000000"}), ("cumulative_product", {"column": "v", **_far}), cols("event_id", "v_cumprod")],
         "SELECT event_id, round(exp(sum(ln(1 + value / 100000000)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)), 6) AS v_cumprod FROM events")
@@ -309,6 +302,21 @@ add("simple_linear_regression", "part", [("simple_linear_regression", {"x_column
 
 # ------------------------------------------------------------------ windows with a partition
 
+_PART = {"order_by": "ts", "partition_by": "event_type", "one_task_bytes": 0}
+_WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+add("partitioned_windows_at_scale", "events", [
+    ("cumulative_sum", {"column": "value", "name": "total", **_PART}), ("running_max", {"column": "value", "name": "top", **_PART}), ("running_average", {"column": "user_id", "name": "mean", **_PART}),
+    ("lag_column", {"column": "value", "offset": 2, "name": "before", **_PART}), ("lead_column", {"column": "value", "name": "after", **_PART}),
+    cols("event_id", "total", "top", "mean", "before", "after")],
+    """SELECT event_id, round(sum(value) OVER r, 4) AS total, max(value) OVER r AS top, round(avg(user_id) OVER r, 4) AS mean, lag(value, 2) OVER w AS before, lead(value) OVER w AS after
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts), r AS (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING)""", 4)
+add("partitioned_values_at_scale", "events", [
+    ("first_value", {"column": "value", "name": "one", **_PART}), ("last_value", {"column": "value", "name": "end", **_PART}), ("nth_value", {"column": "value", "n": 3, "name": "third", **_PART}), cols("event_id", "one", "end", "third")],
+    f"""SELECT event_id, first(value) OVER w AS one, last(value) OVER w AS "end", nth_value(value, 3) OVER w AS third FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts {_WHOLE})""", None)
+add("partitioned_ranks_at_scale", "lineitem", [
+    *[("rank_column", {"order_by": [{"column": "l_quantity", "direction": "desc"}], "partition_by": "l_returnflag", "method": m, "name": m, "one_task_bytes": 0}) for m in ("rank", "dense_rank")],
+    cols("l_orderkey", "l_linenumber", "rank", "dense_rank")],
+    """SELECT l_orderkey, l_linenumber, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity DESC)""")
 for _f in ("first", "last"):
     add(f"{_f}_value", "events", [(f"{_f}_value", {"column": "value", "order_by": "ts", "partition_by": "user_id"}), (f"{_f}_value", {"column": "event_id", "order_by": "ts", "name": "all"}), cols("event_id", f"value_{_f}", "all")],
         f"""SELECT event_id, round({_f}(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS value_{_f},
@@ -327,6 +335,15 @@ add("group_aggregate", "lineitem", [("group_aggregate", {"group_by": ["l_returnf
 _MORE = [("mad", "l_quantity"), ("stddev_pop", "l_tax"), ("variance", "l_tax"), ("bit_and", "l_linenumber"), ("bit_or", "l_linenumber"), ("bit_xor", "l_partkey")]
 add("group_aggregate_more", "lineitem", [("group_aggregate", {"group_by": ["l_returnflag"], "aggs": [{"fn": f, "column": c, "as": f} for f, c in _MORE]})],
     "SELECT l_returnflag, " + ", ".join(f"round({f}({c}), 6) AS {f}" if "bit" not in f else f"{f}({c}) AS {f}" for f, c in _MORE) + " FROM lineitem GROUP BY 1")
+_ENTRIES = lambda df: df.withColumn("histogram", F.array_join(F.transform(F.map_entries("histogram"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ","))
+add("group_aggregate_counted", "lineitem", lambda df: _ENTRIES(run_pipeline(df, [{"op": "group_aggregate", "args": {"group_by": ["l_returnflag"], "aggs": [
+    {"fn": "entropy", "column": "l_quantity", "as": "entropy"}, {"fn": "histogram", "column": "l_linenumber", "as": "histogram"}, {"fn": "mode", "column": "l_tax", "as": "mode"},
+    {"fn": "percentile_35", "column": "l_extendedprice", "as": "p35"}, {"fn": "median", "column": "l_extendedprice", "as": "med"}]}}])),
+    """SELECT l_returnflag, round(entropy(l_quantity), 4) AS entropy, array_to_string(list_transform(map_entries(histogram(l_linenumber)), lambda e: e.key || ':' || e.value), ',') AS histogram,
+    (SELECT l_tax FROM lineitem i WHERE i.l_returnflag = o.l_returnflag GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode, round(quantile_cont(l_extendedprice, 0.35), 4) AS p35, round(median(l_extendedprice), 4) AS med
+    FROM lineitem o GROUP BY 1""", 4)
+add("table_aggregate_counted", "lineitem", [("group_aggregate", {"aggs": [{"fn": "median", "column": "l_quantity", "as": "med"}, {"fn": "mad", "column": "l_quantity", "as": "mad"}, {"fn": "nunique", "column": "l_suppkey", "as": "n"}, {"fn": "count", "as": "rows"}]})],
+    "SELECT median(l_quantity) AS med, mad(l_quantity) AS mad, count(DISTINCT l_suppkey) AS n, count(*) AS rows FROM lineitem")
 add("weighted_average", "lineitem", [("weighted_average", {"value_column": "l_extendedprice", "weight_column": "l_quantity", "group_by": ["l_returnflag"]})],
     "SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS weighted_avg FROM lineitem GROUP BY 1", 4)
 add("count_distinct", "lineitem", [("count_distinct", {"column": "l_suppkey", "group_by": ["l_returnflag"]})], "SELECT l_returnflag, count(DISTINCT l_suppkey) AS l_suppkey_distinct_count FROM lineitem GROUP BY 1")
@@ -345,15 +362,13 @@ _two("join_left", "nation", lambda c, n: aggregation.join(c, n.filter("n_regionk
      "SELECT c_custkey, n_name AS right_n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
 _two("join_inner", "nation", lambda c, n: aggregation.join(c, n, _ON, "inner", ["c_custkey"], ["n_name", "n_regionkey"]), "customer",
      "SELECT c_custkey, n_name AS right_n_name, n_regionkey AS right_n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
-_two("join_right", "nation", lambda c, n: aggregation.join(c.filter("c_custkey < 20"), n, _ON, "right", ["c_custkey"], ["n_nationkey"]), "customer",
-     "SELECT c_custkey, n_nationkey AS right_n_nationkey FROM (SELECT * FROM customer WHERE c_custkey < 20) RIGHT JOIN nation ON c_nationkey = n_nationkey")
-_two("join_full", "nation", lambda c, n: aggregation.join(c.filter("c_custkey < 20"), n.filter("n_nationkey < 10"), _ON, "full", ["c_custkey"], ["n_nationkey"]), "customer",
-     "SELECT c_custkey, n_nationkey AS right_n_nationkey FROM (SELECT * FROM customer WHERE c_custkey < 20) FULL JOIN (SELECT * FROM nation WHERE n_nationkey < 10) ON c_nationkey = n_nationkey")
 _CUST = [{"left": "c_custkey", "right": "o_custkey"}]
-_two("join_right_whole", "orders", lambda c, o: aggregation.join(c.filter("c_mktsegment = 'BUILDING'"), o, _CUST, "right", ["c_custkey"], ["o_orderkey"]), "customer",
-     "SELECT c_custkey, o_orderkey AS right_o_orderkey FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') RIGHT JOIN orders ON c_custkey = o_custkey")
-_two("join_full_whole", "orders", lambda c, o: aggregation.join(c.filter("c_acctbal > 0"), o.filter("o_orderpriority = '1-URGENT'"), _CUST, "full", ["c_custkey"], ["o_orderkey"]), "customer",
-     "SELECT c_custkey, o_orderkey AS right_o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey")
+for _name in ("join_right", "join_right_whole"):
+    _two(_name, "orders", lambda c, o: aggregation.join(c.filter("c_mktsegment = 'BUILDING'"), o, _CUST, "right", ["c_custkey"], ["o_orderkey"]), "customer",
+         "SELECT c_custkey, o_orderkey AS right_o_orderkey FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') RIGHT JOIN orders ON c_custkey = o_custkey")
+for _name in ("join_full", "join_full_whole"):
+    _two(_name, "orders", lambda c, o: aggregation.join(c.filter("c_acctbal > 0"), o.filter("o_orderpriority = '1-URGENT'"), _CUST, "full", ["c_custkey"], ["o_orderkey"]), "customer",
+         "SELECT c_custkey, o_orderkey AS right_o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey")
 _two("join_semi", "orders", lambda c, o: aggregation.join(c, o.filter("o_totalprice > 100000"), [{"left": "c_custkey", "right": "o_custkey"}], "semi", ["c_custkey"]), "customer",
      "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
 _two("join_anti", "orders", lambda c, o: aggregation.join(c, o, [{"left": "c_custkey", "right": "o_custkey"}], "anti", ["c_custkey"]), "customer",

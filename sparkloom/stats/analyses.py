@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 import operator
+from collections import OrderedDict
 from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
@@ -386,8 +387,8 @@ def normality_test(df: DataFrame, column: str) -> dict:
         for pdf in batches:
             i, x = pdf["i"].to_numpy(), pdf["v"].to_numpy()
             z = (x - mean) / std
-            below, above = np.array([D.normal_cdf(t) for t in z]), np.array([D.normal_sf(t) for t in z])
-            m = np.array([D.normal_quantile((k + 0.625) / (n + 0.25)) for k in i])
+            below, above = D.normal_sf_array(-z), D.normal_sf_array(z)
+            m = D.normal_quantile_array((i + 0.625) / (n + 0.25))
             logs = (2 * i + 1) * np.log(np.maximum(below, 1e-300)) + (2 * (n - i) - 1) * np.log(np.maximum(above, 1e-300))
             gap = np.maximum((i + 1) / n - below, below - i / n)
             yield pd.DataFrame({"mm": [(m * m).sum()], "mx": [(m * x).sum()], "a": [logs.sum()], "d": [gap.max(initial=0.0)]})
@@ -553,7 +554,9 @@ def outlier_detection(df: DataFrame, column: str, method: str = "zscore", thresh
 
 # ---------------------------------------------------------------- dispatch
 
-_cache: dict[str, dict] = {}
+#: Results that are kept, the least recently used going first.
+MOST_RESULTS = 256
+_cache: OrderedDict[str, dict] = OrderedDict()
 
 
 def result(df: DataFrame, name: str, params: dict | None = None, fingerprint: str | None = None):
@@ -562,10 +565,13 @@ def result(df: DataFrame, name: str, params: dict | None = None, fingerprint: st
         raise ValueError(f"unknown analysis: {name}")
     key = json.dumps([fingerprint, name, params], sort_keys=True, default=str)
     if fingerprint and key in _cache:
+        _cache.move_to_end(key)
         return _cache[key]
     found = ANALYSES[name](df, **(params or {}))
     if fingerprint and isinstance(found, dict):
         _cache[key] = found
+        while len(_cache) > MOST_RESULTS:
+            _cache.popitem(last=False)
     return found
 
 

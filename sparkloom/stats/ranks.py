@@ -11,9 +11,10 @@ from ..functions import compat
 from ..operators import ordered
 from ..session import share_package
 
-#: Rows of one block of the inversion count, and the most blocks; larger tables get larger blocks.
+#: Rows of one block of the inversion count, the most that one may have, and the most blocks.
 BLOCK_ROWS = 1 << 20
-MOST_BLOCKS = 2048
+MOST_ROWS = 1 << 22
+MOST_BLOCKS = 4096
 
 
 def value_ranks(values: DataFrame, extra: dict | None = None, *, one_task_bytes: int | None = None) -> DataFrame:
@@ -53,20 +54,21 @@ def inversions(values: np.ndarray) -> int:
 def discordant_pairs(pairs: DataFrame, block_rows: int = BLOCK_ROWS) -> int:
     """Pairs of rows (x, y) that are ordered one way by x and the other by y.
 
-    Rows in order of (x, y) are cut into blocks, and in order of y into bands.
+    Rows in order of (x, y) are cut into blocks, and in order of y (then of their
+    place by x, so that equal y add nothing) into bands of as many rows.
     Inversions inside a block or inside a band are counted by one task each;
     those between different blocks and bands follow from the cells' counts, a
     square of at most ``MOST_BLOCKS`` blocks and bands that is added up on the
-    driver.
+    driver.  More rows than that square has room for are refused.
     """
-    block_rows = max(block_rows, -(-pairs.count() // MOST_BLOCKS))
+    total_rows = pairs.count()
+    block_rows = max(block_rows, -(-total_rows // MOST_BLOCKS))
+    if block_rows > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS * MOST_BLOCKS} pairs")
     share_package(pairs.sparkSession)
     by_x = ordered.with_index(pairs, [F.col("x").asc(), F.col("y").asc()], "i")
-    by_x = by_x.withColumn("block", F.expr(f"i div {block_rows}"))
-    bands = value_ranks(pairs.select(F.col("y").alias("v"))).select(
-        F.col("v").alias("y"), F.floor(F.col("rank") / block_rows).cast("bigint").alias("band")
-    )
-    rows = by_x.join(bands, "y").select("i", "y", "block", "band")
+    by_y = ordered.with_index(by_x.select("i", "y"), [F.col("y").asc(), F.col("i").asc()], "j")
+    rows = by_y.select("i", F.col("j").alias("y"), F.expr(f"i div {block_rows}").alias("block"), F.expr(f"j div {block_rows}").alias("band"))
 
     def within(group: str, also_cells: bool):
         def count(pdf: pd.DataFrame) -> pd.DataFrame:
