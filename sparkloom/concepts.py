@@ -269,7 +269,12 @@ def post_hoc(df: DataFrame, value: str, group: str, groups: list | None = None,
         F.when(e1 + e2 > 0, (F.col("ma") - F.col("mb")) / F.sqrt(e1 + e2)).otherwise(F.lit(math.nan)).alias("t_statistic"),
         F.when(e1 + e2 > 0, (e1 + e2) ** 2 / (e1**2 / (F.col("na") - 1) + e2**2 / (F.col("nb") - 1))).otherwise(F.lit(math.nan)).alias("dof"),
     )
-    tail = F.udf(lambda t, dof: math.nan if math.isnan(t) else min(1.0, m * D.t_two_sided(t, dof)), "double")
+    share_package(df.sparkSession)
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([math.nan if math.isnan(a) else min(1.0, m * D.t_two_sided(a, b)) for a, b in zip(t, dof)], dtype=float)
+
     return tests.select("a", "b", "t_statistic", tail("t_statistic", "dof").alias("p_value"))
 
 
