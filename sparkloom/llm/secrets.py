@@ -1,15 +1,21 @@
 """Secret scan: native candidates, and a random forest that removes false positives.
 
-Everything runs on DataFrame and SQL functions and Spark ML.
+Everything runs on DataFrame and SQL functions and Spark ML.  What is natural
+language is told by the corpus itself: its frequent words, and how often one
+letter follows another in all its words (:class:`Language`).
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -17,6 +23,10 @@ from . import common
 #: Labelled findings that the forest is fitted on; the bound of the sample.
 TRAINING_FINDINGS = 4000
 CONTEXT_CHARS = 48
+#: Words of the dictionary: the most frequent of three letters and more.
+DICTIONARY_WORDS = 4096
+#: Set around matches; where a text has it already it reads as the replacement character.
+MARK = "\ue000"
 
 #: The value of an assignment to a name with a telling part, or a long run of key characters; fixed values.
 CANDIDATE = (
@@ -31,16 +41,43 @@ PATH_LIKE = r"(^|[^a-z])(tests?|testing|examples?|docs?|samples?|fixtures?)([^a-
 TELLING = "password passwd pwd secret token key credential auth aws login"
 HARMLESS = "commit sha sha1 sha256 md5 hash checksum uuid version build revision image example sample test dummy id"
 
-#: Fragments of words and stand-ins that secrets don't consist of; fixed values.
-FRAGMENTS = (
-    "example|sample|dummy|changeme|placeholder|password|secret|token|release|version|build|config|service|"
-    "image|index|page|test|your|here|user|name|file|data|http|the|and|ing|tion|ent|er|re|on|an|en|in|th"
-)
-
 FEATURES = (
-    "length", "letters", "digits", "upper", "lower", "other", "transitions", "distinct", "dictionary",
+    "length", "letters", "digits", "upper", "lower", "other", "changes", "transitions", "distinct", "dictionary",
     "hexadecimal", "slashes", "separators", "telling", "harmless", "assigned", "path_like",
 )
+_PAIRS = r"(?=([a-z]{2}))"
+_LETTERS = 26
+
+
+@dataclass(frozen=True)
+class Language:
+    """Frequent words, and log10 probabilities of a letter after a letter (26 x 26, row by row)."""
+
+    words: tuple[str, ...]
+    transitions: tuple[float, ...]
+
+
+def language(docs: DataFrame, *, text: str = "text", n_words: int = DICTIONARY_WORDS) -> Language:
+    """The frequent words and letter transitions of all texts.
+
+    Words are runs of the letters a to z, lower-cased, of up to 24; every one is
+    counted.  Only the ``n_words`` most frequent and 676 numbers come to the driver.
+    """
+    found = F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit("[a-z]+"), F.lit(0)))
+    counts = docs.select(found.alias("word")).filter("length(word) between 2 and 24").groupBy("word").agg(F.count("*").alias("n"))
+    counts = common.stage(counts, "words")
+    pairs = (
+        counts.select(F.explode(F.regexp_extract_all("word", F.lit(_PAIRS), F.lit(1))).alias("pair"), "n")
+        .groupBy("pair")
+        .agg(F.sum("n").alias("n"))
+        .collect()  # 676 at most
+    )
+    table = [[1.0] * _LETTERS for _ in range(_LETTERS)]
+    for r in pairs:
+        table[ord(r.pair[0]) - 97][ord(r.pair[1]) - 97] += r.n
+    logs = tuple(math.log10(x / sum(row)) for row in table for x in row)
+    top = counts.filter("length(word) >= 3").orderBy(F.desc("n"), "word").limit(n_words).collect()
+    return Language(tuple(r.word for r in top), logs)
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -52,44 +89,66 @@ def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
 
     A candidate holds a digit, or is assigned to a telling name; a quoted value is
     taken whole, others without the punctuation behind them.  Positions
-    count from 1 and come from the matches' order, each searched for after
-    the end of the one before.
+    count from 1.  A text is cut at its matches once; each match then has the pieces
+    beside it, so the time grows with the text and not with its square.
     """
     own = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(f"`{doc_id}`").alias("doc_id"),
-        F.col(f"`{text}`").alias("text"),
         (F.col(f"`{path}`").cast("string") if path else F.lit(None).cast("string")).alias("path"),
+        F.translate(F.col(f"`{text}`"), MARK, "\ufffd").alias("text"),
     )
-    found = own.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    placed = F.expr(
-        "aggregate(found, "
-        "named_struct('at', 1, 'all', cast(array() as array<struct<at:int,match:string>>)), "
-        "(s, m) -> named_struct('at', locate(m, text, s.at) + length(m), "
-        "'all', array_append(s.all, named_struct('at', locate(m, text, s.at), 'match', m)))).all"
+    # pieces: text, match, text, match, ..., text
+    pieces = own.select(
+        "row", "doc_id", "path",
+        F.split(F.regexp_replace("text", F.lit(CANDIDATE), F.lit(f"{MARK}$0{MARK}")), MARK, -1).alias("pieces"),
+    ).filter(F.size("pieces") > 1)
+    ends = pieces.select(
+        "*",
+        F.transform("pieces", lambda p: F.right(p, F.lit(CONTEXT_CHARS))).alias("tails"),
+        F.transform("pieces", lambda p: F.left(p, F.lit(CONTEXT_CHARS))).alias("heads"),
     )
-    telling = lambda m: m["match"].rlike("[0-9]") | m["match"].rlike(ASSIGNED + ".")
-    each = found.filter(F.size("found") > 0).select(
-        "doc_id", "path", "text", F.explode(F.filter(placed, telling)).alias("m")
-    )
-    match, start = F.col("m.match"), F.col("m.at")
+    # a match has six characters or more, so sixteen pieces hold the context
+    each = ends.select(
+        "row", "doc_id", "path",
+        F.explode(F.expr(
+            f"""transform(sequence(1, cast(size(pieces) div 2 as int)), k -> named_struct(
+            'k', k, 'match', element_at(pieces, 2 * k), 'gap', length(element_at(pieces, 2 * k - 1)),
+            'before', right(array_join(slice(tails, greatest(1, 2 * k - 16), least(16, 2 * k - 1)), ''), {CONTEXT_CHARS}),
+            'after', left(array_join(slice(heads, 2 * k + 1, 16), ''), {CONTEXT_CHARS})))"""
+        )).alias("m"),
+    )
+    # the matches of one text, which is a row of one task anyway
+    order = W.partitionBy("row").orderBy("m.k").rowsBetween(W.unboundedPreceding, 0)
+    placed = each.withColumn("end", F.sum(F.col("m.gap") + F.length("m.match")).over(order))
+    match = F.col("m.match")
     value = F.regexp_replace(match, ASSIGNED, "")
+    name = F.length(match) - F.length(value)
     quoted = match.rlike(ASSIGNED.removesuffix("?") + ".")
-    at = start + F.length(match) - F.length(value)
-    first = F.greatest(F.lit(1), start - CONTEXT_CHARS)
-    return each.select(
+    return placed.filter(match.rlike("[0-9]") | match.rlike(ASSIGNED + ".")).select(
         "doc_id",
         "path",
-        at.alias("position"),
+        (F.col("end") - F.length(value) + 1).cast("int").alias("position"),
         F.when(quoted, value).otherwise(F.regexp_replace(value, "[.,;:!?)]+$", "")).alias("candidate"),
         match.rlike(ASSIGNED + ".").alias("assigned"),
-        F.substring(F.col("text"), first, at - first).alias("before"),
-        F.substring(F.col("text"), start + F.length(match), F.lit(CONTEXT_CHARS)).alias("after"),
+        F.concat(F.col("m.before"), F.left(match, name)).alias("before"),
+        F.col("m.after").alias("after"),
     )
 
 
-def with_features(findings: DataFrame) -> DataFrame:
+def with_features(findings: DataFrame, known: Language) -> DataFrame:
     """The forest's features of findings, as a vector in ``features``."""
-    c, low = F.col("candidate"), F.lower("candidate")
+    low = F.lower("candidate")
+    quote = lambda w: "'%s'" % w  # noqa: E731 - words are of the letters a to z
+    covered = F.lit(0)
+    if known.words:
+        covered = F.expr(
+            "aggregate(filter(runs, r -> lower(r) in (%s)), 0, (s, r) -> s + length(r))" % ",".join(map(quote, known.words))
+        )
+    table = "array(%s)" % ",".join(f"{x:.6f}D" for x in known.transitions)
+    pair = f"(ascii(g) - 97) * {_LETTERS} + ascii(right(g, 1)) - 96"
+    likely = F.expr(f"aggregate(pairs, 0D, (s, g) -> s + element_at({table}, {pair})) / greatest(size(pairs), 1)")
+    c = F.col("candidate")
     n = F.greatest(F.length(c), F.lit(1)).cast("double")
     near = F.lower(F.concat_ws(" ", "before", "after"))
     word_of = lambda words: "(?<![a-z])(?:%s)(?![a-z])" % "|".join(words.split())
@@ -100,12 +159,13 @@ def with_features(findings: DataFrame) -> DataFrame:
         "upper": _count(c, "[A-Z]") / n,
         "lower": _count(c, "[a-z]") / n,
         "other": _count(c, "[^A-Za-z0-9]") / n,
-        "transitions": (
+        "changes": (
             _count(c, "(?<=[a-z])(?=[A-Z0-9])") + _count(c, "(?<=[A-Z])(?=[0-9])") + _count(c, "(?<=[0-9])(?=[A-Za-z])")
         )
         / n,
+        "transitions": likely,
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
-        "dictionary": (F.length(c) - F.length(F.regexp_replace(low, FRAGMENTS, ""))) / n,
+        "dictionary": covered / n,
         "hexadecimal": c.rlike("^[0-9a-f]+$").cast("double"),
         "slashes": _count(c, "/").cast("double"),
         "separators": _count(c, "[-_]").cast("double"),
@@ -114,23 +174,30 @@ def with_features(findings: DataFrame) -> DataFrame:
         "assigned": F.coalesce(F.col("assigned"), F.lit(False)).cast("double"),
         "path_like": F.coalesce(F.lower("path").rlike(PATH_LIKE), F.lit(False)).cast("double"),
     }
-    measured = findings.select(
-        "*", *[F.coalesce(values[k].cast("double"), F.lit(0.0)).alias(f"__{k}") for k in FEATURES]
+    cut = findings.select(
+        "*",
+        F.regexp_extract_all(low, F.lit(_PAIRS), F.lit(1)).alias("pairs"),
+        F.regexp_extract_all(c, F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])"), F.lit(0)).alias("runs"),
+    )
+    measured = cut.select(
+        *findings.columns, *[F.coalesce(values[k].cast("double"), F.lit(0.0)).alias(f"__{k}") for k in FEATURES]
     )
     vectors = VectorAssembler(inputCols=[f"__{k}" for k in FEATURES], outputCol="features").transform(measured)
     return vectors.drop(*[f"__{k}" for k in FEATURES])
 
 
-def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFrame:
-    """``n`` findings with labels: real key formats against hashes, versions, paths, names and stand-ins.
+def labelled_findings(spark: SparkSession, known: Language, n: int = TRAINING_FINDINGS) -> DataFrame:
+    """``n`` findings of twenty kinds with labels: real key formats against hashes, versions, paths, names and stand-ins.
 
     A third lie in tests, examples, samples or documentation, a third in other
     files, the rest have no path.  A value assigned to a telling name is a
     stand-in in the first and a secret elsewhere; key formats that only a
     provider issues are secrets everywhere.
 
-    Made from numbers by hash functions, so that every run has the same rows.
+    Made from numbers by hash functions and from the words of ``known``, so that
+    every run over the same corpus has the same rows.
     """
+    vocabulary = [w for w in known.words if len(w) > 3][:512] or ["configuration", "release", "documentation"]
     own = spark.range(n).select(
         "id",
         F.sha2(F.col("id").cast("string"), 512).alias("hex"),
@@ -155,7 +222,9 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFr
     say = lambda word: F.concat(plain, F.lit(f" {word} "))
     bare = F.concat(plain, F.lit(" "))
     after = F.lit(" the rest")
-    word = F.element_at(F.array(*map(F.lit, ("configuration", "thestionedtion", "release", "internationalen", "generation", "documentation", "verarbeitung", "indexing", "rendering"))), F.col("pick") + 1)
+    listed = F.expr("array(%s)" % ",".join(f"'{w}'" for w in vocabulary))
+    word = F.element_at(listed, F.pmod(F.xxhash64("id", F.lit("word")), F.lit(len(vocabulary))).cast("int") + 1)
+    other = F.element_at(listed, F.pmod(F.xxhash64("id", F.lit("other")), F.lit(len(vocabulary))).cast("int") + 1)
     quoted = F.lit('" the rest')
     no, yes = F.lit(False), F.lit(True)
     plan = [
@@ -172,9 +241,9 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFr
         (F.substring("hex", 1, 40), no, say("commit"), after, 0),
         (F.substring("hex", 1, 64), no, say("sha256"), after, 0),
         (F.regexp_replace(F.substring("hex", 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), no, say("uuid"), after, 0),
-        (F.concat(word, F.lit("-"), F.substring("id", 1, 3), F.lit("-"), word, F.lit("2")), no, bare, after, 0),
-        (F.concat(F.lit("usr/share/"), word, F.lit("/"), F.substring("id", 1, 2), F.lit("/page")), no, bare, after, 0),
-        (F.concat(word, word, F.col("id").cast("string")), no, bare, after, 0),
+        (F.concat(word, F.lit("-"), F.substring("id", 1, 3), F.lit("-"), other, F.lit("-release-2")), no, bare, after, 0),
+        (F.concat(F.lit("usr/share/"), word, F.lit("/"), F.substring("id", 1, 2), F.lit("/"), other), no, bare, after, 0),
+        (F.concat(F.initcap(word), F.initcap(other), word, F.col("id").cast("string")), no, bare, after, 0),
         (F.element_at(F.array(*map(F.lit, ("changeme", "your_password_here", "example123", "placeholder", "xxxxxxxx", "password1", "<password>", "dummy-token-1", "test_token_1"))), F.col("pick") + 1), yes, F.concat(plain, F.lit(" password=")), after, 0),
         (F.concat(F.lit("AKIA"), F.element_at(F.array(F.lit("IOSFODNN7EXAMPLE"), F.lit("EXAMPLE123456789"), F.lit("XXXXXXXXXXXXXXX1")), F.pmod("pick", F.lit(3)).cast("int") + 1)), no, say("example"), after, 0),
         (F.substring("number", 1, 16), no, bare, after, 0),
@@ -183,6 +252,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFr
     pick = lambda i: F.element_at(F.array(*[F.lit(p[i]) if isinstance(p[i], int) else p[i] for p in plan]), F.col("kind").cast("int") + 1)
     return own.select(
         F.col("id").alias("doc_id"),
+        F.col("kind").cast("int").alias("kind"),
         F.when(F.col("place") < 8, path).alias("path"),
         pick(0).alias("candidate"),
         pick(1).alias("assigned"),
@@ -192,9 +262,9 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_FINDINGS) -> DataFr
     )
 
 
-def train(findings: DataFrame, *, trees: int = 40, depth: int = 8, seed: int = 7) -> PipelineModel:
+def train(findings: DataFrame, known: Language, *, trees: int = 40, depth: int = 8, seed: int = 7) -> PipelineModel:
     """Fit the forest on labelled findings (``label`` 1 for a secret); those without a label are left out."""
-    rows = with_features(findings.filter("label is not null")).select("features", "label")
+    rows = with_features(findings.filter("label is not null"), known).select("features", "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False).fit(rows)
 
 
@@ -205,19 +275,24 @@ def scan(
     text: str = "text",
     path: str | None = None,
     model=None,
+    known: Language | None = None,
     threshold: float = 0.5,
 ) -> DataFrame:
     """One row for each candidate: doc_id, position, length, candidate_sha256, probability, is_secret.
 
-    ``model`` is a forest from :func:`train`; by default one is fitted on
-    :func:`labelled_findings`.  Candidates are found and judged where the
+    ``model`` is a forest from :func:`train` and ``known`` the language it was
+    trained with; by default they are :func:`language` of these documents and a
+    forest fitted on :func:`labelled_findings`.  Candidates are found and judged where the
     documents lie.  The secret itself isn't returned, only its hash.  Null and
     empty texts have no candidates; a null ``path`` counts as none; documents
     without an id and repeated rows give their rows like any other.
     """
+    if model is not None and known is None:
+        raise ValueError("a model needs the language it was trained with")
     common.prepare(docs.sparkSession)
-    model = model or train(labelled_findings(docs.sparkSession))
-    judged = model.transform(with_features(candidates(docs, doc_id=doc_id, text=text, path=path)))
+    known = known or language(docs, text=text)
+    model = model or train(labelled_findings(docs.sparkSession, known), known)
+    judged = model.transform(with_features(candidates(docs, doc_id=doc_id, text=text, path=path), known))
     probability = vector_to_array("probability")[1]
     return judged.select(
         "doc_id",
