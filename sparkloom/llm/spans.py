@@ -35,17 +35,16 @@ def span_ends(sizes: list[int], least: int = SENTENCES, min_words: int = MIN_WOR
     return ends
 
 
-def _spans(text: bytes | None, least: int, min_words: int) -> tuple[list[int], list[int], list[int]]:
-    """(starts, ends, hashes) of a text's spans, over words with A-Z lower-cased."""
+def _spans(text: bytes | None, least: int, min_words: int) -> tuple[list[int], list[bytes]]:
+    """(places, 128-bit hashes) of a text's spans, over words with A-Z lower-cased; a place is its start << 32 | end."""
     own = [s.lower().split() for s in sentences(text)]
     joined = [b" ".join(w) for w in own]
-    starts, ends, hashes = [], [], []
+    places, hashes = [], []
     for start, end in enumerate(span_ends([len(w) for w in own], least, min_words)):
         if end and own[start]:
-            starts.append(start)
-            ends.append(end)
-            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(filter(None, joined[start:end]))))
-    return starts, ends, hashes
+            places.append(start << 32 | end)
+            hashes.append(xxhash.xxh3_128_digest(b" ".join(filter(None, joined[start:end]))))
+    return places, hashes
 
 
 def dedup_spans(
@@ -58,10 +57,12 @@ def dedup_spans(
 ) -> DataFrame:
     """One row for each document: doc_id, n_sentences, n_removed, kept_sha256, text (what is kept).
 
-    Every run of ``least`` or more consecutive sentences that reaches
-    ``min_words`` words is hashed; runs are compared over all documents, and
-    sentences inside any but the first run of a hash go.  First is the
-    smallest (doc_id, row, sentence).  Only hashes are shuffled: once to find the
+    From every sentence the shortest run of ``least`` or more consecutive sentences
+    that reaches ``min_words`` words is hashed; runs are compared over all
+    documents, and sentences inside any but the first run of a hash go.  First is the
+    smallest (doc_id, row, sentence).  So what repeats in fewer words, or in
+    part of a sentence only, stays, and a text of one sentence loses nothing: that is
+    the method's bound.  Only hashes of 128 bits are shuffled: once to find the
     first of each, once to tell the others, a hot hash being split among tasks.
     A null or empty text has no sentences and stays an empty text.  Documents
     with equal or no ids are told apart by their rows; a null id comes last.
@@ -73,46 +74,43 @@ def dedup_spans(
 
     def run(batches):
         for batch in batches:
-            starts, hashes, sizes, ends = [], [], [], []
+            places, hashes, sizes = [], [], []
             for t in common.text_bytes(batch.column(1)):
-                s, e, h = _spans(t, least, min_words)
-                sizes.append(len(s))
-                starts += s
-                ends += e
-                hashes += h
+                own_places, own_hashes = _spans(t, least, min_words)
+                sizes.append(len(own_places))
+                places += own_places
+                hashes += own_hashes
             offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+            both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            listed = lambda a: pa.ListArray.from_arrays(offsets, pa.array(a, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.ListArray.from_arrays(offsets, pa.array(np.array(hashes, "<u8").view("<i8"), pa.int64())),
-                    pa.ListArray.from_arrays(offsets, pa.array(starts, pa.int32())),
-                    pa.ListArray.from_arrays(offsets, pa.array(ends, pa.int32())),
-                ],
-                names=["doc_id", "text", "hashes", "starts", "ends"],
+                [*batch.columns, listed(both[:, 0]), listed(both[:, 1]), listed(np.array(places, np.int64))],
+                names=["doc_id", "text", "hashes", "checks", "places"],
             )
 
-    spans = common.map_arrow(own, run, f"doc_id {id_sql}, text string, hashes array<long>, starts array<int>, ends array<int>")
+    spans = common.map_arrow(own, run, f"doc_id {id_sql}, text string, hashes array<long>, checks array<long>, places array<long>")
     spans = spans.select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), "text", F.arrays_zip("hashes", "starts", "ends").alias("spans")
+        "doc_id", F.monotonically_increasing_id().alias("row"), "text", F.arrays_zip("hashes", "checks", "places").alias("spans")
     )
     spans = common.stage(spans, "spans")
     each = spans.select("doc_id", "row", F.explode("spans").alias("s")).select(
         F.col("s.hashes").alias("h"),
-        F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", F.col("s.starts").alias("start")).alias("place"),
-        F.col("s.ends").alias("end"),
+        F.col("s.checks").alias("check"),
+        F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", F.col("s.places").alias("at")).alias("place"),
     )
-    first = each.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    key = ["h", "check"]
+    first = each.groupBy(key).agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # written first: both sides of the join are then shuffled for it alone, and Spark may split a hot hash
     first = common.stage(first, "repeated")
-    again = each.join(first, "h").filter("place <> first").select("place.row", "place.start", "end")
-    gone = again.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    again = each.join(first, key).filter("place <> first").select("place.row", "place.at")
+    gone = again.groupBy("row").agg(F.collect_list("at").alias("gone"))
     whole = spans.drop("spans").join(gone, "row", "left").select("doc_id", "text", "gone")
 
     def drop(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, removed, kept = [], [], []
         for t, runs in zip(common.text_bytes(batch.column(1)), batch.column(2).to_pylist()):
             own = sentences(t)
-            out = {i for r in runs or () for i in range(r["start"], r["end"])}
+            out = {i for r in runs or () for i in range(r >> 32, r & 0xFFFFFFFF)}
             sizes.append(len(own))
             removed.append(len(out))
             kept.append(b"".join(s for i, s in enumerate(own) if i not in out))
