@@ -276,6 +276,7 @@ def salvage(data: bytes | memoryview) -> Iterator[dict]:
     whole = data if isinstance(data, bytes) else bytes(data)
     at, n = 0, len(whole)
     bad_from, reason = None, ""
+    member = line = 0  # the next member and version line, as far as they are known
     # a broken member may hold its records uncompressed, where the search meets them a second time
     again: Counter[bytes] = Counter()
     again_to = 0
@@ -303,10 +304,13 @@ def salvage(data: bytes | memoryview) -> Iterator[dict]:
         except _Bad as e:
             if bad_from is None:
                 bad_from, reason = at, str(e)
-            member = whole.find(_MAGIC, at + 1)
-            line = _VERSION_LINE.search(whole, at + 1)
-            nexts = [x for x in (member, line.start() if line else -1) if x >= 0]
-            at = min(nexts, default=n)
+            if member <= at:
+                found_at = whole.find(_MAGIC, at + 1)
+                member = n if found_at < 0 else found_at
+            if line <= at:
+                match = _VERSION_LINE.search(whole, at + 1)
+                line = match.start() if match else n
+            at = min(member, line)
             continue
         if bad_from is not None:
             yield {"offset": bad_from, "end": at, "gap": reason}
@@ -343,8 +347,9 @@ _SCHEMA = (
 def read_warc(spark: SparkSession, path: str, *, glob: str = "part-*", payloads: bool = True) -> DataFrame:
     """Rows for all records and all quarantined gaps (``gap`` is their reason, else null) of the archives in a folder.
 
-    One task reads a file, which must fit its memory; archives of some hundred
-    megabytes or less, as :func:`write_warc` makes them, keep tasks small.
+    One task reads a file, which must fit its memory and Spark's two gigabytes for a
+    value; archives of some hundred megabytes or less, as :func:`write_warc` makes
+    them unless very large pages lie side by side, keep tasks small.
     An empty file gives no rows, damage gives rows with ``gap`` set.
     """
     common.prepare(spark)
