@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Rows that a function of batches gets at once; with whole texts in them, batches stay small.
 BATCH_ROWS = 256
+#: Bytes of one Arrow batch on its way to and from Python, where the session sets none of its own.
+BATCH_BYTES = 8 << 20
 
 #: The white space that separates words: space and \x09 to \x0D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -25,7 +27,14 @@ _written: dict[str, list[str]] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package."""
+    """Let Python workers import this package, and keep what is under way to them small.
+
+    Spark's own bound is 64 MB a batch, of which a task holds several at a time, outside
+    its heap.  A session with a bound of its own keeps it.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(":")

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from . import common
 
 SYMBOLS = b"#*$%&|<>"
+#: The prior counts' weight as a share of all documents.
+PRIOR_WEIGHT = 0.02
 KEEP, ABSTAIN, REJECT = 1, 0, -1
 
 #: Common words of the corpus languages; fixed values.
@@ -112,7 +114,7 @@ class LabelModel:
     the data decide how much each vote is worth.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior_weight: float = 0.02, rounds: int = 200):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior_weight: float = PRIOR_WEIGHT, rounds: int = 200):
         counts = counts.astype(float)
         total = max(counts.sum(), 1.0)
         n_rules = patterns.shape[1]
@@ -154,13 +156,13 @@ def _votes(prefix: str = "") -> Column:
     return F.array(*[v.cast("int") for v in rules(prefix).values()])
 
 
-def _verdicts(counted: DataFrame, votes: str) -> DataFrame:
+def _verdicts(counted: DataFrame, votes: str, prior_weight: float) -> DataFrame:
     """(votes, quality) of every pattern of votes that occurs; no more rows than patterns."""
     seen = counted.groupBy(votes).agg(F.count("*").alias("n")).orderBy(votes).collect()
     quality = np.zeros(0)
     if seen:
         patterns = np.array([r[0] for r in seen])
-        quality = LabelModel(patterns, np.array([r.n for r in seen])).posterior(patterns)
+        quality = LabelModel(patterns, np.array([r.n for r in seen]), prior_weight).posterior(patterns)
     rows = [(r[0], float(q)) for r, q in zip(seen, quality)]
     return counted.sparkSession.createDataFrame(rows, f"{votes} array<int>, {votes}_quality double")
 
@@ -170,7 +172,9 @@ def _failed(prefix: str = "") -> Column:
     return (n < 50) | (100 * F.col(f"{prefix}n_repeat_words") > 50 * n)
 
 
-def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+def judge(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, prior_weight: float = PRIOR_WEIGHT
+) -> DataFrame:
     """One row for each document: doc_id, the base counts, base_failed, votes, quality, kept.
 
     Rules vote on counts of whole texts.  The numbers of documents with each
@@ -185,7 +189,7 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresh
         "doc_id", *_COUNTS[:5], _votes().alias("votes")
     )
     counted = common.stage(counted, "votes")
-    found = counted.join(F.broadcast(_verdicts(counted, "votes")), "votes", "left")
+    found = counted.join(F.broadcast(_verdicts(counted, "votes", prior_weight)), "votes", "left")
     return found.select(
         "doc_id",
         *_COUNTS[:5],
@@ -196,15 +200,19 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresh
     )
 
 
-def keep_good(docs: DataFrame, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def keep_good(
+    docs: DataFrame, *, text: str = "text", threshold: float = 0.5, prior_weight: float = PRIOR_WEIGHT
+) -> DataFrame:
     """The documents that :func:`judge` keeps; columns unchanged, nothing shuffled but vote counts.
 
     Texts are measured twice, once for the counts of votes and once for the
-    verdict, which is cheaper than moving them.
+    verdict, which is cheaper than moving them.  Null, empty and short texts go,
+    having fewer than 50 words; ids aren't looked at, so repeated rows and rows
+    without an id are each judged; no documents give no rows.
     """
     votes, p = "__votes", "__q_"
     counts = measured(common.only(docs, text=text), prefix=p).select(_votes(p).alias(votes))
-    verdicts = F.broadcast(_verdicts(counts, votes))
+    verdicts = F.broadcast(_verdicts(counts, votes, prior_weight))
     found = measured(docs, text, p).withColumn(votes, _votes(p)).join(verdicts, votes, "left")
     kept = found.filter(~_failed(p) & (F.col(f"{votes}_quality") >= threshold))
     return kept.select(*[f"`{c}`" for c in docs.columns])

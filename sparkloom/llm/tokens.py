@@ -9,7 +9,7 @@ from itertools import chain
 import numpy as np
 
 #: Words whose ids a worker keeps; beyond that the cache starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 #: New words that the library gets as one text.
 TOGETHER = 64
 
