@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -93,6 +94,14 @@ def test_salvage_at_the_end_and_of_nothing():
     assert found[0]["record_id"] == "<urn:page:1>" and found[1]["gap"] and len(found) == 2
 
 
+def test_salvage_of_many_gaps_is_linear():
+    data = b"".join(b"WARC/1.1\r\nbroken %d \x1f\x8b\x08" % i for i in range(60_000)) + record(7)
+    start = time.monotonic()
+    found = list(warc.salvage(data))
+    assert [r["record_id"] for r in found if r["gap"] is None] == ["<urn:page:7>"] and len(found) == 2
+    assert time.monotonic() - start < 30
+
+
 def test_salvage_inside_members():
     rng = np.random.default_rng(3)
     parts = [record(i, rng.bytes(3000)) for i in range(40)]
@@ -145,44 +154,134 @@ def by_row(rows):
     return sorted(rows, key=lambda r: (str(r[0]), r[2], r[5]))
 
 
-@pytest.mark.parametrize("p_entry", [2e-7, 1e-3])
-def test_base_scores(spark, p_entry):
+@pytest.mark.parametrize("options", [{}, {"frequent": 0.05}, {"min_context": 2, "min_entry": 2, "frequent": 0.01}])
+def test_base_scores(spark, options):
     docs = documents(spark)
-    got = by_row(tuple(r) for r in lm.score(docs, p_entry=p_entry).collect())
+    got = by_row(tuple(r) for r in lm.score(docs, **options).collect())
     want = by_row(brute_base([(r.doc_id, r.text) for r in docs.collect()]))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-9)
-    assert lm.score(empty(spark)).count() == 0
+    assert lm.score(empty(spark), **options).count() == 0
+
+
+class BruteTree:
+    """The same tree by dictionaries and plain loops."""
+
+    def __init__(self, rows, min_context, min_entry, depth):
+        self.depth, self.grams, follow = depth, Counter(), {}
+        for d, t in rows:
+            if zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1:
+                continue
+            w = self.words(t)
+            for i in range(len(w)):
+                for n in range(1, depth + 2):
+                    if i + n <= len(w):
+                        self.grams[tuple(w[i : i + n])] += 1
+        self.n = sum(c for g, c in self.grams.items() if len(g) == 1)
+        self.v = sum(len(g) == 1 for g in self.grams)
+        for g, c in self.grams.items():
+            if len(g) > 1 and c >= min_entry and self.grams[g[:-1]] >= max(min_context, min_entry):
+                follow.setdefault(g[:-1], {})[g[-1]] = c
+        self.states, self.retained = {}, set()
+        for context in sorted(follow, key=len):
+            entries, n = follow[context], self.grams[context]
+            parent = {w: self.prob(context[1:], w) for w in entries}
+            left, classes = n - sum(entries.values()), len(entries) + 1
+            parent_rest = max(1 - sum(parent.values()), 1e-9)
+            gain = sum(c * math.log(c / n / parent[w]) for w, c in entries.items())
+            gain += left * math.log(left / n / parent_rest) if left else 0
+            keep = n / (n + classes)
+            self.states[context] = (entries, n, keep, keep * left / n / parent_rest + 1 - keep)
+            if gain > 0.5 * classes * math.log(n):
+                self.retained |= {context[i:] for i in range(len(context))}
+
+    @staticmethod
+    def words(t):
+        return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+
+    def root(self, w):
+        return (self.grams[(w,)] + 0.5) / (self.n + 0.5 * (self.v + 1))
+
+    def prob(self, context, w):
+        if not context:
+            return self.root(w)
+        entries, n, keep, rest = self.states[context]
+        parent = self.prob(context[1:], w)
+        return keep * entries[w] / n + (1 - keep) * parent if w in entries else rest * parent
+
+    def score(self, t):
+        w, total = self.words(t), 0.0
+        for i, x in enumerate(w):
+            contexts = (tuple(w[i - d : i]) for d in range(min(i, self.depth), -1, -1))
+            total += math.log10(self.prob(next(c for c in contexts if not c or c in self.retained), x))
+        return total
+
+
+def chains(n_docs=80):
+    """Texts in which a word depends on the two before it."""
+    rng = np.random.default_rng(2)
+    follow = {(a, b): rng.permutation(12)[:2] for a in range(12) for b in range(12)}
+    out = []
+    for i in range(n_docs):
+        a, b, words = 0, 1, []
+        for _ in range(int(rng.integers(0, 300))):
+            a, b = b, int(rng.choice(follow[a, b])) if rng.random() < 0.9 else int(rng.integers(12))
+            words.append(f"w{b}" if rng.random() > 0.02 else f"rare{rng.integers(10**6)}")
+        out.append((i, " ".join(words)))
+    return out
 
 
-def test_tree_is_a_distribution_and_beats_the_base(spark):
-    rng = np.random.default_rng(2)
-    follow = {w: rng.permutation(20)[:3] for w in range(20)}
-
-    def text():
-        x, out = int(rng.integers(20)), []
-        for _ in range(200):
-            out.append(f"w{x}")
-            x = int(rng.choice(follow[x])) if rng.random() < 0.9 else int(rng.integers(20))
-        return " ".join(out)
-
-    docs = spark.createDataFrame([(i, text()) for i in range(60)], "doc_id long, text string")
-    tree, _ = lm.train(docs, p_context=1e-4)
-    assert tree.levels[0].retained.sum() >= 18
-    # for some contexts, the probabilities of all words and of an unseen one sum to 1
-    alphabet = len(tree.root)
-    names = {int(n): w for w in [f"w{i}".encode() for i in range(20)] + [lm.END] for n in tree.alphabet.numbers([w])}
-    unseen = 0.5 / (tree.train_tokens + 0.5 * (tree.vocabulary + 1))
-    for context in ([3], [7, 12], [1, 2]):
-        state = [int(tree.alphabet.numbers([f"w{c}".encode()])[0]) for c in context]
-        total = 0.0
-        for w in [*names, -1]:
-            ratio = np.exp(tree.log_ratio(np.array([*state, w]), np.array([0])))[-1]
-            total += ratio * (tree.root[w] if w >= 0 else unseen)
-        assert alphabet == 21 and abs(total - 1) < 1e-9
-    rows = lm.score(docs, p_context=1e-4).collect()
-    held = [r for r in rows if r.held_out]
-    assert held and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+@pytest.mark.parametrize("options", [dict(min_context=30, min_entry=3, max_depth=3), dict(min_context=5, min_entry=5, max_depth=2, frequent=0.01), dict(min_context=3, min_entry=2, max_depth=1, frequent=2.0), dict(max_depth=0), dict(max_depth=4)])
+def test_scores_are_those_of_a_plain_tree(spark, options):
+    rows = [*chains(), *((1000 + i, t) for i, t in enumerate(TEXTS)), (None, "w1 w2 w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = BruteTree(rows, options.get("min_context", 16), options.get("min_entry", 2), options["max_depth"])
+    got = {r.doc_id: r.score for r in lm.score(docs, **options).collect()}
+    want = {d: plain.score(t) for d, t in rows}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[d], want[d], rel_tol=1e-9, abs_tol=1e-9) for d in want)
+    if options["max_depth"] > 1:
+        assert {len(c) for c in plain.retained} >= {1, 2}
+    for context in list(plain.retained)[:30]:  # all words and an unseen one
+        total = sum(plain.prob(context, g[0]) for g in list(plain.grams) if len(g) == 1) + plain.prob(context, "unseen")
+        assert abs(total - 1) < 1e-9
+
+
+def test_tree_beats_the_base_and_grows_with_the_corpus(spark):
+    sizes = []
+    for n in (40, 160):
+        docs = spark.createDataFrame(chains(n), "doc_id long, text string")
+        model = lm.train(docs)
+        sizes.append(sum(model.states))
+        rows = [r for r in lm.score(docs, model=model).collect() if r.held_out]
+        assert rows and sum(r.score for r in rows) > 0.9 * sum(r.base_score for r in rows)
+    assert sizes[1] > sizes[0]
+
+
+def test_word_keys_tell_words_apart(monkeypatch):
+    texts = [t.encode() if t is not None else None for t in TEXTS] + [b"a\x00 a \x00a", b"x" * 5000 + b" " + b"y" * 3000 + b" X" + b"x" * 4999, b"end"]
+    want = [[*(t or b"").lower().split(), None] for t in texts]
+    for chunk in (1 << 20, 64):
+        monkeypatch.setattr(lm, "_CHUNK", chunk)
+        keys, sizes = lm.word_keys(texts)
+        assert sizes.tolist() == [len(w) for w in want]
+        number = {}
+        for w, k in zip([w for ws in want for w in ws], keys.tolist()):
+            assert number.setdefault(w, k) == k
+        assert len(set(number.values())) == len(number) == len(set(keys.tolist()))
+        one, _ = lm.word_keys([b"end"])
+        assert one[0] == keys[-2] and one[1] == keys[-1]
+
+
+def test_bit_map_and_lookup_find_their_keys(spark):
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
+    bits = lm.bit_map(spark.createDataFrame([(common.signed(int(k)),) for k in keys], "key long"), 17)
+    other = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    assert lm.in_map(bits, keys).all() and lm.in_map(bits, other).mean() < 0.05
+    for own in (keys, keys[:1], keys[:0]):
+        found = lm.Lookup(own)
+        assert (found(own) == np.arange(len(own))).all() and (found(other) == -1).all()
 
 
 # ------------------------------------------------------------------ quality rules
@@ -223,6 +322,79 @@ def test_label_model_finds_the_rates():
     assert ((model.posterior(votes) > 0.5) == good).mean() > 0.97
 
 
+def brute_votes(text):
+    """The ten votes of a text by plain Python."""
+    text = text or ""
+    n, chars, symbols, dup, repeated = brute_counts(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    letters = "".join(words)
+    shown = [w for w in words if re.sub("[A-Z]", lambda m: m[0].lower(), w).rstrip(".,;:!?").encode() in quality.STOP_WORDS]
+    share = lambda a, b: a / max(b, 1)
+    vote = lambda reject, keep: -1 if reject else int(keep)
+    n_letters, upper = sum(map(str.isalpha, letters)), sum(map(str.isupper, letters))
+    return (
+        vote(n < 50, n >= 100), vote(not 2.5 <= share(chars, n) <= 11, 3 <= share(chars, n) <= 9), vote(share(symbols, n) > 0.1, False),
+        vote(share(words.count("|"), n) > 0.1, False), vote(share(dup, len(lines)) > 0.3, False), vote(share(repeated, n) > 0.3, share(repeated, n) < 0.1),
+        vote(share(upper, n_letters) > 0.5, False), vote(share(letters.count("!"), n) > 0.2, False),
+        vote(share(n_letters, chars) < 0.7, share(n_letters, chars) > 0.85), vote(False, share(len(shown), n) > 0.05),
+    )
+
+
+def brute_quality(votes, weight=0.02):
+    """Posterior of each document by expectation-maximisation in plain loops, a document at a time."""
+    n, rules = len(votes), len(votes[0])
+    values = (-1, 0, 1)
+    prior = []
+    for r in range(rules):
+        seen = {v[r] for v in votes}
+        bad, good = [0.45, 0.4, 0.15], [0.01, 0.4, 0.59]
+        if 1 not in seen:
+            bad, good = [0.3, 0.7, 1e-6], [0.005, 0.995, 1e-6]
+        if -1 not in seen:
+            bad, good = [1e-6, 0.7, 0.3], [1e-6, 0.3, 0.7]
+        prior.append([[x / sum(p) for x in p] for p in (bad, good)])
+    rates, share, heavy = [[list(p) for p in r] for r in prior], 0.8, weight * n + 1
+
+    def posterior(v):
+        logs = [math.log(1 - share), math.log(share)]
+        for r in range(rules):
+            for c in (0, 1):
+                logs[c] += math.log(max(rates[r][c][values.index(v[r])], 1e-12))
+        return 1 / (1 + math.exp(max(-700, min(700, logs[0] - logs[1]))))
+
+    for _ in range(200):
+        q = [posterior(v) for v in votes]
+        new = []
+        for r in range(rules):
+            pair = []
+            for c in (0, 1):
+                sums = [sum(abs(1 - c - x) if c == 0 else x for x, v in zip(q, votes) if v[r] == value) for value in values]
+                cells = [s + heavy * p for s, p in zip(sums, prior[r][c])]
+                pair.append([x / sum(cells) for x in cells])
+            new.append(pair)
+        change = max(abs(a - b) for x, y in zip(new, rates) for p, o in zip(x, y) for a, b in zip(p, o))
+        rates, share = new, min(0.99, max(0.01, (sum(q) + 0.8 * heavy) / (n + heavy)))
+        if change < 1e-9:
+            break
+    return [posterior(v) for v in votes]
+
+
+@pytest.mark.parametrize("weight", [0.02, 0.1])
+def test_verdicts_are_those_of_plain_loops(spark, weight):
+    own = common.table(spark, SF, "documents").select("doc_id", "text")
+    docs = documents(spark).select("doc_id", "text").union(own)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    votes = [brute_votes(t) for _, t in texts]
+    want = Counter()
+    for (d, t), q in zip(texts, brute_quality(votes, weight)):
+        c = brute_counts(t)
+        want[d, c[0], round(q, 6), not (c[0] < 50 or 100 * c[4] > 50 * c[0]) and q >= 0.5] += 1
+    rows = quality.judge(docs, prior_weight=weight).collect()
+    assert Counter((r.doc_id, r.n_words, round(r.quality, 6), r.kept) for r in rows) == want
+    assert {k[-1] for k in want} == {True, False}
+
+
 def test_judgement_agrees_with_labels(spark):
     docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
     rows = quality.judge(docs).join(labels, "doc_id").filter("not base_failed").select("kept", labels.quality.alias("label")).collect()
@@ -250,17 +422,95 @@ def test_candidates(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
-def test_forest_on_held_out_findings_and_documents(spark):
-    found = secrets.labelled_findings(spark, 3000)
+def test_many_candidates_in_one_text(spark):
+    n = 100_000
+    text = " ".join(f"value{i:08d}abcdef" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "\ue000 token=abcdef1234567\ue000x")], "doc_id long, text string")
+    start = time.monotonic()
+    row = secrets.candidates(docs.filter("doc_id = 1")).agg(F.count("*"), F.max("position"), F.sum(F.length("before"))).first()
+    assert row[0] == n and row[1] == len(text) - 19 + 1 + 0 and time.monotonic() - start < 60
+    assert [(r.position, r.candidate) for r in secrets.candidates(docs.filter("doc_id = 2")).collect()] == [(9, "abcdef1234567\ufffdx")]
+
+
+def test_contexts_are_what_stands_beside(spark):
+    docs = documents(spark)
+    for r in secrets.candidates(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        at = r.position - 1
+        assert r.text[at : at + len(r.candidate)] == r.candidate
+        assert r.text[:at].endswith(r.before) and (len(r.before) >= 48 or r.text.startswith(r.before))
+        assert r.after in r.text[at + len(r.candidate) :]
+
+
+WORDS = "the of and that with configuration release documentation generation service version".split()
+
+
+@pytest.fixture(scope="module")
+def known(spark):
+    texts = [" ".join(WORDS), "Ünder tHe, under"]
+    return secrets.language(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string"))
+
+
+def test_language_counts_all_words(spark, known):
+    assert set(known.words) == {w for w in WORDS if len(w) > 2} | {"nder", "under"} and known.words[0] == "the"
+    count = Counter(p for w in [*WORDS, "nder", "the", "under"] if len(w) > 1 for p in zip(w, w[1:]))
+    row = sum(c for (a, _), c in count.items() if a == "t")
+    assert math.isclose(known.transitions[19 * 26 + 7], math.log10((count["t", "h"] + 1) / (row + 26)))
+    assert secrets.language(empty(spark)).words == ()
+
+
+def brute_features(r, known):
+    """The features by plain Python."""
+    c, low, n = r.candidate, r.candidate.lower(), max(len(r.candidate), 1)
+    share = lambda test: sum(map(test, c)) / n
+    kind = lambda ch: "l" if "a" <= ch <= "z" else "u" if "A" <= ch <= "Z" else "d" if ch.isdigit() else "o"
+    kinds = [kind(ch) for ch in c]
+    pairs = [(a, b) for a, b in zip(low, low[1:]) if "a" <= a <= "z" and "a" <= b <= "z"]
+    near = f"{r.before} {r.after}".lower()
+    words = lambda listed: len(re.findall("(?<![a-z])(?:%s)(?![a-z])" % "|".join(listed.split()), near))
+    runs = re.findall("[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])", c)
+    return [
+        len(c), share(lambda x: kind(x) in "lu"), share(lambda x: kind(x) == "d"), share(lambda x: kind(x) == "u"), share(lambda x: kind(x) == "l"),
+        share(lambda x: kind(x) == "o"), sum((a, b) in {("l", "u"), ("l", "d"), ("u", "d"), ("d", "l"), ("d", "u")} for a, b in zip(kinds, kinds[1:])) / n,
+        sum(known.transitions[(ord(a) - 97) * 26 + ord(b) - 97] for a, b in pairs) / max(len(pairs), 1), len(set(c)) / n,
+        sum(len(x) for x in runs if x.lower() in known.words) / n, float(bool(re.fullmatch("[0-9a-f]+", c))), c.count("/"), c.count("-") + c.count("_"),
+        words(secrets.TELLING), words(secrets.HARMLESS), float(r.assigned), float(bool(re.search(secrets.PATH_LIKE, (r.path or "").lower()))),
+    ]
+
+
+def test_features_are_those_of_plain_python(spark, known):
+    rows = secrets.with_features(secrets.labelled_findings(spark, known, 400), known).collect()
+    assert len(rows) == 400
+    for r in rows:
+        assert np.allclose(r.features.toArray(), brute_features(r, known), atol=1e-5), r
+    found = np.array([r.features.toArray() for r in rows])
+    assert {f for f, s in zip(secrets.FEATURES, found.std(0)) if s == 0} == set()
+
+
+def test_forest_on_held_out_findings_and_documents(spark, known):
+    found = secrets.labelled_findings(spark, known, 3000)
     third = F.pmod(F.xxhash64(F.col("doc_id") + 7), F.lit(3))
     train, test = found.filter(third != 0), found.filter(third == 0)
-    model = secrets.train(train)
-    judged = model.transform(secrets.with_features(test))
+    model = secrets.train(train, known)
+    judged = model.transform(secrets.with_features(test, known))
     assert judged.filter("prediction = label").count() >= 0.95 * judged.count()
-    rows = secrets.scan(documents(spark), path="component_id", model=model).filter("doc_id = 14").collect()
+    weight = dict(zip(secrets.FEATURES, model.featureImportances.toArray()))
+    assert weight["path_like"] > 0 and weight["transitions"] > 0 and weight["dictionary"] > 0
+    rows = secrets.scan(documents(spark), path="component_id", model=model, known=known).filter("doc_id = 14").collect()
     assert len(rows) == 3 and all(r.is_secret for r in rows)
 
 
+def test_forest_on_kinds_it_has_not_seen(spark, known):
+    found = common.stage(secrets.labelled_findings(spark, known, 2000), "findings")
+    right = total = 0
+    for fold in range(4):  # five kinds of each fold are unseen
+        out = F.pmod("kind", F.lit(4)) == fold
+        model = secrets.train(found.filter(~out), known)
+        judged = model.transform(secrets.with_features(found.filter(out), known))
+        right += judged.filter("prediction = label").count()
+        total += judged.count()
+    assert right >= 0.7 * total
+
+
 TELLING = [
     ('{"password": "Tr0ub4dor&3x!"}', "Tr0ub4dor&3x!"),
     ('secret_key = "p9$kd!x2Qz"', "p9$kd!x2Qz"),

@@ -77,16 +77,17 @@ def brute_decontaminate(docs, items, size=10):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_decontaminate(spark, block_bytes):
+@pytest.mark.parametrize("block_words,segment", [(1 << 20, 512), (50, 3)])
+def test_decontaminate(spark, monkeypatch, block_words, segment):
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)
     items = [(1, TEXTS[5]), (2, "two words"), (10, "A b C d e f g h i j"), (3, None), (4, ""), (5, "!!"), (None, "word"), (7, " ".join(LONG.split()[500:530]))]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
     docs = documents(spark)
-    got = decontaminate.decontaminate(docs, bench, block_bytes=block_bytes)
+    got = decontaminate.decontaminate(docs, bench, block_words=block_words)
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     want = brute_decontaminate([(r.doc_id, r.text) for r in docs.collect()], items)
     assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(want, key=str)
-    kept = decontaminate.remove_contaminated(docs, bench, block_bytes=block_bytes)
+    kept = decontaminate.remove_contaminated(docs, bench, block_words=block_words)
     assert kept.columns == docs.columns and kept.count() == sum(not w[-1] for w in want)
 
 
@@ -97,11 +98,19 @@ def test_decontaminate_empty(spark):
 
 
 def test_wu_manber_finds_all_occurrences():
-    patterns = [("a", "b", "a"), ("b", "a", "b"), ("c", "c", "c")]
-    patterns = [tuple(x.encode() for x in p) for p in patterns]
-    text = [x.encode() for x in "ababaccccab"]
-    want = {(i, p) for p in patterns for i in range(len(text) - 2) if tuple(text[i : i + 3]) == p}
-    assert set(decontaminate.WuManber(patterns, 3).find(text)) == want
+    rng = np.random.default_rng(4)
+    for length in (1, 2, 3, 5, 10):
+        patterns = np.unique(rng.integers(0, 3, (30, length), dtype=np.int32), axis=0)
+        sizes = np.array([0, 5, 700, 1, 1300, length, length - 1])
+        text = rng.integers(-1, 3, int(sizes.sum())).astype(np.int32)
+        text[700:700 + length] = patterns[-1]
+        starts, found = decontaminate.WuManber(patterns, 4).find(text, sizes)
+        want, begin = set(), 0
+        for n in sizes.tolist():
+            for i in range(begin, begin + n - length + 1):
+                want |= {(i, k) for k, p in enumerate(patterns.tolist()) if text[i : i + length].tolist() == p}
+            begin += n
+        assert set(zip(starts.tolist(), found.tolist())) == want and len(starts) == len(want)
 
 
 # ------------------------------------------------------------------ packing
@@ -256,13 +265,81 @@ def test_near_duplicates(spark):
             least[groups[f]] = min(d, least.get(groups[f], d))
     want = Counter((d, f"{f:016x}", least.get(groups[f])) for d, f in fps)
     assert Counter(map(tuple, rows)) == want
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {d for d, _ in fps if d is None or d == least[groups[dict(fps)[d]]]}
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("hot,block", [(48, 2048), (2, 8)])
+def brute_wide(text, size=5):
+    """256 bits as four numbers: majorities of the shingles' hashes and of three mixes of each."""
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    out, full = [], 2**64 - 1
+    for k in range(4):
+        hashes = []
+        for s in shingles:
+            x = xxhash.xxh64_intdigest(s.encode(), seed=42)
+            if k:
+                x = (x + 0x9E3779B97F4A7C15 * k) & full
+                x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+                x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+                x ^= x >> 31
+            hashes.append(x)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return tuple(out)
+
+
+def brute_keep(rows):
+    """Numbers of the rows (doc_id, text) that stay: one of each group."""
+    fps = [brute_wide(t) for _, t in rows]
+    values = sorted(set(fps))
+    near = lambda a, b: (a[0] ^ b[0]).bit_count() <= 10 and sum((x ^ y).bit_count() for x, y in zip(a, b)) <= 44
+    groups = brute_components(values, [(a, b) for i, a in enumerate(values) for b in values[:i] if near(a, b)])
+    signed = lambda v: [common.signed(x) for x in v]
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        mine = (d is None, d or 0, signed(fps[i]))
+        if mine < best.get(groups[fps[i]], ((True, 1 << 70),))[0]:
+            best[groups[fps[i]]] = (mine, i)
+    return sorted(i for _, i in best.values())
+
+
+def edited(text, share, seed):
+    rng = random.Random(seed)
+    return " ".join(f"edit{rng.randrange(10**6)}" if rng.random() < share else w for w in text.split())
+
+
+@pytest.mark.parametrize("hot", [48, 1])
+def test_keep_one(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    docs = documents(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(rows[i] for i in brute_keep(rows))
+    assert simhash.keep_one(empty(spark)).count() == 0
+    # rows that share an id: each goes or stays by its own text
+    a, b = LONG[:3000], LONG[3000:6000]
+    same = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (7, b)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(same).collect())) == sorted([(1, a), (5, b)])
+
+
+def test_keep_one_finds_edited_copies_and_leaves_others(spark):
+    from tests.llm.data import prose
+
+    bases = [prose(1000 + i, 400) for i in range(60)]
+    light, heavy = [edited(t, 0.01, i) for i, t in enumerate(bases)], [edited(t, 0.25, i) for i, t in enumerate(bases)]
+    rows = list(enumerate(bases + light + heavy))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)}
+    likeness = lambda x, y: len(x & y) / len(x | y)
+    like = [likeness(shingles(a), shingles(b)) for a, b in zip(bases, light)]
+    near = [i for i, x in enumerate(like) if x >= 0.8]
+    assert len(near) > 50 and sum(60 + i not in kept for i in near) >= 0.9 * len(near)
+    assert set(range(60)) <= kept and set(range(120, 180)) <= kept  # similarity about 0.15
+
+
+@pytest.mark.parametrize("hot,block", [(48, 8192), (2, 8), (2, 8192)])
 def test_links_connect_all_that_brute_force_connects(spark, monkeypatch, hot, block):
     monkeypatch.setattr(simhash, "HOT", hot)
     monkeypatch.setattr(simhash, "BLOCK", block)
@@ -279,12 +356,13 @@ def test_links_connect_all_that_brute_force_connects(spark, monkeypatch, hot, bl
     values |= {near ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)}
     values = sorted(values)
     fps = spark.createDataFrame([(common.signed(v),) for v in values], "fp long")
-    links = [(r.a % 2**64, r.b % 2**64) for r in simhash.links_within(fps).collect()]
+    found = simhash.links_within(fps)
+    links = [(r.a % 2**64, r.b % 2**64) for r in found.collect()]
     assert all(0 < (a ^ b).bit_count() <= 4 for a, b in links)
     want = brute_components(values, [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 4])
     assert brute_components(values, links) == want
-    if hot == 2:
-        assert len(links) < 40 * len(values)
+    if (hot, block) == (2, 8192):  # a forest in each bucket, of five partitions at most
+        assert len(links) <= 5 * len(values)
 
 
 def test_thresholds_hold_the_pigeonhole():
@@ -324,7 +402,7 @@ def brute_lines(docs):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_lines": 4, "block_bytes": 300}])
+@pytest.mark.parametrize("options", [{}, {"shard_lines": 4, "probe_lines": 5}])
 def test_dedup_lines(spark, options):
     docs = documents(spark)
     got = linededup.dedup_lines(docs, **options).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -335,22 +413,55 @@ def test_dedup_lines(spark, options):
     assert linededup.dedup_lines(empty(spark), **options).count() == 0
 
 
+def test_lines_of_many_shards(spark, monkeypatch):
+    lines = [f"line number {i} of some length" for i in range(300)]
+    rng = random.Random(8)
+    texts = ["\n".join([*rng.sample(lines, 20), f"own line of document {i}"]) for i in range(60)]
+    docs = documents(spark, texts, extra=False)
+    staged = []
+    stage = common.stage
+    monkeypatch.setattr(common, "stage", lambda df, label: staged.append((label, df.columns)) or stage(df, label))
+    got = linededup.dedup_lines(docs, shard_lines=50, probe_lines=60).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    assert Counter(map(tuple, got.collect())) == Counter(brute_lines(list(enumerate(texts))))
+    # texts are written once, however many shards there are
+    assert [label for label, columns in staged if any(c.startswith("c") and c[1:].isdigit() for c in columns)] == ["documents"]
+    own = linededup.line_hashes(documents(spark, texts, extra=False).selectExpr("doc_id as row", "doc_id", "text"), 10)
+    assert linededup.build_index(own, 50)[1] >= 5
+
+
 def test_perfect_hash_is_minimal_and_survives_packing():
-    keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
-    h = linededup.MinimalPerfectHash(keys)
+    rng = np.random.default_rng(1)
+    first, second = rng.integers(0, 2**63, 5000).astype(np.uint64), rng.integers(0, 2**63, 5000).astype(np.uint64)
+    first[:100] = first[100]  # keys that share a word
+    second[200:300] = second[300]
+    h = linededup.MinimalPerfectHash(first, second)
     again = linededup.MinimalPerfectHash.unpacked(h.packed())
-    assert sorted(h(keys).tolist()) == list(range(len(keys))) and (again(keys) == h(keys)).all()
+    assert sorted(h(first, second).tolist()) == list(range(5000)) and (again(first, second) == h(first, second)).all()
 
 
 # ------------------------------------------------------------------ spans
 
 
+def brute_sentences(text):
+    """Cut after . ! ? before white space, and after line ends, with the white space behind."""
+    white, out, own, i = " \t\n\x0b\x0c\r", [], "", 0
+    while i < len(text):
+        own += text[i]
+        i += 1
+        if own[-1] == "\n" or own[-1] in ".!?" and (i == len(text) or text[i] in white):
+            while i < len(text) and text[i] in white:
+                own += text[i]
+                i += 1
+            out.append(own)
+            own = ""
+    return out + [own] * bool(own)
+
+
 def brute_spans(docs, least=2, min_words=12):
     own = []
     for row, (d, t) in enumerate(docs):
-        s = [x.decode() for x in spans.sentences((t or "").encode())]
-        assert "".join(s) == (t or "")
-        low = [re.sub("[A-Z]", lambda m: m[0].lower(), x).split() for x in s]
+        s = brute_sentences(t or "")
+        low = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x)) for x in s]
         runs = {}
         for i in range(len(s)):
             for j in range(i + least, len(s) + 1):
@@ -367,11 +478,18 @@ def brute_spans(docs, least=2, min_words=12):
     return [(d, len(s), len(gone[row]), "".join(x for i, x in enumerate(s) if i not in gone[row])) for d, s, _, row in own]
 
 
+def test_sentences_are_cut_as_said():
+    more = ["a. b", "a.b. c", "x!? y\n\nz", "... !", "no end", "\n", " \n x", "end.", "a.\x1cb. c", "1.5 is. it"]
+    for t in [t or "" for t in TEXTS] + more:
+        assert [s.decode() for s in spans.sentences(t.encode())] == brute_sentences(t)
+
+
 def test_dedup_spans(spark):
-    docs = documents(spark).filter("doc_id is null or text not like '%\x1c%'")
+    docs = documents(spark)
     got = spans.dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", "text").collect()
     want = brute_spans([(r.doc_id, r.text) for r in docs.collect()])
-    assert Counter(map(tuple, got)) == Counter(want)
+    assert Counter(map(tuple, got)) == Counter(want) and any(w[2] for w in want)
+    assert any(w[0] == 0 and w[1:] == (0, 0, "") for w in want)  # the null text
     assert spans.dedup_spans(empty(spark)).count() == 0
 
 
