@@ -508,7 +508,7 @@ def decomposition(df: DataFrame, column: str, order_by: str, period: int) -> Dat
     means = full.groupBy("season").agg(F.avg(F.col("value") - F.col("trend")).alias("s"))
     level = means.agg(F.avg("s").alias("l"))
     seasonal = means.crossJoin(F.broadcast(level)).select("season", (F.col("s") - F.col("l")).alias("seasonal"))
-    return full.join(F.broadcast(seasonal), "season").withColumn("remainder", F.col("value") - F.col("trend") - F.col("seasonal")).drop("season", "o")
+    return full.join(seasonal, "season").withColumn("remainder", F.col("value") - F.col("trend") - F.col("seasonal")).drop("season", "o")
 
 
 @concept("time series", "exponential-smoothing")

@@ -39,7 +39,9 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame, bound: int | None = None) -> bool:
-    """Whether the estimated size is within the bound."""
+    """Whether the estimated size is within the bound; a plan that explodes rows is taken for a large one, since estimates don't count them."""
+    if "Generate " in df._jdf.queryExecution().optimizedPlan().toString():
+        return False
     return estimated_bytes(df) <= (ONE_TASK_BYTES if bound is None else bound)
 
 
