@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, linededup, lm, packing, quality, records, secrets, simhash, spans, warc
+from . import common, decontaminate, extract, linededup, lm, packing, quality, records, resample, secrets, simhash, spans, trie, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,18 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).drop("text")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(common.table(spark, sf_dir, "conversations"), group=5)
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(common.table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_spans,
         op9_quality,
         op10_lines,
+        op11_trie,
+        op12_resample,
+        op13_extract,
         pipeline,
     )
 }
@@ -151,4 +166,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_warc": _ORACLE_1, "op2_decontaminate": _ORACLE_2, "op10_lines": _ORACLE_10}
+_ORACLE_11 = """
+WITH bits AS (
+  SELECT list(c ORDER BY b) AS tbl FROM (
+    SELECT b, list_reduce([b] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256))::BIGINT AS b))),
+t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+    md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS m, strlen(coalesce(text, '')) AS b
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, n, conv_id - conv_id % 5 AS base,
+    xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+      lambda s, x: xor(s >> 8, tbl[(xor(s, x) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id), bits),
+r AS (
+  SELECT c.conv_id, pos AS d, m, b FROM c JOIN t ON t.conv_id = c.base WHERE pos <= h
+  UNION ALL
+  SELECT c.conv_id, pos - c.h + least(c.h, coalesce(o.n, 0)), m, b
+  FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN c AS o ON o.conv_id = c.base WHERE pos > c.h),
+p AS (
+  SELECT conv_id, d, b, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY d) AS k FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM p),
+node AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * max(b) AS cost,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ids FROM e GROUP BY k, d),
+child AS (SELECT substr(k, 1, 32 * (d - 1)::INT) AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+up AS (
+  SELECT substr(k, 1, 32 * i::INT) AS k, sum(leaf) AS leaves, sum(cost) AS cost
+  FROM (SELECT node.k, cost, (child.k IS NULL)::BIGINT AS leaf, unnest(range(0, d + 1)) AS i
+        FROM node LEFT JOIN child USING (k)) GROUP BY 1)
+SELECT node.conv_id, node.d AS depth, parent.conv_id AS parent_conv_id, node.n AS n_convs,
+  coalesce(child.n, 0) AS n_children, up.leaves::BIGINT AS n_leaves, up.cost::BIGINT AS saved_tokens,
+  sha256(coalesce(node.ids, '')) AS ends_sha256
+FROM node JOIN up USING (k) LEFT JOIN child USING (k)
+LEFT JOIN node AS parent ON node.d > 0 AND parent.k = substr(node.k, 1, 32 * (node.d - 1)::INT)
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": _ORACLE_1, "op2_decontaminate": _ORACLE_2, "op10_lines": _ORACLE_10, "op11_trie": _ORACLE_11}
