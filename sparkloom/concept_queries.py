@@ -289,6 +289,15 @@ def ingest_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_ingested(spark, f"{sf_dir}/orders.parquet").select(*_COLUMNS), 4)
 
 
+def ingest_excel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = ordered.scratch(spark, "source") + ".xlsx"
+    rows = table(spark, sf_dir, "orders").select(*_COLUMNS, "o_orderdate", F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("customer"), (F.col("o_totalprice") > 100000).alias("dear"))
+    io.export(rows, path, "xlsx")
+    return rounded(_ingested(spark, path).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")), 4)
+
+
+QUERIES["ingest_excel"], ORACLES["ingest_excel"] = ingest_excel, """SELECT o_orderkey, o_orderpriority, round(o_totalprice, 4) AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
+    CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS customer, o_totalprice > 100000 AS dear FROM orders"""
 QUERIES["ingest_csv"], ORACLES["ingest_csv"] = ingest_csv, _BACK
 QUERIES["ingest_parquet"], ORACLES["ingest_parquet"] = ingest_parquet, _BACK
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import compat
+from .excel import read_excel, write_excel
 
 
 class IngestError(ValueError):
@@ -67,18 +68,10 @@ def _csv(spark: SparkSession, source: str) -> DataFrame:
 
 
 def _excel(spark: SparkSession, source: str) -> DataFrame:
-    """The first sheet, whose size a workbook bounds to about a million rows."""
-    import pandas as pd
-
-    try:
-        sheet = pd.read_excel(source)
-    except ImportError as e:
-        raise IngestError(f"reading Excel files takes an extra package: {e}") from e
-    for c in sheet.columns:
-        kind = sheet[c].dtype
-        if kind == object or getattr(kind, "tz", None) is not None:
-            sheet[c] = sheet[c].map(lambda v: None if pd.isna(v) else str(v))
-    return spark.createDataFrame(sheet)
+    """The first sheet."""
+    if source.lower().rstrip("/").endswith(".xls"):
+        raise IngestError(f"{source} is a binary workbook; save it as .xlsx")
+    return read_excel(spark, source)
 
 
 _READERS = {".csv": _csv, ".xlsx": _excel, ".xls": _excel, ".parquet": read_parquet}
@@ -103,7 +96,7 @@ def _counted(df: DataFrame, write) -> int:
 
 
 def export(df: DataFrame, path: str, fmt: str = "parquet") -> int:
-    """Write Parquet or CSV with a header; returns the rows, counted on the way."""
+    """Write Parquet, CSV with a header, or workbooks; returns the rows, counted on the way."""
     fmt = fmt.lower()
     if fmt == "parquet":
         return _counted(df, lambda d: d.write.mode("overwrite").parquet(path))
@@ -112,6 +105,8 @@ def export(df: DataFrame, path: str, fmt: str = "parquet") -> int:
             *[F.to_json(compat.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else compat.col(f.name) for f in df.schema]
         )
         return _counted(flat, lambda d: d.write.mode("overwrite").csv(path, header=True, quote='"', escape='"'))
+    if fmt == "xlsx":
+        return _counted(df, lambda d: write_excel(d, path))
     raise ValueError(f"unsupported export format: {fmt}")
 
 
