@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions import compat
 from ..functions.aggregates import aggregate
-from . import ordered
+from . import ordered, sketches
 
 #: Aggregates by counted values; percentile_N is one too.
 COUNTED = ("median", "mode", "mad", "nunique", "count_distinct", "entropy", "histogram")
 _PERCENTILE = re.compile(r"percentile_(\d{1,3})")
+#: Aggregates by sketches: approx_percentile_N, approx_top_N (values as texts, the most frequent first) and approx_nunique.
+_SKETCHED = re.compile(r"approx_(?:(percentile|top)_(\d{1,4})|(nunique))")
 
 
 def is_counted(fn: str) -> bool:
@@ -29,6 +31,19 @@ def is_counted(fn: str) -> bool:
     return name in COUNTED or bool(_PERCENTILE.fullmatch(name))
 
 
+def _by_sketch(df: DataFrame, keys: Sequence[str], column: str, fn: str, name: str) -> DataFrame:
+    kind, number, distinct = _SKETCHED.fullmatch(fn).groups()
+    if distinct:
+        return sketches.distinct_sketch(df, column, keys).select(*keys, sketches.distinct_estimate("sketch").alias(name))
+    if kind == "percentile":
+        if int(number) > 100:
+            raise ValueError("a percentile lies between 0 and 100")
+        return sketches.quantile_sketch(df, column, keys).select(*keys, sketches.quantile_estimate("sketch", int(number) / 100).alias(name))
+    counters = max(sketches.COUNTERS, 4 * int(number))
+    found = sketches.top_estimate("sketch", int(number))
+    return sketches.top_sketch(df, column, keys, counters=counters).select(*keys, F.transform(found, lambda e: e["value"]).alias(name))
+
+
 def _plus(a: Column, b: Column) -> Column:
     return a + b
 
@@ -97,14 +112,15 @@ def _of_column(df: DataFrame, keys: list[str], column: str, wanted: dict[str, st
 def grouped(df: DataFrame, by: Sequence[str], aggs: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Aggregates (function, column, name) of groups, or of the table, in that order."""
     by, aggs = list(by), [(fn.strip().lower(), column or "*", name) for fn, column, name in aggs]
-    direct = [(fn, column, name) for fn, column, name in aggs if not is_counted(fn)]
+    sketched = {i: (fn, column) for i, (fn, column, _) in enumerate(aggs) if _SKETCHED.fullmatch(fn)}
+    direct = [(fn, column, name) for i, (fn, column, name) in enumerate(aggs) if not is_counted(fn) and i not in sketched]
     counted: dict[str, dict[str, str]] = {}
     for i, (fn, column, _) in enumerate(aggs):
         if is_counted(fn):
             counted.setdefault(column, {})[f"__a{i}"] = fn
     keys = [f"__k{i}" for i in range(len(by))]
     own = df.withColumns({k: compat.col(c) for k, c in zip(keys, by)})
-    if not counted:
+    if not counted and not sketched:
         cells = [aggregate(fn, column).alias(name) for fn, column, name in direct]
         return df.groupBy(*compat.cols(by)).agg(*cells) if by else df.agg(*cells)
     place = {name: f"__a{i}" for i, (_, _, name) in enumerate(aggs)}
@@ -112,6 +128,8 @@ def grouped(df: DataFrame, by: Sequence[str], aggs: Sequence[tuple[str, str, str
     out = _grouped(own, keys, *cells)
     for column, wanted in counted.items():
         out = _joined(out, _of_column(own, keys, column, wanted), keys)
+    for i, (fn, column) in sketched.items():
+        out = _joined(out, _by_sketch(own, keys, column, fn, f"__a{i}"), keys)
     zero = {f"__a{i}" for i, (fn, _, _) in enumerate(aggs) if fn in ("nunique", "count_distinct")}
     value = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) if c in zero else F.col(c)
     return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], *[value(f"__a{i}").alias(name) for i, (_, _, name) in enumerate(aggs)])
