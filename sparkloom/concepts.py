@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import compat
+from .models import clusters, likelihood, linear, quantile, selection, trees
 from .operators import ordered
 from .session import share_package
 from .stats import analyses as A
@@ -90,15 +91,21 @@ _points_to("advanced", "odds_ratios of logistic_regression", "odds-ratios", run=
 _points_to("regression", "regression_ols", "multiple-linear-regression", "coefficient-interpretation", "hypothesis-tests-for-betas", "r-squared", run=A.regression_ols)
 _points_to("eda", "plans.profile", "exploratory-data-analysis")
 _points_to("advanced", "pyspark.ml.regression.GeneralizedLinearRegression", "generalized-linear-models")
-_points_to("advanced", "pyspark.ml.clustering.KMeans", "k-means-clustering")
-_points_to("advanced", "pyspark.ml.feature.PCA", "principal-component-analysis")
-_points_to("advanced", "pyspark.ml.evaluation.ClusteringEvaluator", "silhouette-score")
-_points_to("predictive", "pyspark.ml.tuning.CrossValidator", "cross-validation", "hyperparameter-tuning")
-_points_to("predictive", "pyspark.ml.classification and regression", "decision-trees", "random-forest", "gradient-boosting", "xgboost")
-_points_to("predictive", "pyspark.ml.feature", "feature-engineering", "feature-selection")
-_points_to("predictive", "fits on samples of growing size", "learning-curves")
-_points_to("regression", "pyspark.ml.regression.LinearRegression with elasticNetParam", "elastic-net", "regularization-lasso", "regularization-ridge")
-_points_to("advanced", "no Spark plan yet", "quantile-regression", "maximum-likelihood-estimation")
+_points_to("advanced", "models.clusters", "k-means-clustering", run=clusters.k_means)
+_points_to("advanced", "models.clusters", "principal-component-analysis", run=clusters.principal_components)
+_points_to("advanced", "models.clusters", "silhouette-score", run=clusters.silhouette)
+_points_to("predictive", "models.linear", "cross-validation", "hyperparameter-tuning", run=linear.cross_validate)
+_points_to("predictive", "models.trees", "decision-trees", run=trees.decision_tree)
+_points_to("predictive", "models.trees", "random-forest", run=trees.random_forest)
+_points_to("predictive", "models.trees", "gradient-boosting", "xgboost", run=trees.gradient_boosting)
+_points_to("predictive", "models.selection", "feature-selection", run=selection.feature_scores)
+_points_to("predictive", "pyspark.ml.feature", "feature-engineering")
+_points_to("predictive", "models.linear", "learning-curves", run=linear.learning_curve)
+_points_to("regression", "models.linear", "elastic-net", run=linear.elastic_net)
+_points_to("regression", "models.linear", "regularization-lasso", run=linear.lasso)
+_points_to("regression", "models.linear", "regularization-ridge", run=linear.ridge)
+_points_to("advanced", "models.quantile", "quantile-regression", run=quantile.quantile_regression)
+_points_to("advanced", "models.likelihood", "maximum-likelihood-estimation", run=likelihood.fit)
 _points_to("time series", "no Spark plan; takes a library of its own", "arima", "sarima", "prophet")
 
 # ---------------------------------------------------------------- descriptions
@@ -278,6 +285,31 @@ def post_hoc(df: DataFrame, value: str, group: str, groups: list | None = None,
     return tests.select("a", "b", "t_statistic", tail("t_statistic", "dof").alias("p_value"))
 
 
+def tukey(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(a, b, difference, q_statistic, p_value): all pairs of groups by the studentized range of the pooled deviation.
+
+    Groups of different sizes have the harmonic mean of their sizes.  Groups
+    without values have no pairs; one value is enough if other groups have more.
+    """
+    g = df.filter(compat.col(group).isNotNull()).groupBy(compat.col(group).alias("g")).agg(F.count(_x(value)).alias("n"), F.avg(_x(value)).alias("m"), F.coalesce(F.var_samp(_x(value)), F.lit(0.0)).alias("v")).filter("n > 0")
+    r = _row(g, k=F.count(F.lit(1)), n=F.sum("n"), s=F.sum((F.col("n") - 1) * F.col("v")))
+    if r["k"] < 2 or r["n"] <= r["k"]:
+        raise ValueError("two groups are needed, and more rows than groups")
+    dof, count, mse = r["n"] - r["k"], r["k"], r["s"] / (r["n"] - r["k"])
+    side = lambda s: g.select(*[F.col(c).alias(f"{c}{s}") for c in "gnm"])
+    both = side("a").join(side("b"), F.col("ga") < F.col("gb"))
+    width = F.sqrt(F.lit(mse) / 2 * (1 / F.col("na") + 1 / F.col("nb")))
+    share_package(df.sparkSession)
+
+    @F.pandas_udf("double")
+    def tail(q: pd.Series) -> pd.Series:
+        return pd.Series([D.studentized_range_sf(v, count, dof) for v in q], dtype=float)
+
+    difference = F.col("ma") - F.col("mb")
+    tests = both.select(F.col("ga").alias("a"), F.col("gb").alias("b"), difference.alias("difference"), F.when(width > 0, F.abs(difference) / width).alias("q_statistic"))
+    return tests.withColumn("p_value", F.when(F.col("q_statistic").isNotNull(), tail(F.coalesce("q_statistic", F.lit(0.0)))))
+
+
 @concept("hypothesis", "power")
 def power(effect: float, n: int, alpha: float = 0.05) -> float:
     """Of a two-sided z test of one mean, the effect being in standard deviations."""
