@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import concepts
 from .concepts import CONCEPTS
 from .operators import ordered
 from .queries import LABELLED, ORACLES, QUERIES, rounded, table
@@ -120,15 +121,16 @@ concept("partial-correlation", "scored", ("actual", "tax", ["q"]),
 
 # ------------------------------------------------------------------ estimation and tests
 
-concept("bootstrapping", "priced", ("price",), None)
-concept("permutation-tests", "priced", ("price", "urgent"), None)
+add("concept_bootstrapping", "priced", lambda df: df.agg(F.count("price").alias("n"), F.avg("price").alias("mean")).crossJoin(df.sparkSession.createDataFrame([CONCEPTS["bootstrapping"].run(df, "price")]))
+    .select("n", "mean", F.expr("low < mean and mean < high").alias("covered"), F.expr("abs(high - low) < 8 * std_error").alias("narrow")),
+    f"SELECT count(*) AS n, round(avg(price), 4) AS mean, TRUE AS covered, TRUE AS narrow FROM {_sql_source('priced')}")
+concept("permutation-tests", "priced", ("price", "urgent"), f"SELECT 'difference' AS measure, round(avg(price) FILTER (urgent) - avg(price) FILTER (NOT urgent), 4) AS value FROM {_sql_source('priced')}", keys=("difference",))
 _MEAN = f"(SELECT avg(price) AS m, stddev_samp(price) / sqrt(count(*)) AS se, count(*) - 1 AS dof FROM {_sql_source('priced')})"
 for _slug in ("ci-mean", "confidence-intervals"):
     concept(_slug, "priced", ("price",), measures(f"SELECT m, m - {T} * se, m + {T} * se FROM {_MEAN}", "mean", "low", "high"))
 concept("ci-proportion", "priced", ("urgent",), measures(
     f"""SELECT p, (p + z2 / (2 * n) - h) / (1 + z2 / n), (p + z2 / (2 * n) + h) / (1 + z2 / n) FROM (SELECT p, n, z2, sqrt(z2) * sqrt(p * (1 - p) / n + z2 / (4 * n * n)) AS h
     FROM (SELECT avg(urgent::INT) AS p, count(*) AS n, {Z} * {Z} AS z2 FROM {_sql_source('priced')}))""", "proportion", "low", "high"))
-concept("sample-size", None, (0.5, 12.0), f"SELECT 'value' AS measure, ceil(pow({Z} * 12 / 0.5, 2)) AS value")
 concept("sampling-methods", "priced", ("status", {"F": 0.5, "O": 0.1}), None)
 concept("bonferroni", "tested", ("p",), f"SELECT k, round(p, 6) AS p, round(balance, 6) AS balance, segment, nation, round(least(1, p * n), 6) AS p_adjusted FROM {_sql_source('tested')}, (SELECT count(*) AS n FROM customer)", digits=6)
 concept("fdr", "tested", ("p",), f"""SELECT k, round(p_adjusted, 6) AS p_adjusted FROM (SELECT k, least(1, min(p * n / r) OVER (ORDER BY r DESC)) AS p_adjusted
@@ -141,16 +143,60 @@ concept("fishers-exact-test", "priced", ("urgent", "done"), f"""SELECT 'odds_rat
     FROM (SELECT *, max(l) OVER () AS m, max(l) FILTER (k = a) OVER () AS lr FROM (SELECT *, {_LOG} AS l FROM (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS k FROM {_FISHER})))""")
 _WELCH = f"(SELECT segment AS g, count(balance) AS n, avg(balance) AS m, var_samp(balance) AS v FROM {_sql_source('tested')} GROUP BY 1)"
 concept("post-hoc-tests", "tested", ("balance", "segment"), f"""SELECT x.g AS a, y.g AS b, round((x.m - y.m) / sqrt(x.v / x.n + y.v / y.n), 4) AS t_statistic FROM {_WELCH} x, {_WELCH} y WHERE x.g < y.g""", after=lambda df: df.select("a", "b", "t_statistic"))
-concept("power", None, (0.3, 60), f"SELECT 'value' AS measure, round(1 - {normal_cdf(f'{Z} - 0.3 * sqrt(60)')} + {normal_cdf(f'-{Z} - 0.3 * sqrt(60)')}, 4) AS value")
-concept("significance-level", None, (0.99,), "SELECT 'value' AS measure, 0.01::DOUBLE AS value")
-concept("p-value", None, (1.7,), f"SELECT 'value' AS measure, round(2 - 2 * {normal_cdf('1.7')}, 6) AS value", digits=6)
-for _name, _args, _sql in (
-    ("t", (1.3, "t", 2), "1 - 1.3 / sqrt(2 + 1.3 * 1.3)"),
-    ("t_7", (1.3, "t", 7), t_two_sided("1.3", "7")),
-    ("chi2", (5.5, "chi2", 4), "exp(-2.75) * (1 + 2.75)"),
-    ("f", (3.1, "f", 2, 11), "pow(1 + 2 * 3.1 / 11, -5.5)"),
-):
-    add(f"concept_p_value_{_name}", None, lambda a=_args: CONCEPTS["p-value"].run(*a), f"SELECT 'value' AS measure, round(({_sql})::DOUBLE, 6) AS value", 6)
+
+
+def _of_groups(name: str, source: str, run: Callable[[DataFrame], DataFrame], sql: str, digits: int = 6) -> None:
+    """A query that judges a statistic of each group of a table."""
+    QUERIES[name] = lambda spark, sf_dir: rounded(run(table(spark, sf_dir, source)), digits)
+    ORACLES[name] = " ".join(sql.split())
+
+
+_LINES = lambda df: df.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("m"), F.stddev_samp("l_quantity").alias("s"))
+_LINES_SQL = "(SELECT l_linenumber, count(*) AS n, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem GROUP BY 1)"
+_Z_OF = lambda df: concepts.p_values(_LINES(df).withColumn("z", (F.col("m") - 25.4) / (F.col("s") / F.sqrt("n"))), "z")
+_Z_SQL = f"(SELECT l_linenumber, z, 2 - 2 * {normal_cdf('abs(z)')} AS p FROM (SELECT l_linenumber, (m - 25.4) / (s / sqrt(n)) AS z FROM {_LINES_SQL}))"
+_of_groups("concept_sample_size", "lineitem", lambda df: concepts.sample_sizes(_LINES(df), "s", 0.5).select("l_linenumber", "sample_size"), f"SELECT l_linenumber, ceil(pow({Z} * s / 0.5, 2))::BIGINT AS sample_size FROM {_LINES_SQL}")
+_of_groups("concept_power", "lineitem", lambda df: concepts.powers(_LINES(df).withColumn("e", (F.col("m") - 25) / F.col("s")), "e", "n").select("l_linenumber", "power"),
+    f"SELECT l_linenumber, round(1 - {normal_cdf(f'least(12, greatest(-12, {Z} - x))')} + {normal_cdf(f'least(12, greatest(-12, -{Z} - x))')}, 4) AS power FROM (SELECT l_linenumber, (m - 25) / s * sqrt(n) AS x FROM {_LINES_SQL})", 4)
+_of_groups("concept_significance_level", "lineitem", lambda df: concepts.significant(_Z_OF(df), "p_value", 0.9).select("l_linenumber", "significant"), f"SELECT l_linenumber, p <= 0.1 AS significant FROM {_Z_SQL}")
+_of_groups("concept_p_value", "lineitem", lambda df: _Z_OF(df).select("l_linenumber", "p_value"), f"SELECT l_linenumber, round(p, 6) AS p_value FROM {_Z_SQL}")
+
+
+def _t_of(lines: int) -> Callable[[DataFrame], DataFrame]:
+    def run(df: DataFrame) -> DataFrame:
+        g = df.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("m"), F.stddev_samp("l_quantity").alias("s")).filter((F.col("n") == lines) & (F.col("s") > 0))
+        return concepts.p_values(g.withColumns({"t": (F.col("m") - 25) / (F.col("s") / F.sqrt("n")), "d": F.col("n") - 1}), "t", "t", "d").select("l_orderkey", "p_value")
+
+    return run
+
+
+_T_SQL = lambda lines, p: f"SELECT l_orderkey, round({p}, 6) AS p_value FROM (SELECT l_orderkey, (avg(l_quantity) - 25) / (stddev_samp(l_quantity) / sqrt(count(*))) AS t FROM lineitem GROUP BY 1 HAVING count(*) = {lines} AND stddev_samp(l_quantity) > 0)"
+_of_groups("concept_p_value_t", "lineitem", _t_of(3), _T_SQL(3, "1 - abs(t) / sqrt(2 + t * t)"))
+# seven lines, six degrees of freedom: a closed form as well
+_of_groups("concept_p_value_t_7", "lineitem", _t_of(7), _T_SQL(7, "1 - (abs(t) / sqrt(6 + t * t)) * (1 + 0.5 * 6 / (6 + t * t) + 0.375 * pow(6 / (6 + t * t), 2))"))
+
+
+def _chi_of(df: DataFrame) -> DataFrame:
+    cells = [F.count(F.when(F.col("l_linenumber") == i, 1)).alias(f"c{i}") for i in range(1, 6)]
+    g = df.groupBy("l_suppkey").agg(*cells)
+    total = sum((F.col(f"c{i}") for i in range(2, 6)), F.col("c1"))
+    chi = sum((F.pow(F.col(f"c{i}") - total / 5, F.lit(2.0)) for i in range(2, 6)), F.pow(F.col("c1") - total / 5, F.lit(2.0))) / (total / 5)
+    return concepts.p_values(g.filter(total > 0).withColumn("x", chi), "x", "chi2", 4).select("l_suppkey", "p_value")
+
+
+_of_groups("concept_p_value_chi2", "lineitem", _chi_of, """SELECT l_suppkey, round(exp(-x / 2) * (1 + x / 2), 6) AS p_value FROM (SELECT l_suppkey, sum(n * n) * 5 / sum(n) - sum(n) AS x
+    FROM (SELECT l_suppkey, l_linenumber, count(*)::DOUBLE AS n FROM lineitem WHERE l_linenumber <= 5 GROUP BY ALL) GROUP BY 1)""")
+
+
+def _f_of(df: DataFrame) -> DataFrame:
+    g = df.groupBy("l_linenumber", "l_returnflag").agg(F.count("*").alias("n"), F.avg("l_tax").alias("m"), F.var_samp("l_tax").alias("v"))
+    f = g.groupBy("l_linenumber").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum((F.col("n") - 1) * F.col("v")).alias("w"))
+    f = f.withColumns({"d": F.col("n") - 3, "f": (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / 2 / (F.col("w") / (F.col("n") - 3))})
+    return concepts.p_values(f, "f", "f", (2, "d")).select("l_linenumber", "p_value")
+
+
+_of_groups("concept_p_value_f", "lineitem", _f_of, """SELECT l_linenumber, round(pow(1 + 2 * f / d, -d / 2), 6) AS p_value FROM (SELECT l_linenumber, sum(n) - 3 AS d, (sum(n * m * m) - sum(n * m) ** 2 / sum(n)) / 2 / (sum((n - 1) * v) / (sum(n) - 3)) AS f
+    FROM (SELECT l_linenumber, l_returnflag, count(*)::DOUBLE AS n, avg(l_tax) AS m, var_samp(l_tax) AS v FROM lineitem GROUP BY ALL) GROUP BY 1)""")
 concept("z-test", "tested", ("balance", 4.5), measures(
     f"SELECT z, 2 - 2 * {normal_cdf('least(abs(z), 12)')}, n FROM (SELECT (avg(balance) - 4.5) / (stddev_samp(balance) / sqrt(count(*))) AS z, count(*) AS n FROM {_sql_source('tested')})", "z_statistic", "p_value", "n"))
 
@@ -172,8 +218,11 @@ concept("mae", "scored", _E, value_of("avg(abs(predicted - actual))", "scored"))
 concept("mse", "scored", _E, value_of("avg(pow(predicted - actual, 2))", "scored"))
 concept("rmse", "scored", _E, value_of("sqrt(avg(pow(predicted - actual, 2)))", "scored"))
 concept("mape", "scored", _E, value_of("avg(abs((predicted - actual) / nullif(actual, 0)))", "scored"))
-concept("stratified-cross-validation", "scored", ("flag", "actual"), None)
-concept("train-test-split", "parts", (0.8,), None, after=lambda halves: halves[0].withColumn("part", F.lit("train")).unionByName(halves[1].withColumn("part", F.lit("test"))))
+concept("stratified-cross-validation", "scored", ("flag", "actual"), f"SELECT flag, count(*) AS n, 5 AS folds, TRUE AS even FROM {_sql_source('scored')} GROUP BY 1",
+    after=lambda df: df.groupBy("flag", "fold").agg(F.count("*").alias("c")).groupBy("flag").agg(F.sum("c").alias("n"), F.count("*").cast("int").alias("folds"), (F.max("c") < 1.25 * F.min("c")).alias("even")))
+concept("train-test-split", "parts", (0.8,), f"SELECT count(*) AS n, count(DISTINCT k) AS keys, 0 AS doubled FROM {_sql_source('parts')}",
+    after=lambda halves: halves[0].withColumn("part", F.lit("train")).unionByName(halves[1].withColumn("part", F.lit("test"))).groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("part").alias("p"))
+    .agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.count(F.when(F.col("p") > 1, 1)).cast("int").alias("doubled")))
 concept("bayes-theorem", "priced", ("urgent", "done"), value_of("avg(urgent::INT) FILTER (done)", "priced", 6), digits=6)
 
 # ------------------------------------------------------------------ regression
@@ -214,10 +263,17 @@ concept("box-plot", "scored", ("actual",), measures(f"SELECT min(actual), quanti
 _BIN = lambda x, n: f"least({n}, floor(({x} - lo) / (hi - lo) * {n}) + 1)"
 concept("histogram", "series", ("v", 20), f"""SELECT b::BIGINT AS bin, round(lo + (b - 1) * (hi - lo) / 20, 4) AS start, count(*) AS count
     FROM (SELECT lo, hi, {_BIN('v', 20)} AS b FROM {_sql_source('series')}, (SELECT min(v) AS lo, max(v) AS hi FROM {_sql_source('series')})) GROUP BY ALL""")
-concept("density-plot", "series", ("v", 8), None)
+concept("density-plot", "series", ("v", 8), f"""WITH r AS (SELECT min(v) AS lo, max(v) AS hi, 1.06 * stddev_samp(v) * pow(count(v), -0.2) AS h FROM {_sql_source('series')}),
+    b AS (SELECT lo + (b - 0.5) * (hi - lo) / 512 AS m, count(*) AS c FROM (SELECT lo, hi, {_BIN('v', 512)} AS b FROM {_sql_source('series')}, r) GROUP BY ALL),
+    g AS (SELECT i, (SELECT min(m) FROM b) + i * ((SELECT max(m) FROM b) - (SELECT min(m) FROM b)) / 7 AS x FROM range(8) t(i)),
+    d AS (SELECT i, x, sum(c * exp(-0.5 * ((x - m) / h) ** 2) / (h * sqrt(2 * pi()))) / sum(c) AS y FROM g, b, r GROUP BY ALL)
+    SELECT 'x.' || i AS measure, round(x, 4) AS value FROM d UNION ALL SELECT 'density.' || i, round(y, 4) FROM d""")
 concept("line-chart", "parts", ("seven", "price"), f"SELECT seven, round(avg(price), 4) AS price FROM {_sql_source('parts')} GROUP BY 1 ORDER BY 1")
-for _slug in ("scatter-plot", "pair-plot"):
-    concept(_slug, "parts", (["size", "price"], 100), None)
+concept("scatter-plot", "parts", (["size", "price"], 100), None)
+_PLACE = lambda c: f"least(floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 10) + 1, 10)::INT"
+concept("pair-plot", "parts", (["size", "price", "seven"], 10), f"""WITH b AS (SELECT {_PLACE('size')} AS size, {_PLACE('price')} AS price, {_PLACE('seven')} AS seven FROM {_sql_source('parts')})
+    SELECT 'price' AS x, 'size' AS y, price AS bin_x, size AS bin_y, count(*) AS count FROM b GROUP BY ALL UNION ALL SELECT 'seven', 'size', seven, size, count(*) FROM b GROUP BY ALL
+    UNION ALL SELECT 'seven', 'price', seven, price, count(*) FROM b GROUP BY ALL""")
 
 # ------------------------------------------------------------------ probabilities of the analyses
 
@@ -303,11 +359,12 @@ QUERIES["ingest_parquet"], ORACLES["ingest_parquet"] = ingest_parquet, _BACK
 
 
 def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = io.records(table(spark, sf_dir, "nation").orderBy("n_nationkey"), 30)
-    return spark.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey int, n_name string")
+    written = ordered.scratch(spark, "records")
+    io.json_records(table(spark, sf_dir, "orders"), None).write.text(written)
+    return rounded(spark.read.schema("o_orderkey long, o_orderpriority string, o_totalprice double").json(written), 4)
 
 
-QUERIES["json_records"], ORACLES["json_records"] = sample_records, "SELECT n_nationkey, n_name FROM nation"
+QUERIES["json_records"], ORACLES["json_records"] = sample_records, _BACK
 
 # ------------------------------------------------------------------ expressions and filters that no other query has
 

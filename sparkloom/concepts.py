@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .functions import compat
 from .models import clusters, likelihood, linear, quantile, selection, trees
+from .models.passes import added, complete, uniform
 from .operators import ordered
 from .session import share_package
 from .stats import analyses as A
@@ -151,32 +152,59 @@ def partial_correlation(df: DataFrame, x: str, y: str, given: list[str]) -> floa
 # ---------------------------------------------------------------- resampling and estimation
 
 
+#: Rows whose draws a task holds at a time.
+_DRAWN_ROWS = 2048
+
+
 @concept("advanced", "bootstrapping")
 def bootstrap_mean(df: DataFrame, column: str, replicates: int = 200, seed: int = 0, level: float = 0.95) -> dict:
-    """Percentile interval of the mean; each row weighs a Poisson(1) number in each replicate, in one pass."""
-    limits = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
-    own = df.filter(compat.col(column).isNotNull()).select(_x(column).alias("v"))
-    draws = own.select("v", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    count = F.lit(0)
-    drawn = draws.withColumn("u", F.rand(seed))
-    for limit in limits:
-        count = count + (F.col("u") > float(limit)).cast("int")
-    means = drawn.withColumn("w", count).groupBy("r").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    tail = (1 - level) / 2
-    r = _row(means, q=F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))), se=F.stddev_samp("m"))
-    return {"low": r["q"][0], "high": r["q"][1], "std_error": r["se"]}
+    """Percentile interval of the mean: each row weighs a Poisson number in each replicate.
+
+    No row is copied: a task draws its rows' weights in blocks and keeps two sums
+    for each replicate.  Draws go by a row's place in the scan.
+    """
+    own = complete(df, [column]).select(F.monotonically_increasing_id().alias("id"), _x(column).alias("v"))
+    limits = np.cumsum([math.exp(-1 - math.lgamma(k + 1)) for k in range(20)])
+
+    def sums(z: np.ndarray) -> np.ndarray:
+        out = np.zeros((replicates, 2))
+        for i in range(0, len(z), _DRAWN_ROWS):
+            part = z[i : i + _DRAWN_ROWS]
+            w = np.searchsorted(limits, uniform(part[:, 0], replicates, seed)).astype(float)
+            out += np.column_stack([w.sum(0), part[:, 1] @ w])
+        return out
+
+    got = added(own, sums, (replicates, 2))
+    means = got[got[:, 0] > 0, 1] / got[got[:, 0] > 0, 0]
+    if not len(means):
+        return {"low": None, "high": None, "std_error": None}
+    low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
+    return {"low": float(low), "high": float(high), "std_error": float(means.std(ddof=1))}
 
 
 @concept("advanced", "permutation-tests")
 def permutation_test(df: DataFrame, value: str, group: str, replicates: int = 500, seed: int = 0) -> dict:
-    """Difference of two groups' means against random labels of the same share, replicate by replicate in one pass."""
-    own = df.select(_x(value).alias("v"), compat.col(group).cast("boolean").alias("g")).dropna()
-    real = _row(own, n=F.count(F.lit(1)), n1=F.sum(F.col("g").cast("int")), d=F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v"))))
-    share = real["n1"] / real["n"]
-    spread = own.select("v", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("g", F.rand(seed) < share)
-    diffs = spread.groupBy("r").agg((F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))).alias("d"))
-    more = _row(diffs, k=F.sum((F.abs("d") >= abs(real["d"])).cast("int")))["k"] or 0
-    return {"difference": real["d"], "p_value": (more + 1) / (replicates + 1)}
+    """Difference of two groups' means against random labels of the same share, all replicates in one pass without copies of rows."""
+    own = df.select(F.monotonically_increasing_id().alias("id"), _x(value).alias("v"), compat.col(group).cast("boolean").cast("double").alias("g")).dropna()
+    real = _row(own, n=F.count(F.lit(1)), n1=F.sum("g"), s=F.sum("v"), s1=F.sum(F.col("g") * F.col("v")))
+    n, n1 = real["n"], real["n1"] or 0
+    if not 0 < n1 < n:
+        raise ValueError("both groups must occur")
+    difference = real["s1"] / n1 - (real["s"] - real["s1"]) / (n - n1)
+
+    def sums(z: np.ndarray) -> np.ndarray:
+        out = np.zeros((replicates, 2))
+        for i in range(0, len(z), _DRAWN_ROWS):
+            part = z[i : i + _DRAWN_ROWS]
+            w = (uniform(part[:, 0], replicates, seed) < n1 / n).astype(float)
+            out += np.column_stack([w.sum(0), part[:, 1] @ w])
+        return out
+
+    got = added(own, sums, (replicates, 2))
+    k, s1 = got[:, 0], got[:, 1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        drawn = s1 / k - (real["s"] - s1) / (n - k)
+    return {"difference": difference, "p_value": (int((np.abs(drawn) >= abs(difference)).sum()) + 1) / (replicates + 1)}
 
 
 @concept("estimation", "ci-mean", "confidence-intervals")
@@ -285,6 +313,42 @@ def post_hoc(df: DataFrame, value: str, group: str, groups: list | None = None,
     return tests.select("a", "b", "t_statistic", tail("t_statistic", "dof").alias("p_value"))
 
 
+def p_values(df: DataFrame, statistic: str, distribution: str = "normal", dof=(), name: str = "p_value") -> DataFrame:
+    """:func:`p_value` of each row's statistic; ``dof`` are columns, or numbers, with the degrees of freedom."""
+    share_package(df.sparkSession)
+    own = [compat.col(d) if isinstance(d, str) else F.lit(float(d)) for d in ([dof] if isinstance(dof, (str, int, float)) else dof)]
+
+    @F.pandas_udf("double")
+    def tail(*columns: pd.Series) -> pd.Series:
+        rows = zip(*(c.astype(float) for c in columns))
+        return pd.Series([math.nan if any(math.isnan(v) for v in r) else p_value(r[0], distribution, *r[1:]) for r in rows], dtype=float)
+
+    got = tail(_x(statistic), *[d.cast("double") for d in own])
+    return df.withColumn(name, F.when(F.isnan(got), None).otherwise(got))
+
+
+def sample_sizes(df: DataFrame, std: str, margin: float, level: float = 0.95, name: str = "sample_size") -> DataFrame:
+    """:func:`sample_size` for each row's standard deviation."""
+    return df.withColumn(name, F.ceil(F.pow(F.lit(D.normal_quantile(0.5 + level / 2)) * _x(std) / F.lit(float(margin)), F.lit(2.0))))
+
+
+def powers(df: DataFrame, effect: str, n: str, alpha: float = 0.05, name: str = "power") -> DataFrame:
+    """:func:`power` for each row's effect and number of rows."""
+    share_package(df.sparkSession)
+
+    @F.pandas_udf("double")
+    def of(e: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([math.nan if math.isnan(a) or math.isnan(b) else power(a, b, alpha) for a, b in zip(e.astype(float), k.astype(float))], dtype=float)
+
+    got = of(_x(effect), _x(n))
+    return df.withColumn(name, F.when(F.isnan(got), None).otherwise(got))
+
+
+def significant(df: DataFrame, p: str, confidence: float = 0.95, name: str = "significant") -> DataFrame:
+    """Whether each row's p is within the significance level."""
+    return df.withColumn(name, _x(p) <= F.lit(significance_level(confidence)))
+
+
 def tukey(df: DataFrame, value: str, group: str) -> DataFrame:
     """(a, b, difference, q_statistic, p_value): all pairs of groups by the studentized range of the pooled deviation.
 
@@ -543,6 +607,22 @@ def decomposition(df: DataFrame, column: str, order_by: str, period: int) -> Dat
     return full.join(seasonal, "season").withColumn("remainder", F.col("value") - F.col("trend") - F.col("seasonal")).drop("season", "o")
 
 
+def _chained(slope: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's line of the value before the first row, from its line of the row before: lines of 1, 2, 4, ... rows are put together.
+
+    What isn't a number makes the rest of its series none; a slope of 0 starts a series.
+    """
+    n, row = len(base), np.arange(len(base))
+    start = np.maximum.accumulate(np.where(slope == 0, row, -1))
+    bad = np.maximum.accumulate(np.where(np.isnan(base), row, -1))
+    a, b, step = slope.copy(), np.nan_to_num(base), 1
+    while step < n:
+        b[step:] = b[step:] + a[step:] * b[:-step]
+        a[step:] = a[step:] * a[:-step]
+        step *= 2
+    return a, np.where((bad >= 0) & (bad >= start), np.nan, b)
+
+
 @concept("time series", "exponential-smoothing")
 def exponential_smoothing(df: DataFrame, column: str, order_by: str, by: list[str], alpha: float = 0.3, name: str = "smoothed", block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """Simple smoothing of each series: (by, order_by, column, name).
@@ -562,15 +642,17 @@ def exponential_smoothing(df: DataFrame, column: str, order_by: str, by: list[st
         s = pdf["__series"].to_numpy()
         return np.concatenate([[False], s[1:] != s[:-1]])
 
+    def lines_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row the slope and base of its value as a line of what is carried into the block."""
+        x, new = pdf[column].to_numpy(float), starts(pdf)
+        slope, base = _chained(np.where(new, 0.0, 1 - alpha), np.where(new, x, alpha * x))
+        return slope, base
+
     def line(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The block's last value as slope * carried + base, the first row going on with the series before."""
         pdf = pdf.sort_values("__i")
-        x, new = pdf[column].to_numpy(float), starts(pdf)
-        last = np.flatnonzero(new)
-        slope, base = (1.0, 0.0) if not len(last) else (0.0, float(x[last[-1]]))
-        for v in x[last[-1] + 1 :] if len(last) else x:
-            slope, base = slope * (1 - alpha), base * (1 - alpha) + alpha * v
-        return pd.DataFrame({"block": [int(pdf["__block"].iloc[0])], "slope": [slope], "base": [base], "first": [pdf["__series"].iloc[0]], "last": [pdf["__series"].iloc[-1]], "x": [x[0]]})
+        slope, base = lines_of(pdf)
+        first = float(pdf[column].to_numpy(float)[0])
+        return pd.DataFrame({"block": [int(pdf["__block"].iloc[0])], "slope": [slope[-1]], "base": [base[-1]], "first": [pdf["__series"].iloc[0]], "last": [pdf["__series"].iloc[-1]], "x": [first]})
 
     lines = rows.groupBy("__block").applyInPandas(line, "block long, slope double, base double, first string, last string, x double").orderBy("block").collect()
     carried, before, value = {}, None, math.nan
@@ -583,12 +665,10 @@ def exponential_smoothing(df: DataFrame, column: str, order_by: str, by: list[st
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__i")
-        x, new, out = pdf[column].to_numpy(float), starts(pdf), np.empty(len(pdf))
-        value = float(pdf["__carried"].iloc[0])
-        for i, (v, first) in enumerate(zip(x.tolist(), new.tolist())):
-            value = v if first else alpha * v + (1 - alpha) * value
-            out[i] = value
-        return pd.DataFrame({"__i": pdf["__i"], "__smoothed": out})
+        slope, base = lines_of(pdf)
+        carried = float(pdf["__carried"].iloc[0])
+        own = np.maximum.accumulate(starts(pdf))  # rows of a series that starts in this block
+        return pd.DataFrame({"__i": pdf["__i"], "__smoothed": np.where(own, base, slope * carried + base)})
 
     done = rows.join(shared, "__block").select("__i", "__block", "__series", "__carried", column).groupBy("__block").applyInPandas(smooth, "__i long, __smoothed double")
     smoothed = F.when(~F.isnan("__smoothed"), F.col("__smoothed")).alias(name)
@@ -620,10 +700,10 @@ def box_plot(df: DataFrame, column: str) -> dict:
 @concept("eda", "density-plot")
 def density(df: DataFrame, column: str, points: int = 64) -> dict:
     """A Gaussian kernel density from the counts of a fine histogram."""
-    r = _row(df, s=F.stddev_samp(_x(column)), n=F.count(_x(column)))
+    r = _row(df, s=F.stddev_samp(_x(column)), n=F.count(_x(column)), lo=F.min(_x(column)), hi=F.max(_x(column)))
     h = 1.06 * r["s"] * r["n"] ** -0.2
     bars = histogram(df, column, 512).orderBy("bin").collect()
-    width = bars[1].start - bars[0].start if len(bars) > 1 else 1.0
+    width = (r["hi"] - r["lo"]) / 512
     mids, counts = np.array([b.start + width / 2 for b in bars]), np.array([b["count"] for b in bars], float)
     at = np.linspace(mids[0], mids[-1], points)
     k = np.exp(-0.5 * ((at[:, None] - mids) / h) ** 2) / (h * math.sqrt(2 * math.pi))
@@ -635,7 +715,22 @@ def line_chart(df: DataFrame, x: str, y: str, fn=F.avg) -> DataFrame:
     return df.groupBy(x).agg(fn(_x(y)).alias(y)).orderBy(x)
 
 
-@concept("eda", "scatter-plot", "pair-plot")
+@concept("eda", "pair-plot")
+def pair_plot(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
+    """(x, y, bin_x, bin_y, count) of every two columns, each cut into bins of equal width: the pairs' pictures from all rows."""
+    values = df.select(*[F.when(~F.isnan(_x(c)), _x(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+    edges = values.agg(*[f(f"v{i}").alias(f"{k}{i}") for i in range(len(columns)) for k, f in (("lo", F.min), ("hi", F.max))])
+    own = values.crossJoin(F.broadcast(edges))  # one row
+    place = [F.when(F.col(f"v{i}").isNotNull(), F.least(F.floor((F.col(f"v{i}") - F.col(f"lo{i}")) / (F.col(f"hi{i}") - F.col(f"lo{i}")) * bins) + 1, F.lit(bins))).cast("int") for i in range(len(columns))]
+    binned = own.select(*[p.alias(f"b{i}") for i, p in enumerate(place)])
+    pairs = [F.struct(F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"), F.col(f"b{i}").alias("bin_x"), F.col(f"b{j}").alias("bin_y")) for i in range(len(columns)) for j in range(i)]
+    # one count of the distinct combinations, then of each pair
+    counted = binned.groupBy(*binned.columns).agg(F.count("*").alias("n"))
+    each = counted.select("n", F.explode(F.array(*pairs)).alias("p")).filter("p.bin_x is not null and p.bin_y is not null")
+    return each.groupBy("p.x", "p.y", "p.bin_x", "p.bin_y").agg(F.sum("n").alias("count"))
+
+
+@concept("eda", "scatter-plot")
 def scatter(df: DataFrame, columns: list[str], rows: int = 1000, seed: int = 0) -> DataFrame:
     """A random sample to draw."""
     return df.select(*compat.cols(columns)).orderBy(F.rand(seed)).limit(rows)

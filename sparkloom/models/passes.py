@@ -58,3 +58,14 @@ def added(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], shape: tuple[in
     parts = df.mapInArrow(run, "a binary").rdd.map(lambda r: np.frombuffer(r[0]).reshape(shape))
     none = df.sparkSession.sparkContext.parallelize([np.zeros(shape)], 1)
     return parts.union(none).treeReduce(np.add, depth=max(2, math.ceil(math.log(1 + parts.getNumPartitions(), 64))))
+
+
+def uniform(keys: np.ndarray, draws: int, seed: int = 0) -> np.ndarray:
+    """Numbers from 0 to 1, a row of ``draws`` for each whole number: the same ones whenever it is drawn again."""
+    step, factor = np.uint64(0x9E3779B97F4A7C15), np.uint64((seed * 0xD1342543DE82EF95 + 1) % (1 << 64))
+    with np.errstate(over="ignore"):
+        v = (keys.astype(np.uint64) * np.uint64(draws))[:, None] + np.arange(draws, dtype=np.uint64)
+        v = (v + factor) * step
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            v = (v ^ (v >> np.uint64(shift))) * np.uint64(by)
+    return ((v ^ (v >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)

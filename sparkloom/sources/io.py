@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import compat
+from . import defensive
 from .excel import read_excel, write_excel
 
 
@@ -23,11 +24,18 @@ class IngestError(ValueError):
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet scan.  Times of day, and nested times, come as text, since no step reads them."""
+    """A Parquet scan.  Times of day, and nested times, come as text, since no step reads them.
+
+    Where Spark refuses a type, a second scan reads the files' row groups by
+    Arrow and casts such columns: see :mod:`.defensive`.
+    """
     try:
         df = spark.read.parquet(path)
-    except Exception as e:
-        raise IngestError(f"can't read {path} as Parquet: {e}") from e
+    except Exception as first:
+        try:
+            return defensive.scan(spark, path)
+        except Exception as second:
+            raise IngestError(f"can't read {path} as Parquet: {first} | second scan: {second}") from first
     odd = [f.name for f in df.schema if type(f.dataType).__name__ in ("TimeType", "DayTimeIntervalType", "YearMonthIntervalType")]
     return df.withColumns({c: compat.col(c).try_cast("string") for c in odd}) if odd else df
 
@@ -115,6 +123,12 @@ def preview(df: DataFrame, n: int = 50) -> DataFrame:
     return df.limit(n)
 
 
+def json_records(df: DataFrame, limit: int | None = 10_000) -> DataFrame:
+    """At most ``limit`` rows, or all, as JSON texts in one column ``record``, where they lie; dates are ISO dates, nulls are kept."""
+    own = df if limit is None else df.limit(limit)
+    return own.select(F.to_json(F.struct(*[compat.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("record"))
+
+
 def records(df: DataFrame, limit: int = 10_000) -> list[dict]:
-    """At most ``limit`` rows as dictionaries with ISO dates."""
-    return [json.loads(r) for r in df.limit(limit).toJSON().collect()]
+    """:func:`json_records` on the driver, as dictionaries."""
+    return [json.loads(r["record"]) for r in json_records(df, limit).collect()]

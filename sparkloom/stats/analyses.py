@@ -272,8 +272,10 @@ def _exact_ranksum(u: float, n1: int, n2: int) -> float:
 def mann_whitney(df: DataFrame, column1: str, column2: str) -> dict:
     """Two-sided rank sum test of two columns over the rows complete in both."""
     rows = _complete(df, [column1, column2])
-    both = rows.select(F.explode(F.array(F.struct(_x(column1).alias("v"), F.lit(1).alias("one")), F.struct(_x(column2).alias("v"), F.lit(0).alias("one")))).alias("s")).select("s.*")
-    table = ranks.value_ranks(both, {"n1": F.sum("one")})
+    # each column's values are counted apart; what is ranked are the counts
+    side = lambda c, one: rows.groupBy(_x(c).alias("v")).agg(F.count("*").alias("n"), F.lit(one).alias("one"))
+    both = side(column1, 1).unionByName(side(column2, 0))
+    table = ranks.counted_ranks(both.groupBy("v").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("one")).alias("n1")))
     t = F.col("n").cast("double")
     r = _row(table, n1=F.sum("n1"), n=F.sum("n"), r1=F.sum(F.col("n1") * F.col("rank")), ties=F.sum(t * t * t - t))
     _need((r["n1"] or 0) >= 1, "complete rows are needed")

@@ -20,6 +20,11 @@ MOST_BLOCKS = 4096
 def value_ranks(values: DataFrame, extra: dict | None = None, *, one_task_bytes: int | None = None) -> DataFrame:
     """(v, n, rank and the extra aggregates): each distinct value of ``v``, its count and mean rank."""
     counts = values.filter("v is not null").groupBy("v").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in (extra or {}).items()])
+    return counted_ranks(counts, one_task_bytes=one_task_bytes)
+
+
+def counted_ranks(counts: DataFrame, *, one_task_bytes: int | None = None) -> DataFrame:
+    """``rank`` beside distinct values ``v`` and their counts ``n``: the mean rank of the rows with that value."""
     upto = ordered.running(
         counts, [F.col("v").asc()], {"s": (F.sum, F.col("n"), lambda a, b: a + b)}, lambda p: p["s"], "upto",
         one_task_bytes=one_task_bytes,
