@@ -29,6 +29,10 @@ VERSION = b"WARC/1.1\r\n"
 _VERSION_LINE = re.compile(rb"WARC/\d\.\d\r\n")
 _MAGIC = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
+_HTTP_END = re.compile(rb"\r?\n\r?\n")
+_CHUNK_SIZE = re.compile(rb"([0-9a-fA-F]{1,15})[^\r\n]*\r\n")
+#: Labels of digests that can be compared.
+_ALGORITHMS = {"md5", "sha1", "sha224", "sha256", "sha384", "sha512"}
 #: A gzip member without content; it stands between the records' members.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 
@@ -166,20 +170,26 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
     A member that breaks off or whose checksum fails gives all that could be
     decompressed before, and the place where that ended.
     """
-    d = zlib.decompressobj(wbits=31)
-    out, step, pos = [], 1 << 16, at
-    while not d.eof and pos < len(data):
-        before = d.copy()
-        try:
-            out.append(d.decompress(data[pos : pos + step]))
-            pos += step
-        except zlib.error as e:
-            if step == 1:
-                return b"".join(out), pos, str(e)
-            d, step = before, max(1, step >> 8)  # again in smaller steps, for what comes before the failure
-    if not d.eof:
-        return b"".join(out), len(data), "member cut off"
-    return b"".join(out), min(pos, len(data)) - len(d.unused_data), None
+    for step in (1 << 18, 1 << 16):  # large steps first; only a member that fails is read again, with a state to go back to
+        d = zlib.decompressobj(wbits=31)
+        out, pos = [], at
+        careful = step < 1 << 18
+        while not d.eof and pos < len(data):
+            before = d.copy() if careful else None
+            try:
+                out.append(d.decompress(data[pos : pos + step]))
+                pos += step
+            except zlib.error as e:
+                if not careful:
+                    break
+                if step == 1:
+                    return b"".join(out), pos, str(e)
+                d, step = before, max(1, step >> 8)  # again in smaller steps, for what comes before the failure
+        else:
+            if not d.eof:
+                return b"".join(out), len(data), "member cut off"
+            return b"".join(out), min(pos, len(data)) - len(d.unused_data), None
+    raise AssertionError("a member ends or fails")
 
 
 def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
@@ -199,7 +209,8 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
             raise _Bad("headers have no end")
         seen, window = at + window, window * 2
     headers = {}
-    for line in data[m.end() : stop].split(b"\r\n"):
+    # a line that begins with white space goes on with the header before it
+    for line in re.sub(rb"\r\n[ \t]+", b" ", data[m.end() : stop]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             raise _Bad("malformed header")
@@ -214,30 +225,93 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     return headers, data[start:end], end + 4
 
 
+def digest_differs(declared: str, payload: bytes) -> bool | None:
+    """Whether a labelled digest isn't that of the payload; None where its algorithm or form is unknown.
+
+    The label may be in capitals or missing (SHA-1); the value may be base32 in
+    capitals or not, with or without its filling, base64, or hexadecimal.
+    """
+    label, colon, value = declared.rpartition(":")
+    name = label.strip().lower().replace("-", "") if colon else "sha1"
+    value = value.strip()
+    if name not in _ALGORITHMS:
+        return None
+    digest = hashlib.new(name, payload).digest()
+    bare = value.rstrip("=")
+    if len(bare) == 2 * len(digest):
+        return bare.lower() != digest.hex()
+    if len(bare) == -(-len(digest) * 8 // 5):
+        return bare.upper() != base64.b32encode(digest).decode().rstrip("=")
+    if len(bare) == -(-len(digest) * 8 // 6):
+        return bare.replace("-", "+").replace("_", "/") != base64.b64encode(digest).decode().rstrip("=")
+    return None
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The content of a body in chunks; None if it isn't one."""
+    out, at = [], 0
+    while m := _CHUNK_SIZE.match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size + 2
+    return None
+
+
 def _checked(headers: dict, block: bytes) -> dict:
-    """What a record says of its payload, after its digest has been compared."""
-    kind = headers.get("warc-type", "")
-    payload, length = block, len(block)
-    if headers.get("content-type", "").startswith("application/http"):
-        http, mark, payload = block.partition(_END)
-        m = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-        length = int(m[1]) if m else len(payload)
-        if kind != "revisit" and (not mark or length != len(payload)):
-            raise _Bad("HTTP length differs")
-    declared = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind != "revisit" and declared and declared != base64.b32encode(hashlib.sha1(payload).digest()).decode():
-        raise _Bad("payload digest differs")
+    """What a record says of its payload, after its digests have been compared.
+
+    A record whose payload or whole block has the digest that it names is intact.
+    What can't be compared, or contradicts nothing that vouches for the content
+    (an HTTP length of a decoded or truncated capture), is a note, not damage.
+    """
+    kind = headers.get("warc-type", "").lower()
+    payload, length, notes = block, len(block), []
+    declared, of_block = headers.get("warc-payload-digest", ""), headers.get("warc-block-digest", "")
+    form = headers.get("content-type", "").lower()
+    chunked = False
+    if form.startswith("application/http") and "msgtype=request" not in form:
+        end = _HTTP_END.search(block)
+        http, payload = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+        m = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", http)
+        chunked = bool(re.search(rb"(?im)^transfer-encoding:.*chunked", http))
+        length = len(payload) if kind != "revisit" or not m else int(m[1])
+        if not end:
+            notes.append("HTTP headers have no end")
+        if kind != "revisit" and m and int(m[1]) != len(payload):
+            notes.append("HTTP length differs")
+    whole = digest_differs(of_block, block) if of_block else None
+    if whole:
+        raise _Bad("block digest differs")
+    if kind != "revisit" and declared:
+        differs = digest_differs(declared, payload)
+        if differs and chunked:
+            differs = digest_differs(declared, _unchunked(payload) or b"")
+        if differs and whole is None:
+            raise _Bad("payload digest differs")
+        if differs is None:
+            notes.append("unknown digest")
+        elif differs:
+            notes.append("payload digest is of another form of the payload")
     return {
         "record_id": headers.get("warc-record-id"),
         "record_type": kind,
         "uri": headers.get("warc-target-uri"),
         "payload_bytes": length,
-        "payload_digest": declared or None,
+        "payload_digest": _bare(declared) or None,
         "refers_to": headers.get("warc-refers-to"),
         "payload": None if kind == "revisit" else payload,
+        "note": "; ".join(notes) or None,
     }
 
 
+def _bare(declared: str) -> str:
+    """A SHA-1 in base32 without its label; others as they are."""
+    label, _, value = declared.rpartition(":")
+    return value.strip() if label.strip().lower() in ("", "sha1", "sha-1") else declared
+
+
 def _inside(content: bytes) -> list[dict]:
     """Records of a member's content and its gaps, by ``inner_offset`` and ``inner_end``."""
     rows, at, bad_from, reason = [], 0, None, ""
@@ -335,12 +409,13 @@ _FIELDS = {
     "payload_bytes": pa.int64(),
     "payload_digest": pa.string(),
     "refers_to": pa.string(),
+    "note": pa.string(),
     "payload": pa.binary(),
 }
 _SCHEMA = (
     "file string, offset long, end long, inner_offset long, inner_end long, gap string, unverified string, "
     "record_id string, record_type string, uri string, "
-    "payload_bytes long, payload_digest string, refers_to string, payload binary"
+    "payload_bytes long, payload_digest string, refers_to string, note string, payload binary"
 )
 
 
@@ -350,7 +425,8 @@ def read_warc(spark: SparkSession, path: str, *, glob: str = "part-*", payloads:
     One task reads a file, which must fit its memory and Spark's two gigabytes for a
     value; archives of some hundred megabytes or less, as :func:`write_warc` makes
     them unless very large pages lie side by side, keep tasks small.
-    An empty file gives no rows, damage gives rows with ``gap`` set.
+    An empty file gives no rows, damage gives rows with ``gap`` set.  ``note`` says what
+    of an intact record couldn't be compared or contradicts itself.
     """
     common.prepare(spark)
     names = [n for n in _FIELDS if payloads or n != "payload"]
