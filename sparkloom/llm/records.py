@@ -104,7 +104,8 @@ def write_records(
 
     A range partitioning gives shard after shard; a shard's task encodes and
     writes its documents as it reads them.  Null ids come first; equal ids are
-    ordered by their text, so that the same rows give the same files.  A null
+    ordered by the beginnings of their texts, then by a hash, and are dealt to as many shards as
+    they need, so that very many rows with one id or without one are no large file.  A null
     or empty text has the end id alone.  Ids are long integers, as the format
     has them: other numbers are cast, and an id that can't be is an error.
     """
@@ -129,7 +130,9 @@ def write_records(
         if block:
             yield common.record_batch(block=pa.array([b"".join(block)], pa.binary()))
 
-    ranged = own.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "start", "hash", "row"]
+    tied = own.withColumns({"start": F.left("text", F.lit(16)), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ranged = tied.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     blocks = common.map_arrow(ranged, run, "block binary")
     (
         blocks.select(F.col("block").cast("string"))
