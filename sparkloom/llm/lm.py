@@ -7,9 +7,8 @@ distribution if it follows ``min_entry`` times; all other next words of a state
 share what is left in proportion to the parent's distribution.  A state is
 retained if its distribution diverges from its parent's by more than half the
 number of its entries times the logarithm of its count, or if a longer state
-that ends in it is.  The minimum counts rise as the square root of the training
-tokens (:func:`minimum_counts`), so the tree grows with the corpus without an
-end, while the work for each token stays about the same.
+that ends in it is.  The minimum counts are the same for every corpus, so what is
+put to the test in a corpus is put to it in a larger one too, and the tree grows with the corpus.
 
 The tree is never gathered: it is built level by level as tables, by joins.  Since
 a state's probability of a word is its parent's times a factor, the logarithm of
@@ -38,8 +37,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A context's least count is the root of the training tokens over this; a next word's, that over ``ENTRY_SHARE``.
-ROOT_SHARE, ENTRY_SHARE = 36, 32
+#: Occurrences from which a context and, in it, a next word are put to the test of divergence, whatever the corpus's size.
+MIN_CONTEXT, MIN_ENTRY = 16, 2
 MAX_DEPTH = 4
 FOLDS, HELD_OUT = 5, 1
 #: The end token's stand-in; no UTF-8 text holds this byte.
@@ -222,12 +221,6 @@ class Lookup:
 # ------------------------------------------------------------------ the tree
 
 
-def minimum_counts(train_tokens: int) -> tuple[int, int]:
-    """(min_context, min_entry): 129 and 4 for 21 million tokens, 1,300 and 40 for two billion; 16 and 2 at least."""
-    context = max(16, round(train_tokens**0.5 / ROOT_SHARE))
-    return context, max(2, round(context / ENTRY_SHARE))
-
-
 def count_entries(docs: DataFrame, depth: int, shared: Broadcast) -> DataFrame:
     """(pre, suf, c): training counts of (depth + 1)-grams by the keys without the last and without the first word.
 
@@ -340,14 +333,12 @@ class SuffixTree:
 
 
 def train(
-    docs: DataFrame, min_context: int | None = None, min_entry: int | None = None, max_depth: int = MAX_DEPTH
+    docs: DataFrame, min_context: int = MIN_CONTEXT, min_entry: int = MIN_ENTRY, max_depth: int = MAX_DEPTH
 ) -> SuffixTree:
     """The tree of the training documents (doc_id, text); every level is counted over all of them."""
     counts = common.stage(unigrams(docs), "unigrams")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = minimum_counts(n)
-    min_entry = min_entry or least[1]
-    min_context = max(min_context or least[0], min_entry)
+    min_context = max(min_context, min_entry)
     root = counts.select(F.col("h").alias("key"), ((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("prob"))
     known = counts.filter(F.col("c") >= min_entry).select(F.col("h").alias("key"), "c", F.lit(None).cast("long").alias("suf"))
     levels: list[tuple[DataFrame, DataFrame]] = []
@@ -408,8 +399,8 @@ def score(
     doc_id: str = "doc_id",
     text: str = "text",
     model: SuffixTree | None = None,
-    min_context: int | None = None,
-    min_entry: int | None = None,
+    min_context: int = MIN_CONTEXT,
+    min_entry: int = MIN_ENTRY,
     max_depth: int = MAX_DEPTH,
     frequent: float = FREQUENT,
 ) -> DataFrame:
