@@ -95,6 +95,13 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
 
 
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix`` with underscores before it until no column begins with it, so that what it names can't clash."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column; no decoding."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()

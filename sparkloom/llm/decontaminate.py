@@ -273,5 +273,6 @@ def decontaminate(
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a benchmark window, with their columns unchanged."""
-    found = decontaminate(docs, benchmark, prefix="__bench_", **options)
-    return found.filter(~F.col("__bench_contaminated")).select(*[f"`{c}`" for c in docs.columns])
+    prefix = common.free_prefix(docs, "__bench_")
+    found = decontaminate(docs, benchmark, prefix=prefix, **options)
+    return found.filter(~F.col(f"{prefix}contaminated")).select(*[f"`{c}`" for c in docs.columns])

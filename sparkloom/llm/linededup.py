@@ -280,7 +280,7 @@ def dedup_lines(
 
 def keep_lines(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
     """The documents with the lines kept; other columns unchanged but for ``n_chars``, if there is one."""
-    found = dedup_lines(docs, text=text, prefix="__lines_", **options)
+    found = dedup_lines(docs, text=text, prefix=common.free_prefix(docs, "__lines_"), **options)
     if n_chars in docs.columns:
         found = found.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
     return found.select(*[f"`{c}`" for c in docs.columns])

@@ -210,7 +210,8 @@ def keep_good(
     having fewer than 50 words; ids aren't looked at, so repeated rows and rows
     without an id are each judged; no documents give no rows.
     """
-    votes, p = "__votes", "__q_"
+    p = common.free_prefix(docs, "__q_")
+    votes = f"{p}votes"
     counts = measured(common.only(docs, text=text), prefix=p).select(_votes(p).alias(votes))
     verdicts = F.broadcast(_verdicts(counts, votes, prior_weight))
     found = measured(docs, text, p).withColumn(votes, _votes(p)).join(verdicts, votes, "left")
