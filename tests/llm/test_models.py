@@ -235,7 +235,7 @@ def chains(n_docs=80):
 def test_scores_are_those_of_a_plain_tree(spark, options):
     rows = [*chains(), *((1000 + i, t) for i, t in enumerate(TEXTS)), (None, "w1 w2 w3")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    plain = BruteTree(rows, options.get("min_context", 16), options.get("min_entry", 2), options["max_depth"])
+    plain = BruteTree(rows, options.get("min_context", lm.MIN_CONTEXT), options.get("min_entry", lm.MIN_ENTRY), options["max_depth"])
     got = {r.doc_id: r.score for r in lm.score(docs, **options).collect()}
     want = {d: plain.score(t) for d, t in rows}
     assert got.keys() == want.keys()
@@ -251,7 +251,7 @@ def test_tree_beats_the_base_and_grows_with_the_corpus(spark):
     sizes = []
     for n in (40, 160):
         docs = spark.createDataFrame(chains(n), "doc_id long, text string")
-        model = lm.train(docs)
+        model = lm.train(docs, 16, 2)
         sizes.append(sum(model.states))
         rows = [r for r in lm.score(docs, model=model).collect() if r.held_out]
         assert rows and sum(r.score for r in rows) > 0.9 * sum(r.base_score for r in rows)
