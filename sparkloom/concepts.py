@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import compat
-from .models import clusters, likelihood, linear, quantile, selection, trees
+from .models import clusters, features, glm, likelihood, linear, quantile, selection, trees
 from .models.passes import added, complete, uniform
 from .operators import ordered
 from .session import share_package
@@ -91,7 +91,7 @@ _points_to("advanced", "mann_whitney and kruskal_wallis", "nonparametric-tests",
 _points_to("advanced", "odds_ratios of logistic_regression", "odds-ratios", run=A.logistic_regression)
 _points_to("regression", "regression_ols", "multiple-linear-regression", "coefficient-interpretation", "hypothesis-tests-for-betas", "r-squared", run=A.regression_ols)
 _points_to("eda", "plans.profile", "exploratory-data-analysis")
-_points_to("advanced", "pyspark.ml.regression.GeneralizedLinearRegression", "generalized-linear-models")
+_points_to("advanced", "models.glm", "generalized-linear-models", run=glm.generalized_linear_model)
 _points_to("advanced", "models.clusters", "k-means-clustering", run=clusters.k_means)
 _points_to("advanced", "models.clusters", "principal-component-analysis", run=clusters.principal_components)
 _points_to("advanced", "models.clusters", "silhouette-score", run=clusters.silhouette)
@@ -100,7 +100,7 @@ _points_to("predictive", "models.trees", "decision-trees", run=trees.decision_tr
 _points_to("predictive", "models.trees", "random-forest", run=trees.random_forest)
 _points_to("predictive", "models.trees", "gradient-boosting", "xgboost", run=trees.gradient_boosting)
 _points_to("predictive", "models.selection", "feature-selection", run=selection.feature_scores)
-_points_to("predictive", "pyspark.ml.feature", "feature-engineering")
+_points_to("predictive", "models.features", "feature-engineering", run=features.engineered)
 _points_to("predictive", "models.linear", "learning-curves", run=linear.learning_curve)
 _points_to("regression", "models.linear", "elastic-net", run=linear.elastic_net)
 _points_to("regression", "models.linear", "regularization-lasso", run=linear.lasso)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .concept_queries import SOURCES, _sql_source, add
 from .concepts import tukey
-from .models import clusters, likelihood, linear, quantile, selection, trees
+from .models import clusters, features, glm, likelihood, linear, quantile, selection, trees
 from .queries import ORACLES, QUERIES, rounded, table
 
 SOURCES |= {
@@ -245,3 +245,38 @@ QUERIES["concept_tukey"] = lambda spark, sf_dir: rounded(tukey(table(spark, sf_d
 ORACLES["concept_tukey"] = " ".join("""WITH g AS (SELECT l_linenumber AS g, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem GROUP BY 1),
     e AS (SELECT sum((n - 1) * v) / (sum(n) - count(*)) AS mse FROM g)
     SELECT a.g AS a, b.g AS b, round(a.m - b.m, 4) AS difference, round(abs(a.m - b.m) / sqrt(mse / 2 * (1 / a.n + 1 / b.n)), 4) AS q_statistic FROM g a JOIN g b ON a.g < b.g, e""".split())
+
+# ------------------------------------------------------------------ generalized linear models and engineered features
+
+_GROUP_MEANS = f"(SELECT returned * 2 + new AS g, avg(y) AS m, count(*) AS n FROM {_sql_source('folded')} GROUP BY 1)"
+
+
+def _glm(family: str, deviance: str, dispersion: str, weight: str) -> None:
+    """With a column for each group, the fitted means are the groups'; ``weight`` is that of a row in the errors."""
+
+    def run(df: DataFrame) -> dict:
+        r = glm.generalized_linear_model(df, "y", ["returned", "new"], family)
+        return {"deviance": r["deviance"], "dispersion": r["dispersion"], "const": r["coefficients"]["const"], "returned": r["coefficients"]["returned"], "new": r["coefficients"]["new"], "error": r["std_errors"]["const"]}
+
+    at = lambda g: f"(SELECT ln(m) FROM g WHERE g = {g})"
+    add(f"concept_generalized_linear_models_{family}", "folded", run, f"""WITH g AS {_GROUP_MEANS}, d AS (SELECT y, m FROM {_sql_source('folded')} JOIN g ON g = returned * 2 + new),
+        s AS (SELECT sum({deviance}) AS deviance, {dispersion} AS dispersion FROM d), w AS (SELECT sqrt(dispersion / (n * {weight})) AS e FROM g, s WHERE g = 0)
+        SELECT unnest(['deviance', 'dispersion', 'const', 'returned', 'new', 'error']) AS measure, round(unnest([deviance, dispersion, {at(0)}, {at(2)} - {at(0)}, {at(1)} - {at(0)}, e]), 4) AS value FROM s, w""")
+
+
+_glm("poisson", "2 * (y * ln(y / m) - (y - m))", "1.0", "m")
+_glm("gamma", "2 * ((y - m) / m - ln(y / m))", "sum((y - m) ** 2 / (m * m)) / (count(*) - 3)", "1")
+
+
+def concept_feature_engineering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return rounded(features.engineered(rows, ["o_totalprice", "o_orderdate", "o_orderpriority"], 9).drop("o_totalprice", "o_orderdate", "o_orderpriority"), 6)
+
+
+QUERIES["concept_feature_engineering"] = concept_feature_engineering
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+ORACLES["concept_feature_engineering"] = """SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER (), 6) AS o_totalprice_z, round(ln(1 + o_totalprice), 6) AS o_totalprice_log, 0 AS o_totalprice_missing,
+    year(o_orderdate)::INT AS o_orderdate_year, month(o_orderdate)::INT AS o_orderdate_month, isodow(o_orderdate)::INT AS o_orderdate_weekday, hour(o_orderdate)::INT AS o_orderdate_hour, 0 AS o_orderdate_missing,
+    length(o_orderpriority)::INT AS o_orderpriority_length, 0 AS o_orderpriority_missing, """ + ", ".join(
+    f"(o_orderpriority = '{v}')::INT AS o_orderpriority_is_{v.replace('-', '_').replace(' ', '_')}" for v in _PRIORITIES
+) + " FROM orders"

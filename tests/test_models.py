@@ -291,3 +291,49 @@ def test_tukey_against_fixed_table_values(spark):
     assert got.keys() == {("a", "b"), ("a", "c"), ("b", "c")} and got["a", "b"].difference == -3
     assert got["a", "b"].q_statistic == pytest.approx(3 / (4 / 3 / 2 * (1 / 3 + 1 / 2)) ** 0.5)
     assert got["a", "c"].p_value == pytest.approx(1) and 0 < got["a", "b"].p_value < got["b", "c"].p_value < 1
+
+
+# ------------------------------------------------------------------ generalized linear models, engineered features
+
+
+@pytest.mark.parametrize("family", ["gaussian", "binomial", "poisson", "gamma"])
+def test_generalized_linear_models_solve_their_score_equations(spark, family):
+    from sparkloom.models import glm
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(300, 2)) * [1, 5] + [0, 40]
+    eta = 0.3 + x @ [0.5, -0.02]
+    y = {"gaussian": eta + rng.normal(size=300), "binomial": (rng.random(300) < 1 / (1 + np.exp(-eta))).astype(float), "poisson": rng.poisson(np.exp(eta)).astype(float), "gamma": rng.gamma(3, np.exp(eta) / 3)}[family]
+    rows = [(*map(float, a), float(b)) for a, b in zip(x, y)] + [(None, 1.0, 1.0), (1.0, 1.0, float("nan")), (1.0, 1.0, -4.0)][: 2 if family == "gaussian" else 3]
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
+    got = glm.generalized_linear_model(df, "y", ["a", "b"], family)
+    z = np.column_stack([np.ones(300), x])
+    b = np.array([got["coefficients"][k] for k in ("const", "a", "b")])
+    e = z @ b
+    mu = {"gaussian": e, "binomial": 1 / (1 + np.exp(-e))}.get(family, np.exp(e))
+    score = {"gamma": (y - mu) / mu}.get(family, y - mu)
+    assert got["n"] == 300 and np.abs(z.T @ score / 300).max() < 1e-5 * np.abs(z).max()
+    w = {"gaussian": np.ones(300), "binomial": mu * (1 - mu), "poisson": mu, "gamma": np.ones(300)}[family]
+    v = {"gaussian": np.ones(300), "binomial": mu * (1 - mu), "poisson": mu, "gamma": mu * mu}[family]
+    dispersion = 1.0 if family in ("binomial", "poisson") else ((y - mu) ** 2 / v).sum() / 297
+    assert got["dispersion"] == pytest.approx(dispersion, rel=1e-6)
+    errors = np.sqrt(np.diag(np.linalg.inv((z * w[:, None]).T @ z)) * dispersion)
+    assert np.allclose([got["std_errors"][k] for k in ("const", "a", "b")], errors, rtol=1e-4)
+    assert got["deviance"] < got["null_deviance"] and got["p_values"]["a"] < 0.01
+    with pytest.raises(ValueError):
+        glm.generalized_linear_model(df.limit(2), "y", ["a", "b"], family)
+
+
+def test_engineered_features(spark):
+    import datetime as dt
+
+    from sparkloom.models import features
+
+    rows = [(1.0, dt.date(2024, 1, 1), "a b", True, 5), (3.0, None, "a b", None, 5), (None, dt.date(2024, 12, 29), "c", False, 5), (float("nan"), dt.date(2024, 1, 2), None, False, 5)]
+    df = spark.createDataFrame(rows, "x double, d date, s string, f boolean, k int").coalesce(1)
+    got = features.engineered(df, df.columns, 1).collect()
+    assert [r.x_z for r in got] == [-1, 1, 0, 0] and [r.x_missing for r in got] == [0, 0, 1, 1] and got[1].x_log == pytest.approx(np.log(4))
+    assert [(r.d_year, r.d_month, r.d_weekday) for r in got] == [(2024, 1, 1), (None, None, None), (2024, 12, 7), (2024, 1, 2)]
+    assert [r.s_is_a_b for r in got] == [1, 1, 0, 0] and [r.s_length for r in got] == [3, 3, 1, None] and "s_is_c" not in got[0]
+    assert [r.f_flag for r in got] == [1, None, 0, 0] and [r.f_missing for r in got] == [0, 1, 0, 0] and [r.k_z for r in got] == [0] * 4
+    assert "d_hour" not in got[0] and features.engineered(df.limit(0), ["x", "s"]).count() == 0
