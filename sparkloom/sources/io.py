@@ -71,29 +71,32 @@ class Dataset:
         return view
 
 
-def _csv(spark: SparkSession, source: str) -> DataFrame:
-    return spark.read.csv(source, header=True, inferSchema=True, quote='"', escape='"', multiLine=False)
+def _csv(spark: SparkSession, source: str, multi_line: bool = False) -> DataFrame:
+    """A header, then rows; types by all values.  Files are split among tasks, unless quoted values may hold line ends."""
+    return spark.read.csv(source, header=True, inferSchema=True, quote='"', escape='"', multiLine=multi_line)
 
 
-def _excel(spark: SparkSession, source: str) -> DataFrame:
-    """The first sheet."""
+def _excel(spark: SparkSession, source: str, **options) -> DataFrame:
+    """The first sheet, or the one asked for."""
     if source.lower().rstrip("/").endswith(".xls"):
         raise IngestError(f"{source} is a binary workbook; save it as .xlsx")
-    return read_excel(spark, source)
+    return read_excel(spark, source, **options)
 
 
 _READERS = {".csv": _csv, ".xlsx": _excel, ".xls": _excel, ".parquet": read_parquet}
 
 
-def ingest(spark: SparkSession, source: str, target: str) -> tuple[int, int]:
+def ingest(spark: SparkSession, source: str, target: str, **options) -> tuple[int, int]:
     """Convert a CSV, Excel or Parquet source to zstd Parquet; returns (rows, columns).
 
-    The rows are counted as they are written.
+    The rows are counted as they are written.  ``options`` are the reader's: ``multi_line`` for CSV
+    whose quoted values hold line ends (a task then takes a file), ``sheet`` and
+    ``header`` for workbooks.
     """
     suffix = next((s for s in _READERS if source.lower().rstrip("/").endswith(s)), None)
     if suffix is None:
         raise IngestError(f"unsupported file type: {source}")
-    df = _READERS[suffix](spark, source)
+    df = _READERS[suffix](spark, source, **options)
     return _counted(df, lambda d: d.write.mode("overwrite").option("compression", "zstd").parquet(target)), len(df.columns)
 
 

@@ -19,7 +19,7 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["flagship", "date_part", "running_total_at_scale", "rank_column_dense_rank_at_scale", "group_aggregate", "analysis_correlation_kendall", "join_full", "profile"])
+@pytest.mark.parametrize("name", ["flagship", "date_part", "running_total_at_scale", "rank_column_dense_rank_at_scale", "group_aggregate", "analysis_correlation_kendall", "join_full", "profile", "sketch_top", "concept_cross_validation", "ingest_excel", "concept_decision_trees", "concept_p_value_t"])
 def test_queries_match_their_sql(spark, name):
     import __spark_entry__ as e
 

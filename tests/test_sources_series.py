@@ -115,3 +115,11 @@ def test_pair_plot_counts_all_rows(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": [0.0, 1.0, 2.0, 4.0, None], "b": [1.0, 1.0, 3.0, 5.0, 9.0], "c": [7.0] * 5}))
     got = {(r.x, r.y, r.bin_x, r.bin_y): r["count"] for r in concepts.pair_plot(df, ["a", "b"], 2).collect()}
     assert got == {("b", "a", 1, 1): 2, ("b", "a", 1, 2): 1, ("b", "a", 2, 2): 1}
+
+
+def test_csv_with_line_ends_in_quotes(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb, \"c\""), (2, "plain"), (3, None)], "i int, s string")
+    source, target = str(tmp_path / "x.csv"), str(tmp_path / "out")
+    assert io.export(df.coalesce(1), source, "csv") == 3
+    assert io.ingest(spark, source, target, multi_line=True) == (3, 2)
+    assert sorted(map(tuple, io.read_parquet(spark, target).collect())) == [(1, 'a\nb, "c"'), (2, "plain"), (3, None)]
