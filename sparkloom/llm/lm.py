@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Occurrences from which a context and, in it, a next word are put to the test of divergence, whatever the corpus's size.
-MIN_CONTEXT, MIN_ENTRY = 100, 3
+MIN_CONTEXT, MIN_ENTRY = 128, 4
 MAX_DEPTH = 4
 FOLDS, HELD_OUT = 5, 1
 #: The end token's stand-in; no UTF-8 text holds this byte.
