@@ -76,14 +76,29 @@ def cleanup(spark: SparkSession) -> None:
         delete(spark, path)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, *, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage.
 
-    An executor lost later costs a file read, not a new run of what is above.
+    An executor lost later costs a file read, not a new run of what is above.  With
+    ``free`` the shuffle files of the write go when it ends, not at some later collection of garbage.
     """
-    path = shared_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = shared_dir(spark, label), spark.conf.get(cleanup, None)
+    if free:
+        spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete tables that :func:`stage` wrote; nothing may read them later."""
+    for df in staged:
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,8 +15,10 @@ a state's probability of a word is its parent's times a factor, the logarithm of
 a text's probability is a sum over its n-grams: each n-gram has a value (what it
 adds as a state that the next token is read in, and as a known next word of a
 state), and texts meet these values in a join.  Broadcasts of a bounded size
-save rows and change no result: bit maps of n-grams, and the values of those
-that make up a given share of all tokens.
+save rows and change no result: bit maps of n-grams, and the values of the most
+frequent ones.  So that disk stays a small multiple of the input, a level with many
+n-grams is counted in parts, by ranges of contexts, documents are scored in parts,
+and what a part has shuffled or staged goes before the next.
 
 Hashes of 64 bits stand for words and n-grams: two that share one share a count.
 An n-gram's key is made from the keys of the n-grams without its last
@@ -25,8 +27,10 @@ and without its first word.
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +49,13 @@ FOLDS, HELD_OUT = 5, 1
 END = b"\xff"
 #: A map of n-grams has some sixteen bits for each, but no more than 2^27 (16 MB).
 MAP_BITS = 27
-#: The values of n-grams that make up this share of the training tokens go to all tasks: (MAX_DEPTH + 1) / FREQUENT
-#: of them at most, of 24 bytes.
-FREQUENT = 1e-6
+#: The values of so many n-grams at most, the most frequent ones, go to all tasks, at 24 bytes each.
+FREQUENT = 1 << 20
+#: N-grams that are shuffled at once, as a share of the training tokens: while a level is counted, before equal ones
+#: are put together, and while texts meet the values of n-grams that didn't go to all tasks.
+COUNTED, MET = 0.25, 0.0625
+#: So many are always shuffled at once.
+AT_ONCE = 2_000_000
 _FLUSH = 2_000_000
 #: Bytes of text that are hashed at once; words of more than so many bytes are hashed alone.
 _CHUNK, _LONG = 1 << 20, 256
@@ -221,11 +229,12 @@ class Lookup:
 # ------------------------------------------------------------------ the tree
 
 
-def count_entries(docs: DataFrame, depth: int, shared: Broadcast) -> DataFrame:
+def count_entries(docs: DataFrame, depth: int, shared: Broadcast, part: int = 0, parts: int = 1) -> DataFrame:
     """(pre, suf, c): training counts of (depth + 1)-grams by the keys without the last and without the first word.
 
     Only those are counted whose ``pre`` is in the first map of ``shared`` (contexts)
-    and whose ``suf`` is in the second (frequent n-grams): others can't be frequent.
+    and whose ``suf`` is in the second (frequent n-grams): others can't be frequent.  Of ``parts``
+    ranges of contexts, only that of number ``part`` is counted.
     """
 
     def rows(pre: list[np.ndarray], suf: list[np.ndarray]):
@@ -253,9 +262,14 @@ def count_entries(docs: DataFrame, depth: int, shared: Broadcast) -> DataFrame:
             place = places(sizes)
             for _ in range(depth - 1):
                 keys = longer(keys)
-            good = in_map(words, keys[1:]) & in_map(contexts, keys[:-1]) & (place[1:] >= depth)
-            pre.append(keys[:-1][good])
-            suf.append(keys[1:][good])
+            good = place[1:] >= depth
+            if parts > 1:
+                good &= (keys[:-1] >> np.uint64(40)) % np.uint64(parts) == part
+            at = np.flatnonzero(good)
+            good = at[in_map(contexts, keys[at])]
+            good = good[in_map(words, keys[good + 1])]
+            pre.append(keys[good])
+            suf.append(keys[good + 1])
             size += len(pre[-1])
             if size > _FLUSH:
                 yield from rows(pre, suf)
@@ -288,7 +302,7 @@ def _level(entries: DataFrame, states: DataFrame, lower: DataFrame) -> tuple[Dat
     own = entries.join(states.select(F.col("key").alias("pre"), "n"), "pre").join(
         lower.select(F.col("key").alias("suf"), F.col("prob").alias("parent")), "suf"
     )
-    own = common.stage(own.select("pre", "suf", "c", "key", "n", "parent"), "entries")
+    own = common.stage(own.select("pre", "suf", "c", "key", "n", "parent"), "entries", free=True)
     tested = (
         own.groupBy("pre")
         .agg(
@@ -303,6 +317,7 @@ def _level(entries: DataFrame, states: DataFrame, lower: DataFrame) -> tuple[Dat
         .withColumn("keep", F.expr("n / (n + classes)"))
         .select(
             "pre",
+            "n",
             "keep",
             F.expr("keep * left / n / parent_rest + (1 - keep)").alias("rest"),
             F.expr(
@@ -310,11 +325,13 @@ def _level(entries: DataFrame, states: DataFrame, lower: DataFrame) -> tuple[Dat
             ).alias("diverges"),
         )
     )
-    tested = common.stage(tested.join(states.select(F.col("key").alias("pre"), "up"), "pre"), "states")
+    tested = common.stage(tested.join(states.select(F.col("key").alias("pre"), "up"), "pre"), "states", free=True)
     probs = own.join(tested.select("pre", "keep"), "pre").select(
         "pre", "suf", "c", "key", "parent", F.expr("keep * c / n + (1 - keep) * parent").alias("prob")
     )
-    return common.stage(probs, "probabilities"), tested
+    probs = common.stage(probs, "probabilities", free=True)
+    common.unstage(own)
+    return probs, tested
 
 
 @dataclass
@@ -336,7 +353,7 @@ def train(
     docs: DataFrame, min_context: int = MIN_CONTEXT, min_entry: int = MIN_ENTRY, max_depth: int = MAX_DEPTH
 ) -> SuffixTree:
     """The tree of the training documents (doc_id, text); every level is counted over all of them."""
-    counts = common.stage(unigrams(docs), "unigrams")
+    counts = common.stage(unigrams(docs), "unigrams", free=True)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     min_context = max(min_context, min_entry)
     root = counts.select(F.col("h").alias("key"), ((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("prob"))
@@ -346,11 +363,14 @@ def train(
     for depth in range(1, max_depth + 1):
         candidates = known.filter(F.col("c") >= min_context)
         shared = docs.sparkSession.sparkContext.broadcast((bit_map(candidates.select("key")), bit_map(known.select("key"))))
-        found = count_entries(docs, depth, shared)
-        entries = common.stage(_keyed(found.filter(F.col("c") >= min_entry)), "counts")
+        total = candidates.agg(F.sum("c")).first()[0] or 0
+        parts = _parts(total, COUNTED * n)
+        found = [count_entries(docs, depth, shared, i, parts).filter(F.col("c") >= min_entry) for i in range(parts)]
+        entries = [common.stage(_keyed(part), "counts", free=True) for part in found]
         shared.destroy()
         states = candidates.select("key", F.col("c").alias("n"), F.col("suf").alias("up"))
-        levels.append(_level(entries, states, lower))
+        levels.append(_level(reduce(DataFrame.union, entries), states, lower))
+        common.unstage(*entries)
         lower = known = levels[-1][0]
     # a retained state keeps its suffixes
     retained: list[DataFrame] = []
@@ -360,33 +380,52 @@ def train(
             tested = tested.join(below, "pre", "left").filter("diverges or held").drop("held")
         else:
             tested = tested.filter("diverges")
-        retained.insert(0, common.stage(tested, "retained"))
-    inner = [r.select(F.col("pre").alias("key"), F.log10("rest").alias("tree"), F.lit(0).cast("long").alias("n")) for r in retained]
-    outer = [
-        e.join(r.select("pre", "rest"), "pre").select(
+        retained.insert(0, common.stage(tested, "retained", free=True))
+    common.unstage(*[tested for _, tested in levels])
+    states = [r.count() for r in retained]
+    inner = [r.select(F.col("pre").alias("key"), F.log10("rest").alias("tree"), "n") for r in retained]
+    values = []
+    for depth, (probs, _) in enumerate(levels, 1):  # n-grams of a length, as states and as next words of states
+        grams = probs.join(retained[depth - 1].select("pre", "rest"), "pre").select(
             "key", (F.log10(F.col("prob") / F.col("parent")) - F.log10("rest")).alias("tree"), F.col("c").alias("n")
         )
-        for (e, _), r in zip(levels, retained)
-    ]
-    grams = None
-    for part in [*inner[1:], *outer]:
-        grams = part if grams is None else grams.union(part)
-    values = counts.select(F.col("h").alias("key"), "c", F.col("c").alias("n"))
-    if grams is None:
-        values = values.withColumn("tree", F.lit(0.0))
-    else:
-        values = values.join(inner[0].select("key", "tree"), "key", "left").withColumn("tree", F.coalesce("tree", F.lit(0.0)))
+        if depth < len(inner):
+            grams = grams.union(inner[depth])
         summed = grams.groupBy("key").agg(F.max("n").alias("n"), F.sum("tree").alias("tree"))
-        values = values.union(summed.select("key", F.lit(None).cast("long").alias("c"), "n", "tree"))
-    return SuffixTree(common.stage(values, "values"), int(n), int(v), [r.count() for r in retained])
+        summed = summed.select("key", F.lit(None).cast("long").alias("c"), "n", "tree")
+        values.append(common.stage(summed, "values", free=True))
+        common.unstage(probs)
+    words = counts.select(F.col("h").alias("key"), "c", F.col("c").alias("n"))
+    if inner:
+        words = words.join(inner[0].select("key", "tree"), "key", "left").withColumn("tree", F.coalesce("tree", F.lit(0.0)))
+    else:
+        words = words.withColumn("tree", F.lit(0.0))
+    values.append(common.stage(words, "values", free=True))
+    common.unstage(counts, *retained)
+    return SuffixTree(reduce(DataFrame.union, values), int(n), int(v), states)
 
 
-def _frequent(model: SuffixTree, share: float) -> tuple[Lookup, np.ndarray, np.ndarray, np.ndarray]:
-    """(lookup, word counts, tree values, is a word) of the n-grams that make up ``share`` of the training tokens.
+def _parts(total: float, at_once: float) -> int:
+    return max(1, math.ceil(total / max(at_once, AT_ONCE)))
 
-    Each length's counts add up to the tokens at most, so there are no more than lengths / share.
-    """
-    rows = model.values.filter(F.col("n") >= max(share * model.train_tokens, 1.0)).select("key", "c", "tree").toArrow()
+
+def _least(model: SuffixTree, share: float | None) -> float:
+    """Count from which an n-gram's value goes to all tasks: that of the ``FREQUENT`` most frequent, or a share of the tokens."""
+    if share is not None:
+        return max(share * model.train_tokens, 1.0)
+    eighth = F.floor(8 * F.log2("n")).alias("eighth")  # of a power of two
+    least, total = math.inf, 0
+    for row in sorted(model.values.groupBy(eighth).agg(F.count("*").alias("rows"), F.min("n").alias("n")).collect(), reverse=True):
+        total += row.rows
+        if total > FREQUENT:
+            break
+        least = float(row.n)
+    return least
+
+
+def _frequent(model: SuffixTree, least: float) -> tuple[Lookup, np.ndarray, np.ndarray, np.ndarray]:
+    """(lookup, word counts, tree values, is a word) of the n-grams that occur ``least`` times in training."""
+    rows = model.values.filter(F.col("n") >= F.lit(least)).select("key", "c", "tree").toArrow()
     keys = rows["key"].to_numpy().view("<u8")
     order = np.argsort(keys)
     c = rows["c"].fill_null(-1).to_numpy()[order]
@@ -402,12 +441,13 @@ def score(
     min_context: int = MIN_CONTEXT,
     min_entry: int = MIN_ENTRY,
     max_depth: int = MAX_DEPTH,
-    frequent: float = FREQUENT,
+    frequent: float | None = None,
 ) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``model`` is a tree from :func:`train`; by default one is trained on all
-    training documents, whole.  The values of the most frequent n-grams are
+    training documents, whole.  The values of the most frequent n-grams (``FREQUENT`` of them, or
+    those that make up the share ``frequent`` of the training tokens) are
     added up where the documents lie; a document's other n-grams meet theirs in one
     join by key, which Spark may split.  A null text is its end token.
     Repeated rows are each scored and count as often in training.  Without
@@ -416,10 +456,15 @@ def score(
     spark = common.prepare(docs.sparkSession)
     id_sql = common.id_type(docs, doc_id)
     own = common.only(docs, doc_id=doc_id, text=text)
-    model = model or train(own, min_context, min_entry, max_depth)
+    given, model = model, model or train(own, min_context, min_entry, max_depth)
+    depth, least = len(model.states), _least(model, frequent)
     grams = bit_map(model.values.filter("c is null").select("key"))
-    shared = spark.sparkContext.broadcast((_frequent(model, frequent), grams))
-    depth = len(model.states)
+    rare = model.values.filter(F.col("n") < F.lit(least))
+    # n-grams that will be shuffled: the rare ones, and others that share a bit with one of the map's
+    full = float(np.bitwise_count(grams).sum()) / (8 * len(grams))
+    met = (rare.agg(F.sum("n")).first()[0] or 0) + model.train_tokens * sum(full**k for k in range(1, depth + 1))
+    parts = _parts(met, MET * model.train_tokens)
+    shared = spark.sparkContext.broadcast((_frequent(model, least), grams))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         (lookup, counts, tree, is_word), grams = shared.value
@@ -461,9 +506,23 @@ def score(
         )
 
     schema = f"doc_id {id_sql}, held_out boolean, n_tokens long, known long, base double, ratio double, rest array<long>"
-    scored = common.map_batches(own, run, schema).withColumn("row", F.monotonically_increasing_id())
-    scored = common.stage(scored, "scored")
-    each = scored.select("row", F.explode("rest").alias("key")).join(model.values.select("key", "c", "tree"), "key")
+    mine = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    done = []
+    for part in range(parts):
+        some = own.filter(mine == part) if parts > 1 else own
+        scored = common.map_batches(some, run, schema).withColumn("row", F.monotonically_increasing_id())
+        scored = common.stage(scored, "scored")
+        done.append(common.stage(_whole(scored, rare, model), "scores", free=True))
+        common.unstage(scored)
+    shared.destroy()
+    if given is None:
+        common.unstage(model.values)
+    return reduce(DataFrame.union, done)
+
+
+def _whole(scored: DataFrame, rare: DataFrame, model: SuffixTree) -> DataFrame:
+    """The scores of documents with what the values in ``rare`` of their n-grams left over (``rest``) add."""
+    each = scored.select("row", F.explode("rest").alias("key")).join(rare.select("key", "c", "tree"), "key")
     sums = each.groupBy("row").agg(
         F.sum(F.log10(F.col("c") + F.lit(0.5))).alias("more_base"),
         F.count("c").alias("more_known"),

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -258,6 +259,50 @@ def test_tree_beats_the_base_and_grows_with_the_corpus(spark):
     assert sizes[1] > sizes[0]
 
 
+def test_parts_change_no_score_and_leave_only_scores(spark, monkeypatch):
+    rows = [*chains(), *((1000 + i, t) for i, t in enumerate(TEXTS)), (None, "w1 w2 w3"), (None, None), (3, "w1 w2 w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    options = dict(min_context=10, min_entry=2, max_depth=3)
+    lists = lambda out: sorted(([str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score] for r in out.collect()), key=lambda r: (r[0], r[1], r[4]))
+    root = Path(common.shared_dir(spark, "x").removeprefix("file:")).parent
+    tables, counted = [], []
+    count, stage = lm.count_entries, common.stage
+    monkeypatch.setattr(lm, "count_entries", lambda *a: (counted.append(a[3:]), count(*a))[1])
+    monkeypatch.setattr(common, "stage", lambda df, label, **k: (tables.append((label, k)), stage(df, label, **k))[1])
+    found = []
+    for at_once, frequent in ((1 << 30, 1 << 20), (1, 50)):
+        monkeypatch.setattr(lm, "AT_ONCE", at_once)
+        monkeypatch.setattr(lm, "COUNTED", 0.4)
+        monkeypatch.setattr(lm, "MET", 0.8)
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
+        tables.clear()
+        counted.clear()
+        before = set(root.glob("*"))
+        out = lm.score(docs, **options)
+        left = {p.name.rsplit("-", 1)[0] for p in set(root.glob("*")) - before}
+        assert left == {"scores"}
+        assert all(k.get("free") for label, k in tables if label != "scored")
+        found.append(lists(out))
+        parts = max(n for _, n in counted), sum(label == "scored" for label, _ in tables)
+        assert parts == (1, 1) if len(found) == 1 else min(parts) > 1
+    assert [r[:3] for r in found[1]] == [r[:3] for r in found[0]]
+    assert np.allclose([r[3:] for r in found[1]], [r[3:] for r in found[0]], rtol=1e-9)
+
+
+def test_free_stages_leave_no_shuffle_files(spark):
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    shuffled = lambda: {p.name for p in local.rglob("shuffle_*.data")}
+    before, key = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key, None)
+    out = common.stage(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "x", free=True)
+    for _ in range(100):  # files are deleted in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(key, None) == setting
+    assert out.count() == 100
+
+
 def test_word_keys_tell_words_apart(monkeypatch):
     texts = [t.encode() if t is not None else None for t in TEXTS] + [b"a\x00 a \x00a", b"x" * 5000 + b" " + b"y" * 3000 + b" X" + b"x" * 4999, b"end"]
     want = [[*(t or b"").lower().split(), None] for t in texts]
