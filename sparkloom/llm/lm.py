@@ -14,11 +14,13 @@ The tree is never gathered: it is built level by level as tables, by joins.  Sin
 a state's probability of a word is its parent's times a factor, the logarithm of
 a text's probability is a sum over its n-grams: each n-gram has a value (what it
 adds as a state that the next token is read in, and as a known next word of a
-state), and texts meet these values in a join.  Broadcasts of a bounded size
+state), and texts meet these values where both are shuffled by ranges of keys, in
+blocks; a task adds up what its documents' n-grams meet.  Broadcasts of a bounded size
 save rows and change no result: bit maps of n-grams, and the values of the most
 frequent ones.  So that disk stays a small multiple of the input, a level with many
 n-grams is counted in parts, by ranges of contexts, documents are scored in parts,
-and what a part has shuffled or staged goes before the next.
+these meet the values in parts by ranges of keys, and what a part has shuffled or
+staged goes before the next.
 
 Hashes of 64 bits stand for words and n-grams: two that share one share a count.
 An n-gram's key is made from the keys of the n-grams without its last
@@ -52,10 +54,12 @@ MAP_BITS = 27
 #: The values of so many n-grams at most, the most frequent ones, go to all tasks, at 24 bytes each.
 FREQUENT = 1 << 20
 #: N-grams that are shuffled at once, as a share of the training tokens: while a level is counted, before equal ones
-#: are put together, and while texts meet the values of n-grams that didn't go to all tasks.
+#: are put together (texts are scored so many n-grams at once, too), and while these meet the values that didn't go to all tasks.
 COUNTED, MET = 0.25, 0.0625
 #: So many are always shuffled at once.
 AT_ONCE = 2_000_000
+#: N-grams that a task puts together at a time; they are shuffled in blocks, a block for each of so many buckets a task, and this many buckets at least.
+GATHERED, BUCKETS, LEAST_BUCKETS = 1 << 20, 16, 1024
 _FLUSH = 2_000_000
 #: Bytes of text that are hashed at once; words of more than so many bytes are hashed alone.
 _CHUNK, _LONG = 1 << 20, 256
@@ -230,30 +234,46 @@ class Lookup:
 
 
 def count_entries(docs: DataFrame, depth: int, shared: Broadcast, part: int = 0, parts: int = 1) -> DataFrame:
-    """(pre, suf, c): training counts of (depth + 1)-grams by the keys without the last and without the first word.
+    """(pre, suf, c, key): training counts of (depth + 1)-grams by the keys without the last and without the first word.
 
     Only those are counted whose ``pre`` is in the first map of ``shared`` (contexts)
     and whose ``suf`` is in the second (frequent n-grams): others can't be frequent.  Of ``parts``
-    ranges of contexts, only that of number ``part`` is counted.
+    ranges of contexts, only that of number ``part`` is counted.  ``shared`` also has the least
+    count that is returned and how many tasks put the counts of the texts' tasks together.
+
+    What is shuffled are blocks of n-grams, in which a context stands once for all words that follow.  A
+    context's next words are dealt to sixteen buckets, so that a frequent context is no single task's.
     """
+    tasks = shared.value[3]
+    buckets = min(max(BUCKETS * tasks, LEAST_BUCKETS), 1 << 16)
 
-    def rows(pre: list[np.ndarray], suf: list[np.ndarray]):
+    def blocks(pre: list[np.ndarray], suf: list[np.ndarray]):
         a, b = np.concatenate(pre), np.concatenate(suf)
-        # equal pairs come together and pairs of one context stay near, which packs well
-        low = np.uint64((1 << 32) - 1)
-        order = np.argsort((a & ~low) | (mix(a, b) & low))
-        a, b = a[order], b[order]
-        edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else order
+        if not len(a):
+            return
+        bucket = ((a >> np.uint64(24)) + (b & np.uint64(15))) % np.uint64(buckets)
+        # equal pairs come together and pairs of one context stay near
+        low = np.uint64((1 << 24) - 1)
+        order = np.argsort((bucket << np.uint64(48)) | ((a & low) << np.uint64(24)) | (mix(a, b) & low))
+        a, b, bucket = a[order], b[order], bucket[order]
+        edge = np.flatnonzero(_changes(a, b))
         n = np.diff([*edge, len(a)])
-        a, b = a[edge].view("<i8"), b[edge].view("<i8")
-        for i in range(0, len(a), 1 << 16):
-            j = i + (1 << 16)
-            yield common.record_batch(
-                pre=pa.array(a[i:j], pa.int64()), suf=pa.array(b[i:j], pa.int64()), c=pa.array(n[i:j], pa.int64())
-            )
+        a, b, bucket = a[edge], b[edge], bucket[edge]
+        run = np.flatnonzero(_changes(a, bucket))
+        long = np.diff([*run, len(a)])
+        first = np.flatnonzero(_changes(bucket))
+        at, runs = np.append(first, len(a)), np.append(np.searchsorted(run, first), len(run))
+        yield from _small(
+            np.diff(at),
+            bucket=pa.array(bucket[first].astype(np.int32), pa.int32()),
+            pre=_packed(a[run], runs),
+            long=_packed(long.astype("<u4"), runs),
+            suf=_packed(b, at),
+            c=_packed(n.astype("<u4"), at),
+        )
 
     def run(batches):
-        contexts, words = shared.value
+        contexts, words = shared.value[:2]
         pre, suf, size = [], [], 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -272,25 +292,74 @@ def count_entries(docs: DataFrame, depth: int, shared: Broadcast, part: int = 0,
             suf.append(keys[good + 1])
             size += len(pre[-1])
             if size > _FLUSH:
-                yield from rows(pre, suf)
+                yield from blocks(pre, suf)
                 pre, suf, size = [], [], 0
         if size:
-            yield from rows(pre, suf)
+            yield from blocks(pre, suf)
 
-    found = common.map_arrow(docs, run, "pre long, suf long, c long")
-    return found.groupBy("pre", "suf").agg(F.sum("c").alias("c"))
+    def gather(batches):
+        least, got, size, known = shared.value[2], [], 0, 0
+        for batch in batches:
+            _, pre, long, suf, c = map(_column, batch.columns, ("<i4", "<u8", "<u4", "<u8", "<u4"))
+            got.append((np.repeat(pre, long), suf, c.astype(np.int64)))
+            size += len(c)
+            if size > known + 2 * GATHERED:  # equal ones are put together before there are many
+                got = [_added(got)]
+                size = known = len(got[0][0])
+        if not got:
+            return
+        a, b, c = _added(got)
+        a, b, c = (x[c >= least] for x in (a, b, c))
+        for i in range(0, len(a), 1 << 16):
+            pre, suf, n = (x[i : i + (1 << 16)] for x in (a, b, c))
+            yield common.record_batch(pre=_longs(pre), suf=_longs(suf), c=pa.array(n, pa.int64()), key=_longs(mix(pre, suf)))
 
+    found = common.map_arrow(docs, run, "bucket int, pre binary, long binary, suf binary, c binary")
+    return found.repartition(tasks, "bucket").mapInArrow(gather, "pre long, suf long, c long, key long")
 
-def _keyed(entries: DataFrame) -> DataFrame:
-    """``key`` added: the key of the whole n-gram."""
 
-    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pre, suf = (batch.column(i).to_numpy().view("<u8") for i in (0, 1))
-        return common.record_batch(
-            pre=batch.column(0), suf=batch.column(1), c=batch.column(2), key=pa.array(mix(pre, suf).view("<i8"), pa.int64())
-        )
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before; the first does."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = reduce(np.logical_or, [x[1:] != x[:-1] for x in columns])
+    return out
+
 
-    return common.map_batches(entries, add, "pre long, suf long, c long, key long")
+def _added(got: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs once, with the sum of their counts."""
+    a, b, c = (np.concatenate(x) for x in zip(*got))
+    if not len(a):
+        return a, b, c
+    order = np.argsort(mix(a, b))
+    a, b = a[order], b[order]
+    edge = np.flatnonzero(_changes(a, b))
+    return a[edge], b[edge], np.add.reduceat(c[order], edge)
+
+
+def _longs(keys: np.ndarray) -> pa.Array:
+    return pa.array(keys.view("<i8"), pa.int64())
+
+
+def _packed(numbers: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The numbers between each two edges as the bytes of one value."""
+    offsets = (edges * numbers.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def _column(column: pa.Array, kind: str) -> np.ndarray:
+    """The numbers of a column of whole or packed numbers, one row after the other."""
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy()
+    return np.frombuffer(b"".join(column.drop_null().to_pylist()), kind)
+
+
+def _small(sizes: np.ndarray, most: int = 1 << 16, **columns: pa.Array):
+    """Batches of some ``most`` numbers, of rows with so many each."""
+    whole = common.record_batch(**columns)
+    group = (np.cumsum(sizes) - sizes) // most
+    edges = [*np.flatnonzero(_changes(group)).tolist(), len(sizes)]
+    for i, j in zip(edges, edges[1:]):
+        yield whole.slice(i, j - i)
 
 
 def _level(entries: DataFrame, states: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -356,17 +425,18 @@ def train(
     counts = common.stage(unigrams(docs), "unigrams", free=True)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     min_context = max(min_context, min_entry)
-    root = counts.select(F.col("h").alias("key"), ((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("prob"))
+    # a next word that is kept apart occurs as often by itself
+    root = counts.filter(F.col("c") >= min_entry).select(F.col("h").alias("key"), ((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("prob"))
     known = counts.filter(F.col("c") >= min_entry).select(F.col("h").alias("key"), "c", F.lit(None).cast("long").alias("suf"))
     levels: list[tuple[DataFrame, DataFrame]] = []
     lower = root
     for depth in range(1, max_depth + 1):
         candidates = known.filter(F.col("c") >= min_context)
-        shared = docs.sparkSession.sparkContext.broadcast((bit_map(candidates.select("key")), bit_map(known.select("key"))))
         total = candidates.agg(F.sum("c")).first()[0] or 0
         parts = _parts(total, COUNTED * n)
-        found = [count_entries(docs, depth, shared, i, parts).filter(F.col("c") >= min_entry) for i in range(parts)]
-        entries = [common.stage(_keyed(part), "counts", free=True) for part in found]
+        maps = bit_map(candidates.select("key")), bit_map(known.select("key"))
+        shared = docs.sparkSession.sparkContext.broadcast((*maps, min_entry, common.pieces(total / parts, GATHERED)))
+        entries = [common.stage(count_entries(docs, depth, shared, i, parts), "counts", free=True) for i in range(parts)]
         shared.destroy()
         states = candidates.select("key", F.col("c").alias("n"), F.col("suf").alias("up"))
         levels.append(_level(reduce(DataFrame.union, entries), states, lower))
@@ -448,8 +518,8 @@ def score(
     ``model`` is a tree from :func:`train`; by default one is trained on all
     training documents, whole.  The values of the most frequent n-grams (``FREQUENT`` of them, or
     those that make up the share ``frequent`` of the training tokens) are
-    added up where the documents lie; a document's other n-grams meet theirs in one
-    join by key, which Spark may split.  A null text is its end token.
+    added up where the documents lie; a document's other n-grams are shuffled to theirs
+    by ranges of keys.  A null text is its end token.
     Repeated rows are each scored and count as often in training.  Without
     training documents every token has the base probability of an unseen one.
     """
@@ -463,7 +533,10 @@ def score(
     # n-grams that will be shuffled: the rare ones, and others that share a bit with one of the map's
     full = float(np.bitwise_count(grams).sum()) / (8 * len(grams))
     met = (rare.agg(F.sum("n")).first()[0] or 0) + model.train_tokens * sum(full**k for k in range(1, depth + 1))
-    parts = _parts(met, MET * model.train_tokens)
+    parts, meetings = _parts(met, COUNTED * model.train_tokens), _parts(met, MET * model.train_tokens)
+    meetings = -(-meetings // parts)  # of each part, by ranges of keys
+    tasks = common.pieces((met / parts + rare.count()) / meetings, GATHERED)
+    bits = (max(BUCKETS * tasks, LEAST_BUCKETS) * meetings - 1).bit_length()
     shared = spark.sparkContext.broadcast((_frequent(model, least), grams))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -506,28 +579,152 @@ def score(
         )
 
     schema = f"doc_id {id_sql}, held_out boolean, n_tokens long, known long, base double, ratio double, rest array<long>"
+    rare = common.stage(_value_blocks(rare, bits), "rare", free=True)
+    if given is None:
+        common.unstage(model.values)
     mine = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
     done = []
     for part in range(parts):
         some = own.filter(mine == part) if parts > 1 else own
         scored = common.map_batches(some, run, schema).withColumn("row", F.monotonically_increasing_id())
         scored = common.stage(scored, "scored")
-        done.append(common.stage(_whole(scored, rare, model), "scores", free=True))
-        common.unstage(scored)
+        sums = [common.stage(_sums(scored, rare, bits, tasks, i, meetings), "sums", free=True) for i in range(meetings)]
+        done.append(common.stage(_whole(scored, reduce(DataFrame.union, sums), model), "scores", free=True))
+        common.unstage(scored, *sums)
     shared.destroy()
-    if given is None:
-        common.unstage(model.values)
+    common.unstage(rare)
     return reduce(DataFrame.union, done)
 
 
-def _whole(scored: DataFrame, rare: DataFrame, model: SuffixTree) -> DataFrame:
-    """The scores of documents with what the values in ``rare`` of their n-grams left over (``rest``) add."""
-    each = scored.select("row", F.explode("rest").alias("key")).join(rare.select("key", "c", "tree"), "key")
-    sums = each.groupBy("row").agg(
-        F.sum(F.log10(F.col("c") + F.lit(0.5))).alias("more_base"),
-        F.count("c").alias("more_known"),
-        F.sum("tree").alias("more_ratio"),
-    )
+_BLOCK = "bucket int, keys binary, rows binary, c binary, tree binary"
+
+
+def _by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(order by key, buckets that have keys, the edges of these); a bucket is a range of keys."""
+    order = np.argsort(keys)
+    bucket = (keys[order] >> np.uint64(64 - bits)).astype(np.int32)
+    first = np.flatnonzero(_changes(bucket))
+    return order, pa.array(bucket[first], pa.int32()), np.append(first, len(keys))
+
+
+def _value_blocks(values: DataFrame, bits: int) -> DataFrame:
+    """The values' keys, counts (-1: no word) and logarithms in blocks, by ranges of keys."""
+
+    def blocks(got: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(got)
+        keys, c, tree = rows["key"].to_numpy().view("<u8"), rows["c"].fill_null(-1).to_numpy(), rows["tree"].to_numpy()
+        order, bucket, at = _by_bucket(keys, bits)
+        none = pa.nulls(len(bucket), pa.binary())
+        yield from _small(
+            np.diff(at), bucket=bucket, keys=_packed(keys[order], at), rows=none, c=_packed(c[order], at), tree=_packed(tree[order], at)
+        )
+
+    return values.select("key", "c", "tree").mapInArrow(lambda batches: _flushed(batches, lambda b: b.num_rows, blocks), _BLOCK)
+
+
+def _text_blocks(scored: DataFrame, bits: int, part: int, parts: int) -> DataFrame:
+    """The keys that documents left over and the documents' rows in blocks, by ranges of keys; those of one of ``parts`` ranges."""
+
+    def blocks(got: list[pa.RecordBatch]):
+        keys = np.concatenate([b.column(1).flatten().to_numpy().view("<u8") for b in got])
+        rows = np.concatenate([np.repeat(b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy()) for b in got])
+        if parts > 1:
+            mine = np.flatnonzero((keys >> np.uint64(64 - bits)) * np.uint64(parts) >> np.uint64(bits) == part)
+            keys, rows = keys[mine], rows[mine]
+        if not len(keys):
+            return
+        order, bucket, at = _by_bucket(keys, bits)
+        none = pa.nulls(len(bucket), pa.binary())
+        yield from _small(np.diff(at), bucket=bucket, keys=_packed(keys[order], at), rows=_packed(rows[order], at), c=none, tree=none)
+
+    size = lambda b: len(b.column(1).flatten())
+    return scored.select("row", "rest").mapInArrow(lambda batches: _flushed(batches, size, blocks), _BLOCK)
+
+
+def _flushed(batches, size, blocks):
+    """The blocks of some ``_FLUSH`` numbers at a time."""
+    got, n = [], 0
+    for batch in batches:
+        got.append(batch)
+        n += size(batch)
+        if n > _FLUSH:
+            yield from blocks(got)
+            got, n = [], 0
+    if n:
+        yield from blocks(got)
+
+
+def _meet(batches):
+    """(row, base, known, ratio): sums of the values that the documents' keys meet.
+
+    Blocks come by bucket, a bucket's values before its texts; a task holds the values
+    of one bucket and some ``GATHERED`` keys, however many there are.
+    """
+    values, table, texts, held = [], None, [], 0
+    sums, n = [], 0
+
+    def look():
+        nonlocal table, texts, held, n
+        if texts and table is None:
+            keys, c, tree = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*values), ("<u8", "<i8", "<f8"))) if values else (np.zeros(0, t) for t in ("<u8", "<i8", "<f8"))
+            order = np.argsort(keys)
+            table = keys[order], c[order], tree[order]
+        if texts and len(table[0]):
+            keys, rows = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*texts), ("<u8", "<i8")))
+            at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+            hit = np.flatnonzero(table[0][at] == keys)
+            at, c = at[hit], table[1][at[hit]]
+            sums.append((rows[hit], np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.5), 0.0), c >= 0, table[2][at]))
+            n += len(hit)
+        texts, held = [], 0
+
+    def summed():
+        nonlocal sums, n
+        row, base, known, ratio = (np.concatenate(x) for x in zip(*sums))
+        row, at = np.unique(row, return_inverse=True)
+        base, known, ratio = (np.bincount(at, x, len(row)) for x in (base, known, ratio))
+        sums, n = [], 0
+        for i in range(0, len(row), 1 << 16):
+            j = i + (1 << 16)
+            yield common.record_batch(
+                row=pa.array(row[i:j], pa.int64()), base=pa.array(base[i:j]), known=pa.array(known[i:j].astype(np.int64)), ratio=pa.array(ratio[i:j])
+            )
+
+    now = None
+    for batch in batches:
+        for bucket, keys, rows, c, tree in zip(*(x.to_pylist() for x in batch.columns)):
+            if bucket != now:
+                look()
+                now, values, table = bucket, [], None
+            if rows is None:
+                values.append((keys, c, tree))
+                continue
+            texts.append((keys, rows))
+            held += len(keys) // 8
+            if held > GATHERED:
+                look()
+            if n > GATHERED:
+                yield from summed()
+    look()
+    if n:
+        yield from summed()
+
+
+def _sums(scored: DataFrame, rare: DataFrame, bits: int, tasks: int, part: int, parts: int) -> DataFrame:
+    """(row, base, known, ratio): what the values in ``rare`` of the keys in one of ``parts`` ranges add."""
+    mine = rare.filter(F.shiftright(F.col("bucket").cast("long") * parts, bits) == part)
+    both = mine.union(_text_blocks(scored, bits, part, parts)).repartition(tasks, "bucket")
+    met = both.sortWithinPartitions("bucket", F.col("rows").isNotNull()).mapInArrow(_meet, "row long, base double, known long, ratio double")
+    return _added_up(met)
+
+
+def _added_up(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("base", "known", "ratio")])
+
+
+def _whole(scored: DataFrame, sums: DataFrame, model: SuffixTree) -> DataFrame:
+    """The scores of documents with what the values of their n-grams left over (``rest``) add."""
+    sums = _added_up(sums).toDF("row", "more_base", "more_known", "more_ratio")
     whole = scored.drop("rest").join(sums, "row", "left")
     more = lambda c: F.coalesce(c, F.lit(0))
     n_known = F.col("known") + more("more_known")

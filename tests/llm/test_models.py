@@ -289,6 +289,23 @@ def test_parts_change_no_score_and_leave_only_scores(spark, monkeypatch):
     assert np.allclose([r[3:] for r in found[1]], [r[3:] for r in found[0]], rtol=1e-9)
 
 
+def test_texts_meet_values_by_ranges_of_keys_without_a_join(spark, monkeypatch):
+    rows = [*chains(40), *((1000 + i, t) for i, t in enumerate(TEXTS)), (None, "w1 w2 w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    plans, stage = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df, label, **k: (plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())), stage(df, label, **k))[1])
+    for name, value in dict(AT_ONCE=1, COUNTED=0.9, MET=0.4, FREQUENT=20, GATHERED=500).items():
+        monkeypatch.setattr(lm, name, value)
+    got = {r.doc_id: r.score for r in lm.score(docs, min_context=10, min_entry=2, max_depth=2).collect()}
+    plain = BruteTree(rows, 10, 2, 2)
+    assert got.keys() == {d for d, _ in rows}
+    assert all(math.isclose(got[d], plain.score(t), rel_tol=1e-9, abs_tol=1e-9) for d, t in rows)
+    labels = [label for label, _ in plans]
+    assert labels.count("sums") > labels.count("scored") >= 1
+    assert not any("Join" in plan for label, plan in plans if label == "sums")
+    assert not any("Join Inner, (key#" in plan for label, plan in plans if label == "scores")
+
+
 def test_free_stages_leave_no_shuffle_files(spark):
     local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
     shuffled = lambda: {p.name for p in local.rglob("shuffle_*.data")}
