@@ -68,8 +68,9 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = _Known()
-        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 1
         self.first, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.known[None], self.sizes[0] = 0, 1  # the end of a text, which is a word of one id
 
     def _pieces(self, text: str) -> list[str]:
         if self.special is None or not self.special.search(text):
@@ -143,29 +144,19 @@ class Encoder:
         """All ids (u32) one text after the other, each with ``end_id`` behind it, and where each begins."""
         if len(self.known) > CACHE_WORDS:
             self._forget()
+        self.ids[0] = end_id
         cut = [self._pieces(t) for t in texts]
-        counts = np.array([len(c) for c in cut], np.int64)
+        for pieces in cut:
+            pieces.append(None)
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
         words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         self._learn()
-        sizes, first = self.sizes[words], self.first[words]
-        # the place of each word's ids; each text before it has one end id more
-        upto = np.cumsum(sizes)
-        text_of = np.repeat(np.arange(len(texts)), counts)
-        place = upto - sizes + text_of
-        ids = np.empty(int(sizes.sum()) + len(texts), np.uint32)
-        step = np.ones(int(sizes.sum()), np.int64)
-        some = np.flatnonzero(sizes)
-        if len(some):  # consecutive places in the table, jumping at each word
-            source, target, n = first[some], place[some], sizes[some]
-            starts = upto[some] - n
-            step[starts] = np.diff(source, prepend=0) - np.concatenate([[0], n[:-1] - 1])
-            from_ = np.cumsum(step)
-            step[:] = 1
-            step[starts] = np.diff(target, prepend=0) - np.concatenate([[0], n[:-1] - 1])
-            ids[np.cumsum(step)] = self.ids[from_]
-        edges = np.concatenate([[0], np.cumsum(np.bincount(text_of, sizes, len(texts)).astype(np.int64) + 1)])
-        ids[edges[1:] - 1] = end_id
-        return ids, edges
+        sizes = self.sizes[words]
+        upto = np.append(0, np.cumsum(sizes))
+        # consecutive places in the table, jumping at each word
+        source = np.repeat(self.first[words] - upto[:-1], sizes)
+        source += np.arange(len(source))
+        return self.ids[source], upto[np.append(0, np.cumsum(counts))]
 
 
 @lru_cache(maxsize=2)

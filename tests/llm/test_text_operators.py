@@ -50,6 +50,17 @@ def test_encoder_gives_the_ids_of_whole_texts(path, special_as_text):
     assert encoder.encode(["a", "", None or ""], 7)[0].tolist()[-2:] == [7, 7]
 
 
+def test_encoder_ends_texts_by_each_calls_id(monkeypatch):
+    from sparkloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)  # the cache starts anew between calls
+    encoder = tokens.Encoder(CLIP)
+    for end in (1, 9, 65_537):
+        ids, edges = encoder.encode(["", "one two three four", ""], end)
+        assert ids.tolist() == [end, *plain_ids(CLIP, "one two three four"), end, end] and edges.tolist() == [0, 1, len(ids) - 1, len(ids)]
+        assert encoder.known[None] == 0  # the end is a word of the table, so that ids are gathered at once
+
+
 # ------------------------------------------------------------------ decontamination
 
 
