@@ -164,14 +164,17 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
-    """The benchmark's items, about ``block_words`` words at a time; a longer item is a block of its own."""
+def _blocks(benchmark: DataFrame, block_words: int) -> tuple[int, Iterator[list[tuple[str | None, bytes | None]]]]:
+    """How many blocks, and the benchmark's items, about ``block_words`` words at a time; a longer item is a block of its own."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9]+|[^\\x00-\\x7F]+"))
     n = common.pieces(benchmark.agg(F.sum(size)).first()[0] or 0, block_words)
     bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for k in range(n):
+
+    def items(k: int) -> list[tuple[str | None, bytes | None]]:
         rows = (benchmark.filter(bucket == k) if n > 1 else benchmark).collect()
-        yield [(None if r.item_id is None else str(r.item_id), None if r.text is None else r.text.encode()) for r in rows]
+        return [(None if r.item_id is None else str(r.item_id), None if r.text is None else r.text.encode()) for r in rows]
+
+    return n, map(items, range(n))
 
 
 _COUNTS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -250,8 +253,11 @@ def decontaminate(
         ]
         return pa.RecordBatch.from_arrays(columns, names=done.names)
 
-    blocks = _blocks(items, block_words)
-    found = common.map_batches(own, first_search(spark.sparkContext.broadcast(Searcher(next(blocks), window))), held)
+    n_blocks, blocks = _blocks(items, block_words)
+    search_first = first_search(spark.sparkContext.broadcast(Searcher(next(blocks), window)))
+    if n_blocks == 1:  # in one step: each step of Python's in a task has a worker of its own, which keeps its memory
+        return common.map_batches(own, lambda batch: summed(search_first(batch)), done)
+    found = common.map_batches(own, search_first, held)
     further: DataFrame | None = None
     for block in blocks:
         if further is None:

@@ -102,6 +102,12 @@ def test_decontaminate(spark, monkeypatch, block_words, segment):
     assert kept.columns == docs.columns and kept.count() == sum(not w[-1] for w in want)
 
 
+def test_one_block_is_searched_and_summed_by_one_worker_of_a_task(spark):
+    bench = spark.createDataFrame([(1, TEXTS[5])], "item_id long, text string")
+    found = decontaminate.remove_contaminated(documents(spark), bench)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_decontaminate_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
