@@ -32,7 +32,7 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -215,6 +215,9 @@ class Lookup:
         heads = (keys >> self.shift).astype(np.int64)
         self.first = np.searchsorted(heads, np.arange((1 << int(64 - int(self.shift))) + 1))
 
+    def __reduce__(self):  # every executor and the driver have a broadcast on disk
+        return Lookup, (self.keys,)
+
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key; -1 where it isn't there."""
         out = np.full(len(keys), -1, np.int64)
@@ -493,13 +496,14 @@ def _least(model: SuffixTree, share: float | None) -> float:
     return least
 
 
-def _frequent(model: SuffixTree, least: float) -> tuple[Lookup, np.ndarray, np.ndarray, np.ndarray]:
-    """(lookup, word counts, tree values, is a word) of the n-grams that occur ``least`` times in training."""
+def _frequent(model: SuffixTree, least: float) -> tuple[Lookup, np.ndarray, np.ndarray]:
+    """(lookup, word counts or -1, tree values) of the n-grams that occur ``least`` times in training."""
     rows = model.values.filter(F.col("n") >= F.lit(least)).select("key", "c", "tree").toArrow()
     keys = rows["key"].to_numpy().view("<u8")
     order = np.argsort(keys)
     c = rows["c"].fill_null(-1).to_numpy()[order]
-    return Lookup(keys[order]), np.maximum(c, 0), rows["tree"].to_numpy()[order], c >= 0
+    narrow = np.min_scalar_type(-1 - int(c.max(initial=0)))
+    return Lookup(keys[order]), c.astype(narrow), rows["tree"].to_numpy()[order]
 
 
 def score(
@@ -537,10 +541,10 @@ def score(
     meetings = -(-meetings // parts)  # of each part, by ranges of keys
     tasks = common.pieces((met / parts + rare.count()) / meetings, GATHERED)
     bits = (max(BUCKETS * tasks, LEAST_BUCKETS) * meetings - 1).bit_length()
-    shared = spark.sparkContext.broadcast((_frequent(model, least), grams))
+    held = _frequent(model, least), grams
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        (lookup, counts, tree, is_word), grams = shared.value
+    def run(batch: pa.RecordBatch, shared: Broadcast) -> pa.RecordBatch:
+        (lookup, counts, tree), grams = shared.value
         keys, sizes = word_keys(common.text_bytes(batch.column(1)))
         n, place = len(sizes), places(sizes)
         doc = np.repeat(np.arange(n), sizes)
@@ -561,8 +565,9 @@ def score(
             d, f = doc[at[hit]], found[hit]
             ratio += np.bincount(d, tree[f], n)
             if size == 1:
-                base += np.bincount(d, np.log10(counts[f] + 0.5), n)
-                known += np.bincount(d, is_word[f], n).astype(np.int64)
+                c = counts[f]
+                base += np.bincount(d, np.log10(np.maximum(c, 0) + 0.5), n)
+                known += np.bincount(d, c >= 0, n).astype(np.int64)
             rest.append(keys[at[~hit]])
             rest_doc.append(doc[at[~hit]])
         order = np.argsort(np.concatenate(rest_doc), kind="stable")
@@ -586,12 +591,13 @@ def score(
     done = []
     for part in range(parts):
         some = own.filter(mine == part) if parts > 1 else own
-        scored = common.map_batches(some, run, schema).withColumn("row", F.monotonically_increasing_id())
-        scored = common.stage(scored, "scored")
+        shared = spark.sparkContext.broadcast(held)
+        scored = common.map_batches(some, partial(run, shared=shared), schema).withColumn("row", F.monotonically_increasing_id())
+        scored = common.stage(scored, "scored", free=True)
+        shared.destroy()  # and goes from all disks before anything is shuffled
         sums = [common.stage(_sums(scored, rare, bits, tasks, i, meetings), "sums", free=True) for i in range(meetings)]
         done.append(common.stage(_whole(scored, reduce(DataFrame.union, sums), model), "scores", free=True))
         common.unstage(scored, *sums)
-    shared.destroy()
     common.unstage(rare)
     return reduce(DataFrame.union, done)
 
@@ -654,11 +660,12 @@ def _flushed(batches, size, blocks):
         yield from blocks(got)
 
 
-def _meet(batches):
-    """(row, base, known, ratio): sums of the values that the documents' keys meet.
+def _meet(batches, buckets: int):
+    """Sums of the values that the documents' keys meet, in blocks by ``buckets`` of documents.
 
-    Blocks come by bucket, a bucket's values before its texts; a task holds the values
-    of one bucket and some ``GATHERED`` keys, however many there are.
+    Blocks come by bucket of keys, a bucket's values before its texts; a task holds the values
+    of one bucket and some ``GATHERED`` keys, however many there are.  A document has keys in most
+    tasks, so a row for each of its sums would be a row for each document and task.
     """
     values, table, texts, held = [], None, [], 0
     sums, n = [], 0
@@ -680,15 +687,20 @@ def _meet(batches):
 
     def summed():
         nonlocal sums, n
-        row, base, known, ratio = (np.concatenate(x) for x in zip(*sums))
-        row, at = np.unique(row, return_inverse=True)
-        base, known, ratio = (np.bincount(at, x, len(row)) for x in (base, known, ratio))
+        row, base, known, ratio = _by_row(sums)
         sums, n = [], 0
-        for i in range(0, len(row), 1 << 16):
-            j = i + (1 << 16)
-            yield common.record_batch(
-                row=pa.array(row[i:j], pa.int64()), base=pa.array(base[i:j]), known=pa.array(known[i:j].astype(np.int64)), ratio=pa.array(ratio[i:j])
-            )
+        bucket = (row % buckets).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(_changes(bucket[order]))
+        at = np.append(first, len(row))
+        yield from _small(
+            np.diff(at),
+            bucket=pa.array(bucket[order][first], pa.int32()),
+            rows=_packed(row[order], at),
+            base=_packed(base[order], at),
+            known=_packed(known[order].astype("<u4"), at),
+            ratio=_packed(ratio[order], at),
+        )
 
     now = None
     for batch in batches:
@@ -710,12 +722,41 @@ def _meet(batches):
         yield from summed()
 
 
+def _by_row(sums: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Equal rows once, with the sums of their other columns."""
+    row, *columns = (np.concatenate(x) for x in zip(*sums))
+    row, at = np.unique(row, return_inverse=True)
+    return row, *(np.bincount(at, x, len(row)) for x in columns)
+
+
+def _gather_sums(batches):
+    """(row, base, known, ratio): each row of a task's blocks once."""
+    got, size, known = [], 0, 0
+    for batch in batches:
+        got.append(tuple(map(_column, batch.columns[1:], ("<i8", "<f8", "<u4", "<f8"))))
+        size += len(got[-1][0])
+        if size > known + 2 * GATHERED:
+            got = [_by_row(got)]
+            size = known = len(got[0][0])
+    if not got:
+        return
+    row, base, n, ratio = _by_row(got)
+    for i in range(0, len(row), 1 << 16):
+        j = i + (1 << 16)
+        yield common.record_batch(
+            row=pa.array(row[i:j], pa.int64()), base=pa.array(base[i:j]), known=pa.array(n[i:j].astype(np.int64)), ratio=pa.array(ratio[i:j])
+        )
+
+
 def _sums(scored: DataFrame, rare: DataFrame, bits: int, tasks: int, part: int, parts: int) -> DataFrame:
     """(row, base, known, ratio): what the values in ``rare`` of the keys in one of ``parts`` ranges add."""
     mine = rare.filter(F.shiftright(F.col("bucket").cast("long") * parts, bits) == part)
     both = mine.union(_text_blocks(scored, bits, part, parts)).repartition(tasks, "bucket")
-    met = both.sortWithinPartitions("bucket", F.col("rows").isNotNull()).mapInArrow(_meet, "row long, base double, known long, ratio double")
-    return _added_up(met)
+    buckets = min(max(BUCKETS * tasks, LEAST_BUCKETS), 1 << 16)
+    met = both.sortWithinPartitions("bucket", F.col("rows").isNotNull()).mapInArrow(
+        partial(_meet, buckets=buckets), "bucket int, rows binary, base binary, known binary, ratio binary"
+    )
+    return met.repartition(tasks, "bucket").mapInArrow(_gather_sums, "row long, base double, known long, ratio double")
 
 
 def _added_up(sums: DataFrame) -> DataFrame:

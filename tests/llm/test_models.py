@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import pickle
 import re
 import time
 import zlib
@@ -11,7 +12,9 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from sparkloom.llm import common, lm, quality, secrets, warc
@@ -306,6 +309,56 @@ def test_texts_meet_values_by_ranges_of_keys_without_a_join(spark, monkeypatch):
     assert not any("Join Inner, (key#" in plan for label, plan in plans if label == "scores")
 
 
+def test_broadcasts_go_before_texts_meet_values(spark, monkeypatch):
+    docs = spark.createDataFrame(chains(40), "doc_id long, text string").repartition(2)
+    sent, stage, broadcast = [], common.stage, SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: (sent.append(broadcast(self, value)), sent[-1])[1])
+    seen = []
+
+    def watched(df, label, **k):
+        if label == "sums":
+            seen.append((any(b._jbroadcast.isValid() for b in sent), df._jdf.queryExecution().optimizedPlan().toString()))
+        return stage(df, label, **k)
+
+    monkeypatch.setattr(common, "stage", watched)
+    for name, value in dict(AT_ONCE=1, COUNTED=0.9, MET=0.4, FREQUENT=20).items():
+        monkeypatch.setattr(lm, name, value)
+    assert lm.score(docs, min_context=10, min_entry=2, max_depth=2).count() == 40
+    assert seen and not any(held for held, _ in seen)
+    assert all("Aggregate" not in plan for _, plan in seen)
+
+
+def test_sums_of_a_task_are_blocks_not_rows_for_each_document(monkeypatch):
+    pack = lambda x, kind: np.asarray(x, kind).tobytes()
+    docs = np.arange(1000)
+    blocks = common.record_batch(
+        bucket=pa.array([7, 7], pa.int32()),
+        keys=pa.array([pack([5, 9], "<u8"), pack(np.where(docs % 2, 5, 9), "<u8")]),
+        rows=pa.array([None, pack(docs, "<i8")], pa.binary()),
+        c=pa.array([pack([3, -1], "<i8"), None], pa.binary()),
+        tree=pa.array([pack([0.25, 0.5], "<f8"), None], pa.binary()),
+    )
+    made = list(lm._meet([blocks], 8))
+    assert sum(b.num_rows for b in made) == 8
+    for gathered in (1 << 20, 10):
+        monkeypatch.setattr(lm, "GATHERED", gathered)
+        rows = [tuple(r.values()) for b in lm._gather_sums([*made, *made]) for r in b.to_pylist()]
+        assert rows == [(d, 2 * math.log10(3.5), 2, 0.5) if d % 2 else (d, 0.0, 0, 1.0) for d in docs.tolist()]
+    assert not list(lm._gather_sums([]))
+
+
+def test_frequent_values_are_small_on_their_way(spark):
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 2**63, 10_000).astype(np.uint64))
+    lookup = lm.Lookup(keys)
+    sent = pickle.dumps(lookup)
+    assert len(sent) < 8 * len(keys) + 1000
+    assert (pickle.loads(sent)(keys) == np.arange(len(keys))).all()
+    values = spark.createDataFrame([(1, 300, 300, 0.5), (2, None, 7, 0.25)], "key long, c long, n long, tree double")
+    _, c, _ = lm._frequent(lm.SuffixTree(values, 1, 1, []), 1.0)
+    assert c.tolist() == [300, -1] and c.dtype == np.int16
+
+
 def test_free_stages_leave_no_shuffle_files(spark):
     local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
     shuffled = lambda: {p.name for p in local.rglob("shuffle_*.data")}
