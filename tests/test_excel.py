@@ -93,3 +93,46 @@ def test_ingest_of_workbooks_and_what_is_none(spark, tmp_path):
 def test_column_names_and_numbers():
     assert [excel.column_name(i) for i in (0, 25, 26, 701, 702, 16383)] == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
     assert all(excel.column_number(f"{excel.column_name(i)}12") == i for i in range(0, 16384, 37))
+
+
+REGULAR = "".join(
+    f'<row r="{i}" spans="1:4"><c r="A{i}" s="{i % 6}"><v>{i * 17 / 4}</v></c><c r="B{i}" t="inlineStr"><is><t xml:space="preserve">{"a &amp;&#13; é" if i % 3 else "NA"}</t></is></c>'
+    f'<c r="D{i}" t="s"><v>{i % 6}</v></c><c r="AA{i}" t="b"><v>{i % 2}</v></c><c r="AB{i}" t="e"><v>#N/A</v></c><c r="AC{i}" t="str"><v>t{i}</v></c><c r="AD{i}" s="1"/></row>\n'
+    for i in range(3, 300, 2)
+)
+ODD = """<row r="401"><c r="A401" t="inlineStr"><is><t><![CDATA[<row r="9"><c r="A9"/>]]></t></is></c><c r="C401"><f>1+1</f><v>2</v></c></row><!-- <row r="8"> &
+--><row><c><v>5</v></c></row><row r="405"/><row r='410' ht="3"><c r='B410'><v>1e3</v></c></row><row><c t="inlineStr"><is><r><t>x</t></r><r><t>y\r\nz</t></r></is></c></row>"""
+
+
+@pytest.mark.parametrize("rows", [REGULAR, ODD, REGULAR + ODD + REGULAR.replace("<row r=\"", "<row r=\"1"), "<row/><row><c><v>1</v></c></row>" * 40, ""])
+def test_parts_of_a_sheet_are_the_sheet(tmp_path, monkeypatch, rows):
+    path = workbook(tmp_path / "p.xlsx", rows, strings=STRINGS)
+    (whole,) = excel.sheets(path)
+    monkeypatch.setattr(excel, "_root", lambda head: None)  # all rows by the XML parser
+    want = [r for b in excel.read_sheet(whole) for r in b.to_pylist()]
+    monkeypatch.undo()
+    assert [r for b in excel.read_sheet(whole) for r in b.to_pylist()] == want
+    assert [r["top"] for r in want] == [True] * bool(want) + [False] * (len(want) - 1)
+    for size in (150, 1000, 7000):
+        monkeypatch.setattr(excel, "BLOCK_BYTES", max(size, 600))
+        parts = [excel.replace(whole, start=k, end=k + size) for k in range(0, 200_000, size)]
+        parts[-1] = excel.replace(parts[-1], end=None)
+        assert [r for p in parts for b in excel.read_sheet(p) for r in b.to_pylist()] == want
+        monkeypatch.undo()
+
+
+def test_large_sheets_are_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 120_000, 1, 1).select("id", (F.col("id") / 7).alias("x"), F.concat(F.lit("<&>"), F.col("id") % 1000).alias("text"))
+    path = str(tmp_path / "large.xlsx")
+    io.export(rows, path, "xlsx")
+    parts = excel.sheets(excel.workbooks(path)[0])
+    monkeypatch.setattr(excel, "SPLIT_BYTES", 1 << 20)
+    assert len(parts) == 1 and len(more := excel.sheets(excel.workbooks(path)[0])) == excel.SPLITS
+    assert [r["row"] for p in more for b in excel.read_sheet(p) for r in b.select(["row"]).to_pylist()] == list(range(1, 120_002))
+    back = excel.read_excel(spark, path)
+    assert back.count() == 120_000 and back.exceptAll(rows).count() == 0
+    with zipfile.ZipFile(tmp_path / "cut.xlsx", "w") as z, zipfile.ZipFile(excel.workbooks(path)[0]) as own:
+        for name in own.namelist():
+            z.writestr(name, own.read(name)[:-24] if "sheet1" in name else own.read(name))
+    with pytest.raises(excel.WorkbookError, match="no end"):
+        list(excel.read_sheet(excel.sheets(str(tmp_path / "cut.xlsx"))[-1]))
