@@ -687,7 +687,8 @@ def bar_chart(df: DataFrame, column: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     x = _x(column)
     edge = F.broadcast(df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")))
-    bucket = F.least(F.width_bucket(x, F.col("lo"), F.col("hi"), F.lit(bins)), F.lit(bins).cast("long"))
+    share = F.try_divide(x - F.col("lo"), F.col("hi") - F.col("lo")) * bins  # width_bucket multiplies first, and rounds some edges' values to the bin before
+    bucket = F.least(F.when(~F.isnan(share), F.floor(share) + 1), F.lit(bins).cast("long"))
     return df.filter(x.isNotNull()).crossJoin(edge).groupBy(bucket.alias("bin"), (F.col("lo") + (bucket - 1) * (F.col("hi") - F.col("lo")) / bins).alias("start")).count()
 
 

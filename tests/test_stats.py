@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom import concepts
 from sparkloom.stats import ANALYSES, analyse, result
@@ -192,3 +193,15 @@ def test_concepts(spark):
     b = run("bootstrapping", series, "v", 100)
     assert b["low"] < float(v.mean()) < b["high"]
     assert run("fishers-exact-test", frame(spark, [(True, True)] * 3 + [(False, False)] * 3, "a boolean, b boolean"), "a", "b")["p_value"] == pytest.approx(0.1)
+
+
+def test_values_on_a_histograms_edges_have_the_bins_of_its_sql(spark):
+    import duckdb
+
+    sql = "SELECT least(20, floor((v - lo) / (hi - lo) * 20) + 1)::BIGINT AS bin, count(*) FROM (SELECT unnest(range({n} + 1)) / 100 AS v, 0::DOUBLE AS lo, {n} / 100 AS hi) GROUP BY 1"
+    for n in (5, 123, 980):
+        df = spark.range(n + 1).select((F.col("id") / 100).alias("v")).union(spark.createDataFrame([(None,)], "v double"))
+        assert {(r["bin"], r["count"]) for r in concepts.histogram(df, "v").collect()} == set(duckdb.sql(sql.format(n=n)).fetchall())
+    same = spark.createDataFrame([(2.0,), (2.0,), (None,)], "v double")
+    assert [tuple(r) for r in concepts.histogram(same, "v").collect()] == [(20, 2.0, 2)]
+    assert concepts.histogram(same.limit(0), "v").collect() == []
