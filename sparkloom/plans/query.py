@@ -14,6 +14,8 @@ from ..functions.expr import BINARY
 from ..operators import counted, ordered
 
 MAX_ROWS = 10_000
+#: The limit of a query that states none; a client's result is clamped anyway.
+ALL_ROWS = (1 << 63) - 1
 
 
 @dataclass
@@ -45,14 +47,14 @@ def _all(kind, items) -> list:
 
 @dataclass
 class QuerySpec:
-    """Columns, measures, filters, groups, order and limit."""
+    """Columns, measures, filters, groups, order and limit; without a limit, all rows."""
 
     select: list[str] = field(default_factory=list)
     measures: list[Measure] = field(default_factory=list)
     groupby: list[str] = field(default_factory=list)
     filters: list[Filter] = field(default_factory=list)
     order_by: list[OrderBy] = field(default_factory=list)
-    limit: int = 100_000
+    limit: int | None = ALL_ROWS
 
     def __post_init__(self):
         self.measures, self.filters = _all(Measure, self.measures), _all(Filter, self.filters)
@@ -130,7 +132,8 @@ def run_query(df: DataFrame, spec: QuerySpec | dict, *, to_client: bool = False)
     if spec.order_by:  # may name a group that isn't selected
         grouped = grouped.orderBy(*[compat.ordered(o.col, o.dir) for o in spec.order_by])
     limit = clamp(spec.limit) if to_client else spec.limit
-    return grouped.select(*compat.cols(out)).limit(limit)
+    found = grouped.select(*compat.cols(out))
+    return found if limit is None or limit >= ALL_ROWS else found.limit(limit)
 
 
 # ---------------------------------------------------------------- operation payloads

@@ -60,6 +60,14 @@ def test_query_spec(frame):
     assert [clamp(n) for n in (None, 0, 5, 10**9)] == [1000, 1000, 5, 10_000]
 
 
+def test_a_query_without_a_limit_gives_all_rows(spark):
+    rows = spark.range(100_050)
+    assert run_query(rows, {"select": ["id"]}).count() == run_query(rows, {"groupby": ["id"], "select": ["id"], "limit": None}).count() == 100_050
+    assert run_query(rows, {"measures": [{"name": "n", "expr": "COUNT(*)"}], "groupby": ["id"]}).count() == 100_050
+    assert run_query(rows, {"select": ["id"], "limit": 100_001}).count() == 100_001
+    assert run_query(rows, {"select": ["id"]}, to_client=True).count() == 10_000 and run_query(rows, {"limit": 0}, to_client=True).count() == 1000
+
+
 def test_operations(frame):
     assert run_operation(frame, "describe").count() == 2
     for op, payload in (("distinct", {}), ("crosstab", {"group_by": ["s"]}), ("percentile", {"p": 1}), ("nonsense", {})):
