@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +155,29 @@ def _ordered(df: DataFrame, order_by, limit) -> DataFrame:
     return (df.orderBy(*[compat.ordered(o.col, o.dir) for o in keys]) if keys else df).limit(int(limit))
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the rows come from files as they lie there, some left out at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "Relation")
+
+
+def _first(rows: DataFrame, limit: int) -> DataFrame:
+    """The first rows: of a table by its files' names and the places in them, else in the frame's own order.
+
+    A plain limit takes those of the tasks that are done first, and Spark reads large
+    files before small ones.  Each task keeps its first rows only, but reads all.
+    """
+    if _is_scan(rows):
+        try:
+            file = rows.metadataColumn("_metadata")
+            return rows.orderBy(file["file_path"], file["file_block_start"], F.monotonically_increasing_id()).limit(limit)
+        except AnalysisException:  # the relation has no files
+            pass
+    return rows.limit(limit)
+
+
 def _aggregate(df: DataFrame, p: dict) -> DataFrame:
     rows = reduce(lambda d, f: d.filter(predicate(f)), _all(Filter, p.get("filters")), df)
     by, metrics = compat.names(p.get("group_by")), _metrics(p.get("metrics"))
@@ -161,8 +185,11 @@ def _aggregate(df: DataFrame, p: dict) -> DataFrame:
         rows = counted.grouped(rows, by, metrics)
     elif by:
         rows = rows.select(*compat.cols(by)).distinct()
-    elif p.get("columns"):
-        rows = rows.select(*compat.cols(p["columns"]))
+    else:
+        own = rows if p.get("order_by") else _first(rows, int(p.get("limit") or 1000))
+        rows = own.select(*compat.cols(p["columns"])) if p.get("columns") else own
+        if not p.get("order_by"):
+            return rows
     return _ordered(rows, p.get("order_by"), p.get("limit") or 1000)
 
 

@@ -60,6 +60,24 @@ def test_query_spec(frame):
     assert [clamp(n) for n in (None, 0, 5, 10**9)] == [1000, 1000, 5, 10_000]
 
 
+def test_a_filter_with_a_limit_takes_the_tables_first_rows(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "t.parquet").mkdir()
+    for name, low, high in (("a", 0, 30), ("b", 30, 60_000), ("c", 60_000, 60_100)):  # Spark reads the large file first
+        pq.write_table(pa.table({"id": list(range(low, high)), "__file": ["x"] * (high - low)}), tmp_path / "t.parquet" / f"{name}.parquet", row_group_size=7000)
+    table = spark.read.parquet(str(tmp_path / "t.parquet"))
+    odd = [{"col": "id", "op": "!=", "value": 3}]
+    for n in (10, 1000, 20_000, 70_000):
+        got = run_operation(table, "filter", {"columns": ["id"], "filters": odd, "limit": n}).withColumn("id", F.col("id") + 0)
+        assert sorted(r.id for r in got.collect()) == [i for i in range(60_100) if i != 3][:n]
+    assert run_operation(table, "filter").columns == ["id", "__file"] and run_operation(table, "filter").agg(F.max("id")).collect()[0][0] == 999
+    assert [r.id for r in run_operation(table.orderBy(F.desc("id")), "filter", {"columns": ["id"], "limit": 2}).collect()] == [60_099, 60_098]
+    assert [r.id for r in run_operation(table, "filter", {"columns": ["id"], "order_by": [{"col": "id", "dir": "desc"}], "limit": 1}).collect()] == [60_099]
+    assert run_operation(spark.range(9), "filter", {"limit": 5}).count() == 5 and run_operation(table.limit(0), "filter").count() == 0
+
+
 def test_a_query_without_a_limit_gives_all_rows(spark):
     rows = spark.range(100_050)
     assert run_query(rows, {"select": ["id"]}).count() == run_query(rows, {"groupby": ["id"], "select": ["id"], "limit": None}).count() == 100_050
