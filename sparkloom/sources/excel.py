@@ -41,6 +41,8 @@ SHEET_ROWS = 1_048_576
 SPLIT_BYTES, SPLITS = 16 << 20, 8
 #: XML that is parsed, or made, at once.
 BLOCK_BYTES = 4 << 20
+#: A hidden name that marks a sheet as the successor of the one before it, whose place it shares.
+CONTINUED = "_sparkloom_continued"
 #: Kinds of cells.
 NUMBER, TEXT, LOGICAL, MOMENT, TIME = "n", "s", "b", "d", "t"
 
@@ -108,12 +110,14 @@ class Sheet(InputPartition):
 
 
 def sheets(path: str) -> list[Sheet]:
-    """A workbook's sheets in its order, large ones in parts."""
+    """A workbook's sheets in its order, large ones in parts; a successor has the place of the sheet that it goes on with."""
     with _opened(path) as book:
         root = ElementTree.fromstring(book.read("xl/workbook.xml"))
         targets = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        out = []
-        for place, e in enumerate(root.iter(f"{_MAIN}sheet")):
+        continued = {int(e.get("localSheetId", -1)) for e in root.iter(f"{_MAIN}definedName") if e.get("name") == CONTINUED}
+        out, place = [], 0
+        for i, e in enumerate(root.iter(f"{_MAIN}sheet")):
+            place = place if i in continued else i
             target = targets.get(e.get(_LINK), "")
             part = target.lstrip("/") if target.startswith("/") else str(PurePosixPath("xl") / target)
             if "worksheets" in part:  # charts and macros have no rows
@@ -549,6 +553,10 @@ def _xml_value(value) -> str | None:
 
 def _xml_values(column: pa.Array) -> pa.Array:
     """:func:`_xml_value` of a column, each different value made once."""
+    if pa.types.is_integer(column.type):
+        most = pc.min_max(column)
+        if most["min"].is_valid and -(1 << 53) < most["min"].as_py() and most["max"].as_py() < 1 << 53:
+            return pc.binary_join_element_wise('"><v>', column.cast(pa.string()), "</v></c>", "")
     try:
         coded = column.dictionary_encode()
         values, places = coded.dictionary.to_pylist(), coded.indices
@@ -600,10 +608,12 @@ def write_book(path: str, names: list[str], batches: Iterator[pa.RecordBatch], s
         for name, text in _PARTS.items():
             book.writestr(name, _HEAD + text.replace("{sheets}", overrides))
         listed = "".join(f'<sheet name={quoteattr(f"Sheet{i}")} sheetId="{i}" r:id="rId{i}"/>' for i in range(1, n_sheets + 1))
+        marks = "".join(f'<definedName name="{CONTINUED}" localSheetId="{i}" hidden="1">TRUE</definedName>' for i in range(1, n_sheets))
+        marks = marks and f"<definedNames>{marks}</definedNames>"
         book.writestr(
             "xl/workbook.xml",
             f'{_HEAD}<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
-            f'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{listed}</sheets></workbook>',
+            f'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{listed}</sheets>{marks}</workbook>',
         )
         link = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
         links = "".join(f'<Relationship Id="rId{i}" Type="{link}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, n_sheets + 1))
@@ -680,6 +690,7 @@ def register(spark: SparkSession) -> SparkSession:
 def read_excel(spark: SparkSession, path: str, sheet: int | str | None = 0, header: bool = True) -> DataFrame:
     """A sheet of a workbook, or of each workbook in a folder, as a table; ``None`` takes all sheets.
 
+    A sheet's number also takes the successors that :func:`write_excel` has given it.
     The first row of each sheet names its columns; names that are missing or
     repeated get a number.  A column of whole numbers is a bigint, of numbers a double, of
     true and false a boolean, of moments a timestamp; of anything else, or of

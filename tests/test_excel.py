@@ -136,3 +136,19 @@ def test_large_sheets_are_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
             z.writestr(name, own.read(name)[:-24] if "sheet1" in name else own.read(name))
     with pytest.raises(excel.WorkbookError, match="no end"):
         list(excel.read_sheet(excel.sheets(str(tmp_path / "cut.xlsx"))[-1]))
+
+
+def test_whole_numbers_that_a_double_cant_hold_are_texts(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1 << 53, None, -5), (None, 7, None, -(1 << 53) - 1), (-3, None, None, 2)], "a int, b bigint, c bigint, d bigint").coalesce(1)
+    excel.write_excel(rows, str(tmp_path / "n.xlsx"))
+    back = excel.read_excel(spark, str(tmp_path / "n.xlsx"))
+    assert [tuple(r) for r in back.collect()] == [(1, str(1 << 53), None, "-5"), (None, "7", None, str(-(1 << 53) - 1)), (-3, None, None, "2")]
+
+
+def test_rows_beyond_a_sheets_size_are_ingested_too(spark, tmp_path):
+    path, out = str(tmp_path / "long.xlsx"), str(tmp_path / "out")
+    rows = spark.range(0, 2500, 1, 3).select("id", F.concat(F.lit("t"), "id").alias("t"))
+    excel.write_excel(rows, path, sheet_rows=400)
+    assert io.ingest(spark, path, out) == (2500, 2)
+    assert [r.id for r in excel.read_excel(spark, path).collect()] == list(range(2500))
+    assert excel.read_excel(spark, path, sheet="Sheet3").count() == 35 + 35 + 36
